@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewave.llm import chat_format, decontaminate, langid, line_dedup, mixing, similar, topk, url_filter
+from tidewave.llm import chat_format, decontaminate, langid, line_dedup, mixing, quality, similar, topk, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (mixing, similar, chat_format, topk, url_filter, langid, decontaminate, line_dedup):
+for _module in (mixing, similar, chat_format, topk, url_filter, langid, decontaminate, line_dedup, quality):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
