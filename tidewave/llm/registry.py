@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tidewave.llm import chat_format, decontaminate, langid, line_dedup, mixing, quality, similar, topk, url_filter
+from tidewave.llm import (
+    chat_format, decontaminate, langid, line_dedup, mixing, quality, similar, suffix_dedup, topk, url_filter,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (mixing, similar, chat_format, topk, url_filter, langid, decontaminate, line_dedup, quality):
+_MODULES = (
+    mixing, similar, chat_format, topk, url_filter, langid, decontaminate, line_dedup, quality, suffix_dedup,
+)
+
+for _module in _MODULES:
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
