@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from tidewave.plans import spectral
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+for _module in (spectral,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
