@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewave.plans import spectral
+from tidewave.plans import relations, spectral
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (spectral,):
+for _module in (spectral, relations):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
