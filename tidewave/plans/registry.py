@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewave.plans import quality_control, relations, spectral
+from tidewave.plans import catalog, quality_control, relations, spectral
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (spectral, relations, quality_control):
+for _module in (spectral, relations, quality_control, catalog):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
