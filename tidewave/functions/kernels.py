@@ -1,0 +1,138 @@
+"""Small numpy kernels for what column expressions can't say; each works on one epoch."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def analytic(x: np.ndarray) -> np.ndarray:
+    """The analytic signal: negative frequencies removed."""
+    n = x.shape[-1]
+    gain = np.zeros(n)
+    gain[0] = 1
+    gain[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        gain[n // 2] = 1
+    return np.fft.ifft(np.fft.fft(x) * gain)
+
+
+def bandpass(x: np.ndarray, fs: float, lo: float, hi: float, order: int = 4) -> np.ndarray:
+    """Zero-phase Butterworth magnitude in the frequency domain; hi at most 0.95 of Nyquist."""
+    hi = min(hi, 0.95 * fs / 2)
+    pad = x.shape[-1]
+    wide = np.concatenate([2 * x[..., :1] - x[..., pad - 1 : 0 : -1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 1 : -1]], axis=-1)
+    f = np.maximum(np.fft.rfftfreq(wide.shape[-1], 1 / fs), 1e-12)
+    gain = 1 / (1 + ((f * f - lo * hi) / (f * (hi - lo))) ** (2 * order))
+    return np.fft.irfft(np.fft.rfft(wide) * gain, wide.shape[-1])[..., pad - 1 : 2 * pad - 1]
+
+
+def morlet_power(x: np.ndarray, fs: float, freqs: np.ndarray, cycles: float) -> np.ndarray:
+    """(freq, time) power by convolution with unit-energy complex Morlet wavelets."""
+    n = x.shape[-1]
+    out = np.empty((len(freqs), n))
+    for i, f in enumerate(freqs):
+        s = cycles / (2 * np.pi * f)
+        t = np.arange(-np.ceil(5 * s * fs), np.ceil(5 * s * fs) + 1) / fs
+        w = np.exp(2j * np.pi * f * t - t * t / (2 * s * s))
+        w /= np.sqrt((np.abs(w) ** 2).sum())
+        full = np.convolve(x, w)
+        start = (len(w) - 1) // 2
+        out[i] = np.abs(full[start : start + n]) ** 2
+    return out
+
+
+def slepian(n: int, half_bandwidth: float, k: int) -> np.ndarray:
+    """The first k discrete prolate spheroidal sequences, by the tridiagonal eigenproblem."""
+    i = np.arange(n)
+    w = half_bandwidth / n
+    m = np.diag(((n - 1 - 2 * i) / 2) ** 2 * np.cos(2 * np.pi * w)) + np.diag(i[1:] * (n - i[1:]) / 2, 1) + np.diag(i[1:] * (n - i[1:]) / 2, -1)
+    vectors = np.linalg.eigh(m)[1][:, ::-1][:, :k].T
+    sums = vectors.sum(axis=1)
+    return vectors * np.where(np.abs(sums) > 1e-8, np.sign(sums), np.sign(vectors[:, n // 4]))[:, None]
+
+
+def multitaper(x: np.ndarray, fs: float, half_bandwidth: float = 3.0) -> np.ndarray:
+    """One-sided density averaged over 2*half_bandwidth - 1 tapers."""
+    n = x.shape[-1]
+    tapers = slepian(n, half_bandwidth, int(2 * half_bandwidth - 1))
+    p = (np.abs(np.fft.rfft(tapers * (x - x.mean()), axis=1)) ** 2).mean(axis=0) / fs
+    p[1 : (n + 1) // 2] *= 2
+    return p
+
+
+def kaiser_lowpass(cut: float, attenuation_db: float, width: float) -> np.ndarray:
+    """Odd-length low-pass taps; cut and width as fractions of the sampling rate."""
+    beta = 0.1102 * (attenuation_db - 8.7) if attenuation_db > 50 else 0.5842 * max(attenuation_db - 21, 0) ** 0.4 + 0.07886 * max(attenuation_db - 21, 0)
+    n = int(np.ceil((attenuation_db - 7.95) / (2.285 * 2 * np.pi * width))) | 1
+    t = np.arange(n) - (n - 1) / 2
+    taps = 2 * cut * np.sinc(2 * cut * t) * np.kaiser(n, beta)
+    return taps / taps.sum()
+
+
+def resample(x: np.ndarray, up: int, down: int, taps: np.ndarray) -> np.ndarray:
+    """Rational resampling: up, filter, every down-th sample; the line through the ends is kept aside."""
+    n = len(x)
+    line = np.linspace(x[0], x[-1], n)
+    wide = np.zeros(n * up)
+    wide[::up] = x - line
+    mid = (len(taps) - 1) // 2
+    smooth = np.convolve(wide, taps * up)[mid : mid + n * up][::down]
+    at = np.arange(len(smooth)) * down / up
+    return smooth + np.interp(at, np.arange(n), line)
+
+
+def modulation_index(phase: np.ndarray, amplitude: np.ndarray, bins: int = 18) -> float:
+    """Distance of the amplitude's distribution over phase from a flat one, 0 to 1."""
+    place = np.minimum(((phase + np.pi) / (2 * np.pi) * bins).astype(int), bins - 1)
+    count = np.bincount(place, minlength=bins)
+    mean = np.bincount(place, amplitude, bins) / np.maximum(count, 1)
+    if (count == 0).any() or mean.sum() <= 0:
+        return float("nan")
+    p = mean / mean.sum()
+    entropy = -(p[p > 0] * np.log(p[p > 0])).sum()
+    return float((np.log(bins) - entropy) / np.log(bins))
+
+
+def prominent_extrema(x: np.ndarray, fraction: float) -> np.ndarray:
+    """Peaks and troughs whose prominence is at least a fraction of the largest magnitude."""
+    out = []
+    for sign in (1, -1):
+        y = sign * x
+        for i in np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:])) + 1:
+            higher = np.flatnonzero(y[:i] > y[i])
+            left = y[higher[-1] if len(higher) else 0 : i].min()
+            higher = np.flatnonzero(y[i + 1 :] > y[i])
+            right = y[i + 1 : i + 2 + (higher[0] if len(higher) else len(y))].min()
+            if y[i] - max(left, right) >= fraction * np.abs(x).max():
+                out.append(i)
+    return np.array(sorted(out), int)
+
+
+def regular_run(extrema: np.ndarray, tolerance: float) -> np.ndarray:
+    """The leading run of extrema whose spacing stays within a tolerance of its running median."""
+    gaps = np.diff(extrema)
+    for i in range(1, len(gaps)):
+        if abs(gaps[i] - np.median(gaps[:i])) > tolerance * np.median(gaps[:i]):
+            return extrema[: i + 1]
+    return extrema
+
+
+def kalman(y: np.ndarray, q: float, r: float) -> np.ndarray:
+    """Means of a random-walk state observed with noise."""
+    m, p, out = y[0], r, np.empty(len(y))
+    for i, v in enumerate(y):
+        p += q
+        gain = p / (p + r)
+        m, p = m + gain * (v - m), (1 - gain) * p
+        out[i] = m
+    return out
+
+
+def granger(x: np.ndarray, y: np.ndarray, lags: int) -> float:
+    """ln of the residual variance of y on its past over that on both pasts."""
+    n = len(y)
+    past = lambda s: np.stack([s[lags - k : n - k] for k in range(1, lags + 1)], axis=1)
+    own = np.column_stack([np.ones(n - lags), past(y)])
+    both, target = np.column_stack([own, past(x)]), y[lags:]
+    left = [((target - d @ np.linalg.lstsq(d, target, rcond=None)[0]) ** 2).sum() for d in (own, both)]
+    return float(np.log(left[0] / left[1])) if left[1] > 0 else float("nan")
