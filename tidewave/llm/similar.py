@@ -9,11 +9,12 @@ linked; a document's component is the smallest doc_id it can reach over links.
    a band are candidates. With 26 bands of 3 a pair at 0.75 shares none with
    probability (1 - 0.75^3)^26 < 7e-7.
 3. In a band, members are first compared with the smallest member only (a star, so
-   a group of n near copies costs n pairs). Verified links give components. Only
-   bands that still hold several components are looked at again: there each member
-   is compared with the members of other components (never with its own), until
-   all pairs across components of a band are verified. No link between different
-   components is lost, and no pairs within a component are emitted twice.
+   a group of n near copies costs n pairs). Verified links give components. Members
+   of bands that still hold several components are looked at again: their shingles
+   are ranked by rarity, and members of different components meet where the rank of
+   the first shingle they share leaves the threshold in reach (prefix and positional
+   filter, exact). So no link between components is lost, and members of a large
+   group that differ too much never form pairs over what the whole group shares.
 4. Candidates are verified one after another: signatures are compared in batches of
    ``BATCH`` values; after each, a pair is pruned if the posterior probability that
    its similarity reaches the threshold (uniform prior, binomial matches) is below
@@ -36,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.llm.common import SHINGLE_WORDS, SIMILARITY_DEN, SIMILARITY_NUM, cut, require, table
@@ -45,8 +47,8 @@ N_HASHES = BANDS * ROWS
 BATCH = 13
 #: The chance at which a pair at the threshold may be pruned by its signature.
 MISS = 1e-7
-#: Members of a band that meet in one comparison task at once.
-BLOCK = 256
+#: Ratio of the bounds of a class of sizes.
+SIZE_STEP = 1.05
 
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -249,21 +251,67 @@ def candidate_stars(banded: DataFrame) -> DataFrame:
     return banded.join(least.select("band", "b"), "band").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def candidates_across(banded: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of members of a band that stand in different components.
+def mixed_members(banded: DataFrame, comps: DataFrame) -> DataFrame:
+    """id and component of every member of a band that holds several components."""
+    named = banded.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return named.join(mixed.select("band"), "band").select("id", "component").distinct()
+
+
+def ranked_tokens(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, component, n, token, pos of the members' shingles that can be the first two similar sets share.
 
-    Members are dealt into blocks, so a large band is many small tasks. A component
-    meets another one through all its members: nothing is capped.
+    Shingles are ranked by how few members hold them. Sets of n and m shingles at the
+    threshold t share at least t/(1+t) * (n+m) of them, so the first one shared is
+    among the first n - ceil(t*n) + 1.
     """
-    named = banded.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("band").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")
-    ).where("lo <> hi").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_ = named.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Each member meets the members of every block at or after its own.
-    left = open_.select("band", "component", "id", F.explode(F.expr("sequence(block, blocks - 1)")).alias("at"), "block")
-    right = open_.select("band", F.col("block").alias("at"), F.col("component").alias("c2"), F.col("id").alias("id2"))
-    met = left.join(right, ["band", "at"]).where("component <> c2 and (block < at or id < id2)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            sets = [shingles(x.as_py(), words).view(np.int64) for x in batch["text"]]
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["component"], pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "set"]
+            )
+
+    sets = members.join(texts, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, set array<long>")
+    each = cut(sets.select("id", "component", F.size("set").alias("n"), F.explode("set").alias("token")))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    order = W.partitionBy("id").orderBy("held", "token")
+    ranked = each.join(held, "token").withColumn("pos", F.row_number().over(order))
+    least = F.ceil(F.col("n") * SIMILARITY_NUM / SIMILARITY_DEN)
+    return ranked.where((F.col("held") > 1) & (F.col("pos") <= F.col("n") - least + 1)).drop("held")
+
+
+def _size_class(n):
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
+def candidates_across(tokens: DataFrame) -> DataFrame:
+    """Pairs of members in different components whose first shared shingle leaves the threshold in reach.
+
+    With i and j its ranks, sets of n and m share at most 1 + min(n-i, m-j). So a rank
+    bounds the partner's size; a member meets a shingle's other holders by classes of
+    size within that bound. Within a class, members of its first component meet only
+    those of the others. Nothing is capped, and a hot group's common shingles, which
+    rank last, have little room left.
+    """
+    t = SIMILARITY_NUM / (SIMILARITY_NUM + SIMILARITY_DEN)
+    most = (F.lit(1) + F.col("n") - F.col("pos")) / t - F.col("n")
+    least = F.col("n") * SIMILARITY_NUM / SIMILARITY_DEN
+    reach = tokens.withColumn("most", most).where(F.col("most") >= least)
+    classes_ = F.explode(F.sequence(_size_class(least), _size_class("most")))
+    own = reach.withColumn("own", _size_class("n")).withColumn("other", classes_)
+    left = own.select("token", F.col("own").alias("cl"), F.col("other").alias("cr"), "id", "component", "n", "most")
+    right = own.select(
+        "token", F.col("other").alias("cl"), F.col("own").alias("cr"),
+        F.col("id").alias("id2"), F.col("component").alias("c2"), F.col("n").alias("m"), F.col("most").alias("most2"),
+    )
+    key = ["token", "cl", "cr"]
+    # The first component of a class meets the rest from their side.
+    first = right.groupBy(key).agg(F.min("c2").alias("lo"), F.max("c2").alias("hi"))
+    others = left.join(first, key).where("component <> lo").drop("lo", "hi")
+    met = others.join(right, key).where("component <> c2 and m <= most and n <= most2")
     return met.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
 
 
@@ -277,7 +325,8 @@ def near_components(documents: DataFrame) -> DataFrame:
     stars = cut(prune(candidate_stars(banded), reps))
     links = cut(verify(stars, texts))
     comps = components(links)
-    across = candidates_across(banded, comps).join(stars, ["a", "b"], "left_anti")
+    members = cut(mixed_members(banded, comps))
+    across = candidates_across(ranked_tokens(members, texts)).join(stars, ["a", "b"], "left_anti")
     more = cut(prune(across, reps))
     if not more.isEmpty():
         found = verify(more, texts)
@@ -295,7 +344,7 @@ def near_components(documents: DataFrame) -> DataFrame:
 
 
 def near_dedup(documents: DataFrame) -> DataFrame:
-    """The documents that stay: of every component its smallest doc_id, once."""
+    """The documents that stay: of every component those with its smallest doc_id."""
     gone = near_components(documents).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
 
