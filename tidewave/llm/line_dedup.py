@@ -36,7 +36,6 @@ from tidewave.llm.common import BLANKS, cut, lower_ascii, require, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
-_SORT = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("text_hash"), F.col("pos")]
 _COLUMNS = ("h1", "h2", "doc_id", "text_hash", "pos", "n_lines")
 
 
@@ -163,7 +162,8 @@ def line_keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs
     require(documents, ["doc_id", "text"])
     rows = line_rows(documents, min_chars)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(rows.repartitionByRange(n, *_SORT).sortWithinPartitions(*_SORT))
+    order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("text_hash"), F.col("pos")]
+    ordered = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
     pids = ordered.withColumn("pid", F.spark_partition_id())
     # Two rows per partition at most, however many lines there are.
     edges = pids.mapInArrow(_edges, "pid long, k long, h1 long, h2 long, n_docs long, top long, low long").collect()
