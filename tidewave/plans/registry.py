@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewave.plans import catalog, kernels, quality_control, relations, spectral
+from tidewave.plans import catalog, kernels, layout, quality_control, relations, spectral
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (spectral, relations, quality_control, catalog, kernels):
+for _module in (spectral, relations, quality_control, catalog, kernels, layout):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
