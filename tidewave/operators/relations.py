@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+
 def time_to_sample(t: Column, fs: float, n: Column) -> Column:
     """Sample index of a time: rounded half to even, within [0, n]."""
     return F.least(F.greatest(F.bround(t * fs, 0).cast("long"), F.lit(0)), n)
 
+
 def _first_hour(t: Column, width: float) -> Column:
     return F.floor(t / width).cast("long")
 
+
 def in_windows(samples: DataFrame, windows: DataFrame, width: float) -> DataFrame:
     """Pairs of a sample and a half-open window [t0, t1) of its session that holds it.
 
@@ -26,23 +29,27 @@ def in_windows(samples: DataFrame, windows: DataFrame, width: float) -> DataFram
     joined = placed.join(spread.withColumnRenamed("cell", "w_cell"), F.expr("session = w_session and cell = w_cell"))
     return joined.where("onset >= t0 and onset < t1").drop("w_session", "cell", "w_cell")
 
+
 def label_conditions(samples: DataFrame, windows: DataFrame, width: float) -> DataFrame:
     """Every sample with the condition of the last window (by ord) that holds it, '' outside all."""
     held = in_windows(samples.select("session", "channel", "i", "onset"), windows, width)
     last = held.groupBy("session", "channel", "i").agg(F.max_by("condition", "ord").alias("condition"))
     return samples.join(last, ["session", "channel", "i"], "left").withColumn("condition", F.coalesce("condition", F.lit("")))
 
+
 def events_in_windows(samples: DataFrame, windows: DataFrame, width: float) -> DataFrame:
     """Semi-join: samples inside any window of their session."""
     held = in_windows(samples.select("session", "channel", "i", "onset"), windows, width).select("session", "channel", "i").distinct()
     return samples.join(held, ["session", "channel", "i"], "left_semi")
 
+
 def within_recording(events: DataFrame, tmin: float, tmax: float) -> DataFrame:
     """Events whose whole epoch lies in [0, end] of their session."""
     over = W.partitionBy("session")
     timed = events.withColumns({"start": F.min("onset").over(over), "end": F.max("onset").over(over)})
     return timed.where((F.col("onset") + tmin >= F.col("start")) & (F.col("onset") + tmax <= F.col("end"))).drop("start", "end")
 
+
 def next_onset(events: DataFrame) -> DataFrame:
     """As-of forward: the next distinct onset of the session, else the recording's end."""
     each = events.select("session", "onset").distinct()
@@ -51,6 +58,7 @@ def next_onset(events: DataFrame) -> DataFrame:
     end = F.max("onset").over(over)
     return each.select("session", "onset", F.coalesce(following, end).alias("extent_end"))
 
+
 def merge_decisions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Full outer merge by flag_id: reviewer columns of old win, detected ones of new; missing in new is stale."""
     o = old.select("flag_id", F.col("severity").alias("o_severity"), "verdict", "reviewer")
@@ -59,21 +67,25 @@ def merge_decisions(old: DataFrame, new: DataFrame) -> DataFrame:
     state = F.when(F.col("n_severity").isNull(), "stale").when(F.col("o_severity").isNull(), "new").otherwise("kept")
     return merged.select("flag_id", F.coalesce("n_severity", "o_severity").alias("severity"), "verdict", "reviewer", state.alias("state"))
 
+
 def compare_params(a: DataFrame, b: DataFrame) -> DataFrame:
     """Full outer diff of (run, key, value) tables: the keys whose values differ, null-safe."""
     x, y = a.select("run", "key", F.col("value").alias("a")), b.select("run", "key", F.col("value").alias("b"))
     return x.join(y, ["run", "key"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
 
+
 def pooled_sd(rows: DataFrame, key: list[str]) -> DataFrame:
     """sqrt of sum((n-1) s^2) / sum(n-1) per key; root mean square if all weights are 0."""
     weight, square = F.col("n") - 1, F.col("sd") * F.col("sd")
     out = rows.groupBy(*key).agg(F.sum(weight * square).alias("s"), F.sum(weight).alias("w"), F.avg(square).alias("q"))
     return out.select(*key, F.sqrt(F.when(F.col("w") > 0, F.try_divide(F.col("s"), F.col("w").cast("double"))).otherwise(F.col("q"))).alias("pooled"))
 
+
 def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """One page of a totally ordered table."""
     return rows.orderBy(*order).offset(offset).limit(limit)
 
+
 def moving_excursion(rows: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
     """Peak to peak of the moving average of full frames; null for groups with fewer than 5 rows."""
     over = W.partitionBy(*by).orderBy(order)
@@ -84,6 +96,7 @@ def moving_excursion(rows: DataFrame, by: list[str], order: str, value: str, wid
     full = F.when((F.col("held") == width) & (F.col("all") >= 5), F.col("avg"))
     return smooth.groupBy(*by).agg((F.max(full) - F.min(full)).alias("excursion"))
 
+
 def refractory(events: DataFrame, by: list[str], gap: float) -> DataFrame:
     """Events that come at least gap after the last one kept: a fold over each group's sorted onsets."""
     sorted_ = events.groupBy(*by).agg(F.array_sort(F.collect_list("onset")).alias("on"))
@@ -95,6 +108,7 @@ def refractory(events: DataFrame, by: list[str], gap: float) -> DataFrame:
     kept = F.aggregate("on", F.array().cast("array<double>"), step)
     return sorted_.select(*by, F.explode(kept).alias("onset"))
 
+
 def blank_and_interpolate(rows: DataFrame, by: list[str], order: str, value: str, blank: Column) -> DataFrame:
     """Blanked samples replaced by the straight line between their neighbours; at an edge the nearest value."""
     good = F.when(~blank, F.col(value))
@@ -110,6 +124,7 @@ def blank_and_interpolate(rows: DataFrame, by: list[str], order: str, value: str
     line = F.col("v0") + (F.col("v1") - F.col("v0")) * F.coalesce(F.try_divide(F.col(order) - F.col("t0"), F.col("t1") - F.col("t0")), F.lit(0.0))
     return near.withColumn("filled", F.coalesce(line, F.col("v0"), F.col("v1"))).drop("v0", "t0", "v1", "t1")
 
+
 def psth(events: DataFrame, triggers: DataFrame, before: float, after: float, bin_s: float) -> DataFrame:
     """session, bin, n: events by their distance from triggers of the session, in [-before, after)."""
     windows = triggers.select(
