@@ -12,7 +12,7 @@ def time_to_sample(t: Column, fs: float, n: Column) -> Column:
     return F.least(F.greatest(F.bround(t * fs, 0).cast("long"), F.lit(0)), n)
 
 
-def _first_hour(t: Column, width: float) -> Column:
+def _cell(t: Column, width: float) -> Column:
     return F.floor(t / width).cast("long")
 
 
@@ -22,10 +22,9 @@ def in_windows(samples: DataFrame, windows: DataFrame, width: float) -> DataFram
     Windows are dealt to cells of ``width`` seconds, samples have one cell: an
     equi-join on (session, cell) instead of a range join of whole sessions.
     """
-    cells = F.sequence(_first_hour(F.col("t0"), width), _first_hour(F.col("t1"), width))
+    cells = F.sequence(_cell(F.col("t0"), width), _cell(F.col("t1"), width))
     spread = windows.withColumn("cell", F.explode(cells)).withColumnRenamed("session", "w_session")
-    placed = samples.withColumn("cell", _first_hour(F.col("onset"), width))
-
+    placed = samples.withColumn("cell", _cell(F.col("onset"), width))
     joined = placed.join(spread.withColumnRenamed("cell", "w_cell"), F.expr("session = w_session and cell = w_cell"))
     return joined.where("onset >= t0 and onset < t1").drop("w_session", "cell", "w_cell")
 
