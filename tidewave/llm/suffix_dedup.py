@@ -16,8 +16,8 @@ Two such scans give exact results:
 
 1. Anchors. Of every window of ``LENGTH`` bytes the ``GRAM``-byte string with the least
    fingerprint is an anchor (winnowing), so equal windows have equal anchors.
-   The scan, forwards and backwards, finds the anchors that another batch, or
-   another document of the same batch, holds too.
+   The scan finds the anchors that an earlier batch holds; in the end the merged
+   levels tell those that any other batch, or document of the same batch, holds too.
 2. Windows. The windows around these anchors only are indexed by a fingerprint of
    all their bytes. The scan finds those an earlier batch holds; the batch itself
    tells which an earlier document of its own holds.
@@ -84,6 +84,11 @@ def window_hashes(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _mix(x)
 
 
+def anchor_keys(grams: np.ndarray) -> np.ndarray:
+    """Anchors are least values, so they crowd near 0: mixed again they fill all buckets alike."""
+    return _mix(grams ^ _B)
+
+
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     """best over every run of width values."""
     done, out = 1, x
@@ -115,6 +120,16 @@ class Batch:
         if len(ids):
             self.rank[1:] = np.cumsum(known[1:] != known[:-1])
         self.named = np.array([i is not None for i in ids], bool)
+        self.spots: dict[int, tuple] = {}
+
+    def spots_of(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        """Of one document: its grams, anchors and their keys, and the key of its whole text; made once."""
+        if i not in self.spots:
+            text = self.texts[i]
+            grams = gram_hashes(np.frombuffer(text, np.uint8))
+            at = anchors(grams)
+            self.spots[i] = grams, at, anchor_keys(grams[at]), whole_hash(text)
+        return self.spots[i]
 
     def pack(self) -> dict:
         lengths = np.array(list(map(len, self.texts)), np.int64)
@@ -137,12 +152,11 @@ class Batch:
     def anchor_set(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct fingerprints of anchors and whole texts, and which of them two documents here share."""
         keys, ranks = [], []
-        for text, rank, named in zip(self.texts, self.rank, self.named, strict=True):
+        for i, (text, rank, named) in enumerate(zip(self.texts, self.rank, self.named, strict=True)):
             if named and len(text) >= LENGTH:
-                grams = gram_hashes(np.frombuffer(text, np.uint8))
-                own = np.unique(np.append(grams[anchors(grams)], whole_hash(text)))
-                keys.append(own)
-                ranks.append(np.full(len(own), rank))
+                _, _, own, whole = self.spots_of(i)
+                keys.append(np.append(own, whole))
+                ranks.append(np.full(len(keys[-1]), rank))
         return _distinct(keys, ranks)[:2]
 
     def window_set(self, shared: np.ndarray, copied: set[int]) -> tuple:
@@ -155,14 +169,13 @@ class Batch:
         for i, (text, rank, named) in enumerate(zip(self.texts, self.rank, self.named, strict=True)):
             if not named or len(text) < LENGTH:
                 continue
-            whole = int(whole_hash(text))
+            grams, spots, own, whole = self.spots_of(i)
+            whole = int(whole)
             if whole in copied or seen.get(whole, rank) != rank:
                 at[i] = None  # a copy of an earlier document: all of it goes
                 continue
             seen[whole] = rank
-            grams = gram_hashes(np.frombuffer(text, np.uint8))
-            spots = anchors(grams)
-            spots = spots[_among(grams[spots], shared)]
+            spots = spots[_among(own, shared)]
             if not spots.size:
                 continue
             edge = np.zeros(len(text) + 2, np.int32)
@@ -219,6 +232,13 @@ def _widen(blob: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def merged(runs: list[np.ndarray]) -> np.ndarray:
+    """Sorted arrays as one, with what they share several times over (a stable sort merges runs)."""
+    out = np.concatenate(runs)
+    out.sort(kind="stable")
+    return out
+
+
 class LogarithmicFamily:
     """Sorted arrays of fingerprints whose sizes at least double from level to level."""
 
@@ -236,7 +256,7 @@ class LogarithmicFamily:
         self.levels.append(keys)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             top = self.levels.pop()
-            self.levels[-1] = np.unique(np.concatenate([self.levels[-1], top]))
+            self.levels[-1] = merged([self.levels[-1], top])
 
 
 def pack_batches(documents: DataFrame, batch_bytes: int) -> DataFrame:
@@ -305,15 +325,20 @@ def _scan_bucket(width: int, both_ways: bool):
         order = [np.argsort(k, kind="stable") for k in keys]
         ordered = [k[o] for k, o in zip(keys, order, strict=True)]
         before = [np.zeros(len(k), bool) for k in keys]
-        after = [np.zeros(len(k), bool) for k in keys]
-        for found, way in [(before, range(len(keys)))] + [(after, range(len(keys) - 1, -1, -1))] * both_ways:
-            family = LogarithmicFamily()
-            for i in way:
-                found[i][order[i]] = family.scan(ordered[i])
-                family.add(ordered[i])
+        others = [np.zeros(len(k), bool) for k in keys]
+        family = LogarithmicFamily()
+        for found, o, own in zip(before, order, ordered, strict=True):
+            found[o] = family.scan(own)
+            family.add(own)
+        if both_ways:
+            # All levels merged say which keys several batches hold; a batch holds each once.
+            whole = merged(family.levels)
+            again = whole[1:][whole[1:] == whole[:-1]]
+            for found, o, own in zip(others, order, ordered, strict=True):
+                found[o] = _among(own, again)
         pack = lambda bits: [np.packbits(b).tobytes() for b in bits]
         return pd.DataFrame(
-            {"batch": rows["batch"], "bucket": rows["bucket"], "n": list(map(len, keys)), "before": pack(before), "after": pack(after)}
+            {"batch": rows["batch"], "bucket": rows["bucket"], "n": list(map(len, keys)), "before": pack(before), "others": pack(others)}
         )
 
     return run
@@ -322,15 +347,15 @@ def _scan_bucket(width: int, both_ways: bool):
 def _answers(rows: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bits of a batch's keys, put together from its buckets."""
     cuts = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
-    before, after = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    for bucket, n, x, y in zip(rows["bucket"], rows["n"], rows["before"], rows["after"], strict=True):
+    before, others = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    for bucket, n, x, y in zip(rows["bucket"], rows["n"], rows["before"], rows["others"], strict=True):
         at = slice(cuts[bucket], cuts[bucket] + n)
         before[at] = np.unpackbits(np.frombuffer(x, np.uint8), count=n)
-        after[at] = np.unpackbits(np.frombuffer(y, np.uint8), count=n)
-    return before, after
+        others[at] = np.unpackbits(np.frombuffer(y, np.uint8), count=n)
+    return before, others
 
 
-_ANSWER = "batch long, bucket int, n long, before binary, after binary"
+_ANSWER = "batch long, bucket int, n long, before binary, others binary"
 _KEYS = "bucket int, batch long, keys binary, shared binary"
 
 
@@ -353,8 +378,8 @@ def dedup_spans(documents: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_byt
 
     def windows_of(batch: Batch, answers: pd.DataFrame) -> tuple:
         keys, shared = batch.anchor_set()
-        before, after = _answers(answers, keys, buckets)
-        return batch.window_set(keys[shared | before | after], set(keys[before].tolist()))
+        before, others = _answers(answers, keys, buckets)
+        return batch.window_set(keys[shared | others], set(keys[before].tolist()))
 
     def second_keys(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         parts = []
