@@ -353,6 +353,18 @@ def test_suffix_dedup_against_brute_force(spark, batch_bytes):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(suffix_dedup.brute_force(rows), key=str)
 
 
+def test_suffix_dedup_takes_no_text_by_an_anchors_key(spark, monkeypatch):
+    # One byte of each anchor's key matches often: anchors may propose windows, and remove nothing.
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", 1)
+    rng = random.Random(17)
+    rows = [(i, words(rng, 60, "abcdefghijkl")) for i in range(120)]
+    rows += [(200, rows[5][1]), (201, rows[5][1])]
+    done = suffix_dedup.dedup_spans(docs_frame(spark, rows), batch_bytes=700, bucket_bytes=500)
+    got = done.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h"))
+    want = suffix_dedup.brute_force(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(r[2] > 0 for r in want) == 2
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.dedup_spans(docs_frame(spark, [])).count() == 0
     assert suffix_dedup.dedup_spans(docs_frame(spark, [(None, None)])).count() == 1

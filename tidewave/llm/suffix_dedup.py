@@ -6,8 +6,8 @@ smaller doc_id is removed.
 Documents are range-sorted by doc_id and packed into batches of ``BATCH_BYTES``; a
 batch is the unit the index grows by. Its suffix array is kept sparse and by
 fingerprint: it holds the suffixes at chosen positions only, and sorts them by a
-64-bit fingerprint of their first bytes, so that equal beginnings stand together as
-they do in lexicographic order. The space of fingerprints is cut into buckets;
+64-bit fingerprint of their first bytes, so that equal beginnings stand together (the
+order is that of fingerprints, not of bytes: it is no lexicographic suffix array). The space of fingerprints is cut into buckets;
 each bucket is a task that runs a logarithmic family: the batches' arrays come in
 order, each is merge-scanned against all existing levels and then becomes a level
 itself, and levels of equal size merge, so a bucket of n batches has log n levels.
@@ -24,7 +24,8 @@ Two such scans give exact results:
 
 A batch sends each distinct fingerprint once, and its answer is one bit for each, so
 a passage that a third of all documents share costs a row per batch. Documents that
-equal an earlier one are found in scan 1 by a fingerprint of their whole text.
+equal an earlier one go whole: scan 1 finds them by a 128-bit fingerprint of their whole
+text, in rows and buckets of their own, as no window checks this answer.
 
 Defined results for odd input: null text is empty; documents shorter than ``LENGTH``
 lose nothing; rows without a doc_id lose nothing and cause nothing; rows that share a
@@ -50,10 +51,10 @@ from tidewave.llm.common import cut, require, table
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a batch, and bytes of text per bucket of fingerprints.
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
-#: Anchors only propose windows, so fewer bytes of them do.
-ANCHOR_BYTES, WINDOW_BYTES = 5, 7
+#: Anchors only propose windows, so fewer bytes of them do; a whole text's answer is final.
+ANCHOR_BYTES, WINDOW_BYTES, WHOLE_BYTES = 5, 7, 16
 
-_U = np.uint64
+_U, _WHOLE = np.uint64, f"S{WHOLE_BYTES}"
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
 
 
@@ -122,7 +123,7 @@ class Batch:
         self.named = np.array([i is not None for i in ids], bool)
         self.spots: dict[int, tuple] = {}
 
-    def spots_of(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+    def spots_of(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
         """Of one document: its grams, anchors and their keys, and the key of its whole text; made once."""
         if i not in self.spots:
             text = self.texts[i]
@@ -150,16 +151,20 @@ class Batch:
         return Batch(ids, [data[e - n : e] for e, n in zip(ends, np.frombuffer(row["lengths"], np.int64), strict=True)])
 
     def anchor_set(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct fingerprints of anchors and whole texts, and which of them two documents here share."""
+        """Distinct fingerprints of anchors, and which of them two documents here share."""
         keys, ranks = [], []
         for i, (text, rank, named) in enumerate(zip(self.texts, self.rank, self.named, strict=True)):
             if named and len(text) >= LENGTH:
-                _, _, own, whole = self.spots_of(i)
-                keys.append(np.append(own, whole))
+                keys.append(self.spots_of(i)[2])
                 ranks.append(np.full(len(keys[-1]), rank))
         return _distinct(keys, ranks)[:2]
 
-    def window_set(self, shared: np.ndarray, copied: set[int]) -> tuple:
+    def whole_set(self) -> np.ndarray:
+        """Sorted distinct fingerprints of whole texts."""
+        wholes = [self.spots_of(i)[3] for i, x in enumerate(self.texts) if self.named[i] and len(x) >= LENGTH]
+        return np.unique(np.array(wholes, _WHOLE))
+
+    def window_set(self, shared: np.ndarray, copied: set[bytes]) -> tuple:
         """Distinct fingerprints of the windows at shared anchors; per document, its starts and their places.
 
         shared: sorted fingerprints of anchors that another document holds.
@@ -170,7 +175,6 @@ class Batch:
             if not named or len(text) < LENGTH:
                 continue
             grams, spots, own, whole = self.spots_of(i)
-            whole = int(whole)
             if whole in copied or seen.get(whole, rank) != rank:
                 at[i] = None  # a copy of an earlier document: all of it goes
                 continue
@@ -193,8 +197,9 @@ class Batch:
         return unique, first, at, place_of
 
 
-def whole_hash(text: bytes) -> np.uint64:
-    return _U(xxhash.xxh3_64_intdigest(text))
+def whole_hash(text: bytes) -> bytes:
+    """128 bits, of which no byte is 0: numpy's strings drop zeros at their end."""
+    return xxhash.xxh3_128_digest(text).replace(b"\0", b"\1")
 
 
 def _distinct(keys: list[np.ndarray], ranks: list[np.ndarray]) -> tuple:
@@ -218,15 +223,21 @@ def _among(x: np.ndarray, table_: np.ndarray) -> np.ndarray:
 
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    if keys.dtype.kind == "S":
+        keys = np.frombuffer(keys.tobytes(), ">u8")[:: WHOLE_BYTES // 8].astype(np.uint64)
     return (keys >> _U(44)).astype(np.int64) * buckets >> 20
 
 
 def _squeeze(keys: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each key; the high bits follow from the bucket in part."""
+    """The low ``width`` bytes of each key; the high bits follow from the bucket in part. Whole texts' keys stay whole."""
+    if width == WHOLE_BYTES:
+        return keys.tobytes()
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _widen(blob: bytes, width: int) -> np.ndarray:
+    if width == WHOLE_BYTES:
+        return np.frombuffer(blob, _WHOLE)
     out = np.zeros((len(blob) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8")
@@ -300,25 +311,28 @@ def pack_batches(documents: DataFrame, batch_bytes: int) -> DataFrame:
     return packed.withColumn("batch", F.col("first")).where("length(ids) > 0")
 
 
-def _rows(batch, keys: np.ndarray, shared: np.ndarray, buckets: int, width: int):
-    """A batch's sorted keys by bucket."""
+def _rows(batch, keys: np.ndarray, buckets: int, width: int, base: int = 0):
+    """A batch's sorted keys by bucket, numbered from base."""
     where = _bucket_of(keys, buckets)
     cuts = np.searchsorted(where, np.arange(buckets + 1))
     full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(full, pa.int32()), pa.array([batch] * len(full), pa.int64()),
+            pa.array([base + b for b in full], pa.int32()), pa.array([batch] * len(full), pa.int64()),
             pa.array([_squeeze(keys[cuts[b] : cuts[b + 1]], width) for b in full], pa.binary()),
-            pa.array([np.packbits(shared[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary()),
         ],
-        names=["bucket", "batch", "keys", "shared"],
+        names=["bucket", "batch", "keys"],
     )
 
 
-def _scan_bucket(width: int, both_ways: bool):
-    """Answers of one bucket: for every batch, which of its keys other batches hold."""
+def _scan_bucket(key_bytes: int, both_ways: bool, buckets: int):
+    """Answers of one bucket: for every batch, which of its keys other batches hold.
+
+    Buckets from ``buckets`` on hold whole texts' keys.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        width = key_bytes if rows["bucket"].iloc[0] < buckets else WHOLE_BYTES
         rows = rows.sort_values("batch", kind="stable").reset_index(drop=True)
         # By the bytes kept, order within a bucket may change: sort, scan, put back.
         keys = [_widen(x, width) for x in rows["keys"]]
@@ -344,11 +358,12 @@ def _scan_bucket(width: int, both_ways: bool):
     return run
 
 
-def _answers(rows: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of a batch's keys, put together from its buckets."""
+def _answers(rows: pd.DataFrame, keys: np.ndarray, buckets: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of a batch's keys, put together from its buckets (numbered from base)."""
     cuts = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
     before, others = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    for bucket, n, x, y in zip(rows["bucket"], rows["n"], rows["before"], rows["others"], strict=True):
+    rows = rows[(rows["bucket"] >= base) & (rows["bucket"] < base + buckets)]
+    for bucket, n, x, y in zip(rows["bucket"] - base, rows["n"], rows["before"], rows["others"], strict=True):
         at = slice(cuts[bucket], cuts[bucket] + n)
         before[at] = np.unpackbits(np.frombuffer(x, np.uint8), count=n)
         others[at] = np.unpackbits(np.frombuffer(y, np.uint8), count=n)
@@ -356,7 +371,7 @@ def _answers(rows: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.nda
 
 
 _ANSWER = "batch long, bucket int, n long, before binary, others binary"
-_KEYS = "bucket int, batch long, keys binary, shared binary"
+_KEYS = "bucket int, batch long, keys binary"
 
 
 def dedup_spans(documents: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -365,32 +380,36 @@ def dedup_spans(documents: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_byt
     packed = cut(pack_batches(documents, batch_bytes))
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = int(min(1 << 18, max(32, total // bucket_bytes)))
+    wholes = max(8, buckets // 8)
     named = packed.where("batch is not null")
 
     def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, shared = Batch.unpack(row).anchor_set()
-                yield _rows(row["batch"], keys, shared, buckets, ANCHOR_BYTES)
+                own = Batch.unpack(row)
+                yield _rows(row["batch"], own.anchor_set()[0], buckets, ANCHOR_BYTES)
+                yield _rows(row["batch"], own.whole_set(), wholes, WHOLE_BYTES, buckets)
 
     asked = named.mapInArrow(first_keys, _KEYS)
-    told = asked.groupBy("bucket").applyInPandas(_scan_bucket(ANCHOR_BYTES, True), _ANSWER)
+    told = asked.groupBy("bucket").applyInPandas(_scan_bucket(ANCHOR_BYTES, True, buckets), _ANSWER)
 
     def windows_of(batch: Batch, answers: pd.DataFrame) -> tuple:
         keys, shared = batch.anchor_set()
-        before, others = _answers(answers, keys, buckets)
-        return batch.window_set(keys[shared | others], set(keys[before].tolist()))
+        _, others = _answers(answers, keys, buckets)
+        texts = batch.whole_set()
+        before, _ = _answers(answers, texts, wholes, buckets)
+        return batch.window_set(keys[shared | others], set(texts[before].tolist()))
 
     def second_keys(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for _, row in own.iterrows():
             keys, first, _, _ = windows_of(Batch.unpack(row), answers)
-            parts.append(_rows(row["batch"], keys, np.zeros(len(keys), bool), buckets, WINDOW_BYTES).to_pandas())
-        return pd.concat(parts) if parts else pd.DataFrame({"bucket": [], "batch": [], "keys": [], "shared": []})
+            parts.append(_rows(row["batch"], keys, buckets, WINDOW_BYTES).to_pandas())
+        return pd.concat(parts) if parts else pd.DataFrame({"bucket": [], "batch": [], "keys": []})
 
     told = cut(told)
     windows = named.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(second_keys, _KEYS)
-    seen = windows.groupBy("bucket").applyInPandas(_scan_bucket(WINDOW_BYTES, False), _ANSWER)
+    seen = windows.groupBy("bucket").applyInPandas(_scan_bucket(WINDOW_BYTES, False, buckets), _ANSWER)
     answers = told.select("*", F.lit(1).alias("scan")).union(seen.select("*", F.lit(2).alias("scan")))
 
     def finish(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
