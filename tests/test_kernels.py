@@ -113,3 +113,14 @@ def test_odd_epochs_are_left_out(spark):
     frame = epochs(spark, [(0, np.zeros(3)), (0, np.array([np.nan] * 64)), (0, tone(16, 64, 128.0))])
     assert O.multitaper(frame, 128.0).select("trial").distinct().count() == 1
     assert O.multitaper(frame.limit(0), 128.0).count() == 0
+
+
+def test_queries_of_pairs_and_bins_reach_every_position(spark):
+    from tests.test_oracle import SF
+    from tidewave.plans import registry
+
+    count = lambda name, *by: registry.QUERIES[name](spark, SF).select(*by).distinct().count()
+    assert count("channel_covariance_all", "a", "b") == 64 * 65 // 2
+    assert count("pearson_by_condition_all", "k") == 63
+    assert count("phase_locking_all", "k") == 33 and count("weighted_phase_lag_all", "k") == 32
+    assert count("tfr_morlet", "freq", "t") == 40 * 16

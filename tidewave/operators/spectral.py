@@ -83,9 +83,10 @@ def energy_fraction_below(spectra: DataFrame, freq: float) -> DataFrame:
     return spectra.groupBy("trial").agg(F.try_divide(F.coalesce(below, F.lit(0.0)), F.sum("power")).alias("fraction"))
 
 
-def phases(spectra: DataFrame, k: int) -> DataFrame:
-    """trial, condition, phase of one bin."""
-    return spectra.where(F.col("k") == k).select("trial", "condition", F.atan2("im", "re").alias("phase"))
+def phases(spectra: DataFrame, k: int | None = None) -> DataFrame:
+    """trial, condition, k, phase of every bin, or of one."""
+    kept = spectra if k is None else spectra.where(F.col("k") == k)
+    return kept.select("trial", "condition", "k", F.atan2("im", "re").alias("phase"))
 
 
 def phase_locking(phased: DataFrame, by: list[str]) -> DataFrame:

@@ -30,20 +30,21 @@ def merge_summaries(states: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def covariances(epochs: DataFrame, channels: int) -> DataFrame:
-    """a, b, cov, r of every pair of the first ``channels`` positions of the epochs' vectors.
+def covariances(epochs: DataFrame, channels: int | None = None) -> DataFrame:
+    """a, b, cov, r of every pair of positions of the epochs' vectors, or of the first ``channels``.
 
     Pairs are made inside each row, so the shuffle is of partial sums of channels^2
     pairs, not of a self-join of samples.
     """
+    last = F.size("x") - 1 if channels is None else F.lit(channels - 1)
     pairs = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.lit(channels - 1)),
+            F.sequence(F.lit(0), last),
             lambda a: F.transform(
-                F.sequence(a, F.lit(channels - 1)),
+                F.sequence(a, last),
                 lambda b: F.struct(a.alias("a"), b.alias("b"), F.get("x", a).alias("u"), F.get("x", b).alias("v")),
             ),
         )
     )
-    each = epochs.select(F.inline(pairs))
+    each = epochs.where(F.size("x") > 0).select(F.inline(pairs))
     return each.groupBy("a", "b").agg(F.covar_samp("u", "v").alias("cov"), F.corr("u", "v").alias("r"))

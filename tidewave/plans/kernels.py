@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewave.operators import kernels as K
@@ -9,14 +10,18 @@ from tidewave.plans.spectral import FS, r6
 from tidewave.plans.tables import epochs
 
 
+#: The reference's grid: 40 frequencies in equal ratios from 2 Hz, here to 0.95 of Nyquist, and every fourth sample.
+TFR_FREQS, TFR_STEP = [float(f) for f in np.geomspace(2.0, 0.95 * FS / 2, 40)], 4
+
+
 def tfr_morlet(spark, sf_dir):
-    maps = K.time_frequency(epochs(spark, sf_dir), FS, [8.0, 12.0, 20.0, 32.0], 4.0, 8)
+    maps = K.time_frequency(epochs(spark, sf_dir), FS, TFR_FREQS, 4.0, TFR_STEP)
     return K.baseline_log_ratio(maps, 0.0, 0.1).select("condition", "freq", "t", *r6("value"))
 
 
 def tfr_peak(spark, sf_dir):
     """The cell of each condition's map that stands out most; of equals the lowest frequency, then the earliest."""
-    maps = K.baseline_log_ratio(K.time_frequency(epochs(spark, sf_dir), FS, [8.0, 12.0, 20.0, 32.0], 4.0, 8), 0.0, 0.1)
+    maps = K.baseline_log_ratio(K.time_frequency(epochs(spark, sf_dir), FS, TFR_FREQS, 4.0, TFR_STEP), 0.0, 0.1)
     best = F.max_by(F.struct("freq", "t", "value"), F.struct("value", -F.col("freq"), -F.col("t")))
     return maps.groupBy("condition").agg(best.alias("b")).select("condition", "b.freq", "b.t", (F.round("b.value", 6)).alias("value"))
 

@@ -78,6 +78,12 @@ def channel_covariance(spark, sf_dir):
     return out.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.round("cov", 8) + 0.0).alias("cov"), *r6("r"))
 
 
+def channel_covariance_all(spark, sf_dir):
+    """Every pair of the vectors' positions; ``channel_covariance`` has the first twelve."""
+    out = U.covariances(epochs(spark, sf_dir))
+    return out.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.round("cov", 8) + 0.0).alias("cov"), *r6("r"))
+
+
 def autocorrelation(spark, sf_dir):
     """Biased autocorrelation of every trial at lags 0 to 5, as array expressions."""
     e = epochs(spark, sf_dir).select("trial", A.demean(F.col("x")).alias("x"))
@@ -126,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qc_robust_z, qc_flat, qc_variance_outlier, qc_block_kurtosis, qc_clipping, qc_amplitude_episodes, qc_trial_outlier, qc_spikes,
-        qc_hf_noise, qc_flag_ids, stream_summary, channel_covariance, autocorrelation, participation_ratio, cosine_to_condition, fir_smooth, leadfield,
+        qc_hf_noise, qc_flag_ids, stream_summary, channel_covariance, channel_covariance_all, autocorrelation, participation_ratio, cosine_to_condition, fir_smooth, leadfield,
     )
 }
 
@@ -149,6 +155,7 @@ ORACLES = {
     "qc_flag_ids": f"with {SAMPLES_SQL}, s as (select session, channel, stddev_pop(value) as sd from samples group by 1, 2), m as (select *, quantile_cont(sd, 0.5) over (partition by session) as med from s) select substr(sha256('channel|' || session::varchar || '/' || channel || '|flat'), 1, 16) as flag_id, session::varchar || '/' || channel as target, 'channel=' || channel || ', session=' || session::varchar as summary from m where sd < 0.6 * med",
     "stream_summary": f"with {SAMPLES_SQL}, e as (select *, min(value) over (partition by session, channel) as lo, max(value) over (partition by session, channel) as hi from samples) select session, channel, count(*) as n, round(sqrt(avg(value * value)), 6) + 0.0 as rms, lo, hi, count(*) filter (where value = lo) as n_lo, count(*) filter (where value = hi) as n_hi from e group by session, channel, lo, hi",
     "channel_covariance": f"with {EPOCHS_SQL}, p as (select a, b, x[a + 1] as u, x[b + 1] as v from epochs, range(0, 12) r(a), range(0, 12) q(b) where a <= b) select a, b, round(covar_samp(u, v), 8) + 0.0 as cov, round(corr(u, v), 6) + 0.0 as r from p group by 1, 2",
+    "channel_covariance_all": f"with {EPOCHS_SQL}, p as (select a, b, x[a + 1] as u, x[b + 1] as v from (select x, unnest(range(0, len(x))) as a from epochs), lateral (select unnest(range(a, len(x))) as b) q) select a, b, round(covar_samp(u, v), 8) + 0.0 as cov, round(corr(u, v), 6) + 0.0 as r from p group by 1, 2",
     "autocorrelation": f"with {EPOCHS_SQL}, d as (select trial, t, value - avg(value) over (partition by trial) as v from long_epochs), s as (select trial, sum(v * v) as ss from d group by 1) select x.trial, k as lag, round(sum(x.v * y.v) / nullif(max(ss), 0), 6) + 0.0 as acf from d x, range(0, 6) r(k), d y, s where y.trial = x.trial and y.t = x.t + k and s.trial = x.trial group by 1, 2",
     "participation_ratio": f"with {EPOCHS_SQL}, v as (select condition, t, var_samp(value) as v from long_epochs group by 1, 2) select condition, round(sum(v) * sum(v) / sum(v * v), 6) + 0.0 as ratio from v group by 1",
     "cosine_to_condition": f"with {EPOCHS_SQL}, m as (select condition, t, avg(value) as m from long_epochs group by 1, 2) select trial, round(sum(value * m) / nullif(sqrt(sum(value * value)) * sqrt(sum(m * m)), 0), 6) + 0.0 as cosine from long_epochs join m using (condition, t) group by 1",

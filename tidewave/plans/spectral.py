@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.operators import spectral as S
@@ -69,6 +70,20 @@ def weighted_phase_lag(spark, sf_dir):
     return S.weighted_phase_lag(cross, ["condition"]).select("condition", *r6("wpli"))
 
 
+def phase_locking_all(spark, sf_dir):
+    """Locking of every bin; those at 0 and Nyquist are real, so their phase is 0 or pi."""
+    x = _spectra(spark, sf_dir).withColumn("im", F.when(F.col("k").isin(0, N // 2), 0.0).otherwise(F.col("im")))
+    return S.phase_locking(S.phases(x), ["condition", "k"]).select("condition", "k", "n", *r6("plv", "ppc", "mean_phase"))
+
+
+def weighted_phase_lag_all(spark, sf_dir):
+    """Cross spectra of all neighbouring bins; k is the lower one's."""
+    bins = W.partitionBy("trial", "condition").orderBy("k")
+    x = _spectra(spark, sf_dir).select("condition", "k", "re", "im", *[F.lead(c).over(bins).alias(f"{c}_up") for c in ("re", "im")])
+    cross = x.where(F.col("k") < N // 2).select("condition", "k", (F.col("im") * F.col("re_up") - F.col("re") * F.col("im_up")).alias("im"))
+    return S.weighted_phase_lag(cross, ["condition", "k"]).select("condition", "k", *r6("wpli"))
+
+
 def aperiodic_fit(spark, sf_dir):
     out = S.aperiodic_fit(S.spectrum_by_condition(_spectra(spark, sf_dir)).where("k between 1 and 31"))
     return out.select("condition", *r6("offset", "exponent"))
@@ -109,7 +124,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         psd_by_condition, band_power, bandpower_contrast, unresolvable_bands, spectral_peak, line_noise,
-        energy_fraction_below, phase_locking, weighted_phase_lag, aperiodic_fit, averaging_bias, alias_frequency,
+        energy_fraction_below, phase_locking, weighted_phase_lag, phase_locking_all, weighted_phase_lag_all, aperiodic_fit, averaging_bias, alias_frequency,
     )
 }
 ORACLES = {
@@ -138,6 +153,12 @@ ORACLES = {
         round(atan2(s, c), 6) + 0.0 as mean_phase from p""",
     "weighted_phase_lag": _SPECTRA + """select condition, round(abs(avg(im)) / nullif(avg(abs(im)), 0), 6) + 0.0 as wpli from (
       select x.condition, x.im * y.re - x.re * y.im as im from spectra x join spectra y on x.trial = y.trial and x.k = 5 and y.k = 6) group by 1""",
+    "phase_locking_all": _SPECTRA + """, q as (select condition, k, atan2(case when k in (0, 32) then 0 else im end, re) as a from spectra),
+      p as (select condition, k, count(*) as n, sum(cos(a)) as c, sum(sin(a)) as s from q group by 1, 2)
+      select condition, k, n, round(sqrt(c * c + s * s) / n, 6) + 0.0 as plv, round((c * c + s * s - n) / nullif(n * (n - 1), 0), 6) + 0.0 as ppc,
+        round(atan2(s, c), 6) + 0.0 as mean_phase from p""",
+    "weighted_phase_lag_all": _SPECTRA + """select condition, k, round(abs(avg(im)) / nullif(avg(abs(im)), 0), 6) + 0.0 as wpli from (
+      select x.condition, x.k, x.im * y.re - x.re * y.im as im from spectra x join spectra y on x.trial = y.trial and y.k = x.k + 1) group by 1, 2""",
     "aperiodic_fit": _SPECTRA + """select condition, round(regr_intercept(mean_db / 10, log10(freq)), 6) + 0.0 as offset,
       round(-regr_slope(mean_db / 10, log10(freq)), 6) + 0.0 as exponent from by_condition where k between 1 and 31 group by 1""",
     "averaging_bias": _SPECTRA + "select condition, k, round(10 * log10(avg(power)), 6) + 0.0 as log_of_mean, round(avg(db), 6) + 0.0 as mean_of_log from db where k > 0 group by 1, 2",
