@@ -124,3 +124,22 @@ def test_queries_of_pairs_and_bins_reach_every_position(spark):
     assert count("pearson_by_condition_all", "k") == 63
     assert count("phase_locking_all", "k") == 33 and count("weighted_phase_lag_all", "k") == 32
     assert count("tfr_morlet", "freq", "t") == 40 * 16
+
+
+def test_permutation_contrast_of_all_pairs_in_chunks(spark):
+    from tidewave.operators import stats
+
+    r = np.random.default_rng(3)
+    x = {c: r.normal(c == 2, 1, 300) for c in range(3)}
+    rows = [(0, c, 1000 * c + i, float(v)) for c, xs in x.items() for i, v in enumerate(xs)]
+    frame = spark.createDataFrame(rows, "quarter long, condition long, trial long, value double")
+    got = {(g["a"], g["b"]): g for g in stats.permutation_contrast(frame, "quarter", chunk=50).collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 2)}
+    for (a, b), g in got.items():
+        both, effect = np.concatenate([x[a], x[b]]), x[b].mean() - x[a].mean()
+        mixed = r.permuted(np.tile(both, (5000, 1)), axis=1)
+        want = (np.abs(mixed[:, 300:].mean(axis=1) - mixed[:, :300].mean(axis=1)) >= abs(effect)).mean()
+        width = 2 * 1.96 * np.sqrt(x[a].var() / 300 + x[b].var() / 300)
+        assert g["effect"] == pytest.approx(effect) and g["p"] == pytest.approx(want, abs=0.03)
+        assert g["hi"] - g["lo"] == pytest.approx(width, rel=0.1) and g["lo"] < effect < g["hi"]
+    assert got[0, 2]["p"] == pytest.approx(1 / 5001)

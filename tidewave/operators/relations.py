@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,15 +100,23 @@ def moving_excursion(rows: DataFrame, by: list[str], order: str, value: str, wid
 
 
 def refractory(events: DataFrame, by: list[str], gap: float) -> DataFrame:
-    """Events that come at least gap after the last one kept: a fold over each group's sorted onsets."""
-    sorted_ = events.groupBy(*by).agg(F.array_sort(F.collect_list("onset")).alias("on"))
+    """Events that come at least gap after the last one kept: a pass over each group's sorted onsets.
 
-    def step(kept: Column, t: Column) -> Column:
-        far = F.size(kept) == 0
-        return F.when(far, F.array(t)).when(t - F.element_at(kept, -1) >= gap, F.concat(kept, F.array(t))).otherwise(kept)
+    Onsets stream by; the last one kept is all a task remembers.
+    """
 
-    kept = F.aggregate("on", F.array().cast("array<double>"), step)
-    return sorted_.select(*by, F.explode(kept).alias("onset"))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            kept = []
+            for *key, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                far = key != group or t - last >= gap
+                group, last = (key, t) if far else (group, last)
+                kept.append(far)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    rows = events.where("onset is not null").select(*by, "onset")
+    return rows.repartition(*by).sortWithinPartitions(*by, "onset").mapInArrow(keep, rows.schema)
 
 
 def blank_and_interpolate(rows: DataFrame, by: list[str], order: str, value: str, blank: Column) -> DataFrame:

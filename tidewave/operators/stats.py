@@ -58,29 +58,110 @@ def _seed(*key) -> int:
     return zlib.crc32("|".join(map(str, key)).encode())
 
 
-def permutation_contrast(values: DataFrame, group: str, a, b, draws: int = 500) -> DataFrame:
-    """group, effect, p, lo, hi: label permutation and percentile bootstrap of a mean difference.
-
-    Draws are seeded by the group's name, so results don't depend on partitions. A
-    group is one comparison's trials, not a recording's samples.
+def permutation_contrast(values: DataFrame, group: str, draws: int = 5000, boots: int = 2000, chunk: int = 2048) -> DataFrame:
+    """group, a, b, effect, p, lo, hi: label permutation and percentile bootstrap of mean b less mean a, for every pair.
+
+    Trials are dealt by hash into chunks of about ``chunk`` values. A draw's labels (or its
+    draws with replacement) are first split over the chunks by the multivariate hypergeometric
+    (multinomial) law, then dealt inside each chunk, which gives exactly a permutation (a
+    bootstrap sample) of all; sums of the chunks add up. A task holds chunks and blocks of
+    draws, never a comparison. Draws are seeded by names and chunk, so results don't depend on
+    partitions. Null and NaN values are left out.
     """
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["condition", "trial"])
-        x, y = (rows.loc[rows["condition"] == c, "value"].to_numpy(float) for c in (a, b))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"key": [], "effect": [], "p": [], "lo": [], "hi": []})
-        draw, both, effect = np.random.default_rng(_seed(*key)), np.concatenate([x, y]), y.mean() - x.mean()
-        hits = 0
-        spread = np.empty(draws)
-        for i in range(draws):
-            mixed = draw.permutation(both)
-            hits += abs(mixed[len(x) :].mean() - mixed[: len(x)].mean()) >= abs(effect) - 1e-12
-            spread[i] = draw.choice(y, len(y)).mean() - draw.choice(x, len(x)).mean()
-        lo, hi = np.percentile(spread, [2.5, 97.5])
-        return pd.DataFrame({"key": [key[0]], "effect": [effect], "p": [(hits + 1) / (draws + 1)], "lo": [lo], "hi": [hi]})
-
-    kept = values.where(F.col("condition").isin(a, b)).select(F.col(group).alias("key"), "condition", "trial", "value")
-    kind = dict(kept.dtypes)["key"]
-    found = kept.groupBy("key").applyInPandas(run, f"key {kind}, effect double, p double, lo double, hi double")
-    return found.withColumnRenamed("key", group)
+    kept = values.where("value is not null and not isnan(value)").select(F.col(group).alias("key"), "condition", "trial", "value")
+    key, label = (dict(kept.dtypes)[c] for c in ("key", "condition"))
+    most = kept.groupBy("key", "condition").count().agg(F.max("count")).first()[0] or 0
+    chunks = max(1, -(-most // chunk))
+    block = max(10, min(1000, 1_000_000 // chunks))
+    dealt = F.pmod(F.xxhash64("trial"), F.lit(chunks)).cast("int").alias("chunk")
+    parts = kept.groupBy("key", "condition", dealt).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("trial", "value"))), lambda r: r["value"].cast("double")).alias("xs")
+    )
+    sizes = parts.groupBy("key", "condition").agg(
+        F.sum(F.size("xs")).alias("n"), F.sum(F.aggregate("xs", F.lit(0.0), lambda x, y: x + y)).alias("total"),
+        F.collect_list(F.struct("chunk", F.size("xs").alias("n"))).alias("held"),
+    )
+
+    def counts(held) -> np.ndarray:
+        out = np.zeros(chunks, np.int64)
+        for x in held:
+            out[x["chunk"]] += x["n"]
+        return out
+
+    def blocks(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(-(-n // block) - 1))).alias("block")
+
+    def shares(names: list[str], n: int, split):
+        """How many values each chunk gives to each draw of a block."""
+
+        def run(batches):
+            for rows in batches:
+                for row in rows.to_dict("records"):
+                    size = min(block, n - block * row["block"])
+                    draw = np.random.default_rng([_seed(*[row[c] for c in names]), row["block"]])
+                    held = counts(row["held"])
+                    take = split(draw, held, row, size)
+                    full = np.flatnonzero(held)
+                    yield pd.DataFrame({**{c: [row[c]] * len(full) for c in [*names, "block"]}, "chunk": full, "take": [take[:, c] for c in full]})
+
+        return run
+
+    def sums(names: list[str], pick):
+        """Each draw's sum over the values that a chunk gives."""
+
+        def run(batches):
+            for rows in batches:
+                for row in rows.to_dict("records"):
+                    draw = np.random.default_rng([_seed(*[row[c] for c in names]), row["block"], row["chunk"]])
+                    take, xs = np.asarray(row["take"], np.int64), np.asarray(row["xs"], float)
+                    found = [pick(draw, xs, take[i : i + 100]) for i in range(0, len(take), 100)]
+                    yield pd.DataFrame({**{c: [row[c]] for c in [*names, "block"]}, "sums": [np.concatenate(found)]})
+
+        return run
+
+    def permuted(draw, xs, take):
+        mixed = draw.permuted(np.tile(xs, (len(take), 1)), axis=1)
+        upto = np.concatenate([np.zeros((len(take), 1)), np.cumsum(mixed, axis=1)], axis=1)
+        return upto[np.arange(len(take)), take]
+
+    def resampled(draw, xs, take):
+        return np.array([xs[draw.integers(0, len(xs), k)].sum() for k in take])
+
+    def added(found: DataFrame, names: list[str]) -> DataFrame:
+        return found.select(*names, "block", F.posexplode("sums").alias("i", "s")).groupBy(*names, "block", "i").agg(F.sum("s").alias("s"))
+
+    # Permutations of every pair's labels.
+    left, right = (sizes.select("key", F.col("condition").alias(c), F.col("n").alias(f"n_{c}"), F.col("total").alias(f"total_{c}"), F.col("held").alias(f"held_{c}")) for c in "ab")
+    pairs = left.join(right, "key").where("a < b")
+    asked = pairs.select("key", "a", "b", "n_a", F.concat("held_a", "held_b").alias("held"), blocks(draws)).repartition("key", "a", "b", "block")
+    names = ["key", "a", "b"]
+    took = asked.mapInPandas(
+        shares(names, draws, lambda draw, held, row, size: draw.multivariate_hypergeometric(held, row["n_a"], size, method="marginals")),
+        f"key {key}, a {label}, b {label}, block int, chunk int, take array<long>",
+    )
+    xa, xb = (parts.select("key", F.col("condition").alias(c), "chunk", F.col("xs").alias(f"x_{c}")) for c in "ab")
+    none = F.array().cast("array<double>")
+    both = took.join(xa, ["key", "a", "chunk"], "left").join(xb, ["key", "b", "chunk"], "left").select(
+        *names, "block", "chunk", "take", F.concat(F.coalesce("x_a", none), F.coalesce("x_b", none)).alias("xs")
+    ).repartition(*names, "block", "chunk")
+    drawn = added(both.mapInPandas(sums(names, permuted), f"key {key}, a {label}, b {label}, block int, sums array<double>"), names)
+    flat = pairs.select(*names, "n_a", "n_b", "total_a", "total_b", (F.col("total_b") / F.col("n_b") - F.col("total_a") / F.col("n_a")).alias("effect"))
+    mixed = (F.col("total_a") + F.col("total_b") - F.col("s")) / F.col("n_b") - F.col("s") / F.col("n_a")
+    tested = drawn.join(flat, names).groupBy(*names, "effect").agg(
+        ((F.count_if(F.abs(mixed) >= F.abs("effect") - 1e-12) + 1) / (draws + 1)).alias("p")
+    )
+
+    # Bootstrap means of every condition; those of a pair are independent.
+    own = ["key", "condition"]
+    took = sizes.select(*own, "n", "held", blocks(boots)).repartition(*own, "block").mapInPandas(
+        shares(own, boots, lambda draw, held, row, size: draw.multinomial(row["n"], held / held.sum(), size)),
+        f"key {key}, condition {label}, block int, chunk int, take array<long>",
+    )
+    again = took.join(parts, [*own, "chunk"]).repartition(*own, "block", "chunk")
+    means = added(again.mapInPandas(sums(own, resampled), f"key {key}, condition {label}, block int, sums array<double>"), own)
+    means = means.join(sizes.select(*own, "n"), own).select(*own, "block", "i", (F.col("s") / F.col("n")).alias("m"))
+    x, y = (means.select("key", F.col("condition").alias(c), "block", "i", F.col("m").alias(f"m_{c}")) for c in "ab")
+    apart = x.join(y, ["key", "block", "i"]).where("a < b").groupBy(*names).agg(
+        *[F.percentile(F.col("m_b") - F.col("m_a"), F.lit(q)).alias(c) for c, q in (("lo", 0.025), ("hi", 0.975))]
+    )
+    return tested.join(apart, names).withColumnRenamed("key", group)

@@ -199,7 +199,7 @@ def bh_fdr(spark, sf_dir):
 
 def permutation_contrast(spark, sf_dir):
     values = long_epochs(spark, sf_dir).groupBy("trial", "condition", F.floor(F.col("t") / 16).cast("long").alias("quarter")).agg(F.avg("value").alias("value"))
-    return stats.permutation_contrast(values, "quarter", 0, 1).select("quarter", *r6("effect", "p", "lo", "hi"))
+    return stats.permutation_contrast(values, "quarter").select("quarter", "a", "b", *r6("effect", "p", "lo", "hi"))
 
 
 QUERIES = {
