@@ -143,3 +143,17 @@ def test_permutation_contrast_of_all_pairs_in_chunks(spark):
         assert g["effect"] == pytest.approx(effect) and g["p"] == pytest.approx(want, abs=0.03)
         assert g["hi"] - g["lo"] == pytest.approx(width, rel=0.1) and g["lo"] < effect < g["hi"]
     assert got[0, 2]["p"] == pytest.approx(1 / 5001)
+
+
+def test_variance_outliers_judge_every_session_of_four_channels(spark):
+    from tests.test_oracle import SF
+    from tidewave.operators import quality_control as Q
+    from tidewave.plans import registry
+    from tidewave.plans.tables import samples
+
+    few = {r["session"] for r in samples(spark, SF).groupBy("session").agg(F.countDistinct("channel").alias("n")).where("n < 4").collect()}
+    found = registry.QUERIES["qc_variance_outlier_all"](spark, SF).where("flag = 'insufficient_channels'").collect()
+    assert {r["session"] for r in found} == few
+    rows = [(1, c, v) for c, v in zip("abcde", (1.0, 1.1, 0.9, 1.05, 9.0))] + [(2, c, 1.0) for c in "abc"]
+    got = Q.group_outliers(spark.createDataFrame(rows, "session long, channel string, value double"), "value", ["session"], 3.0, 4).collect()
+    assert {(r["session"], r["channel"], r["flag"]) for r in got} == {(1, "e", "outlier"), (2, None, "insufficient_channels")}

@@ -28,6 +28,13 @@ def qc_variance_outlier(spark, sf_dir):
     return Q.group_outliers(kept, "value", ["session"], 3.0, 4).select("session", "channel", *r6("z"), "flag")
 
 
+def qc_variance_outlier_all(spark, sf_dir):
+    """The same over all channels; ``qc_variance_outlier`` leaves out four channels of every seventh session."""
+    sd = samples(spark, sf_dir).groupBy("session", "channel").agg(F.stddev_pop("value").alias("sd"))
+    logs = sd.withColumn("value", F.log10(F.col("sd") + 1e-12))
+    return Q.group_outliers(logs, "value", ["session"], 3.0, 4).select("session", "channel", *r6("z"), "flag")
+
+
 def qc_block_kurtosis(spark, sf_dir):
     return Q.block_kurtosis(samples(spark, sf_dir), ["session", "channel"], 6).select("session", "channel", *r6("kurtosis"), "blocks")
 
@@ -131,7 +138,7 @@ def leadfield(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        qc_robust_z, qc_flat, qc_variance_outlier, qc_block_kurtosis, qc_clipping, qc_amplitude_episodes, qc_trial_outlier, qc_spikes,
+        qc_robust_z, qc_flat, qc_variance_outlier, qc_variance_outlier_all, qc_block_kurtosis, qc_clipping, qc_amplitude_episodes, qc_trial_outlier, qc_spikes,
         qc_hf_noise, qc_flag_ids, stream_summary, channel_covariance, channel_covariance_all, autocorrelation, participation_ratio, cosine_to_condition, fir_smooth, leadfield,
     )
 }
@@ -145,6 +152,8 @@ ORACLES = {
     "qc_flat": f"with {SAMPLES_SQL}, s as (select session, channel, stddev_pop(value) as sd from samples group by 1, 2), m as (select *, quantile_cont(sd, 0.5) over (partition by session) as med from s) select session, channel, round(sd, 6) + 0.0 as sd, round(med, 6) + 0.0 as median_sd from m where sd < 0.5 * med",
     "qc_variance_outlier": f"with {SAMPLES_SQL}, s as (select session, channel, log10(stddev_pop(value) + 1e-12) as v from samples where session % 7 <> 0 or channel < 'd' group by 1, 2), m as (select *, count(*) over (partition by session) as members from s), big as (select * from m where members >= 4), "
     + _Z.format(v="v", by="session", src="big") + " select session, channel, round(z, 6) + 0.0 as z, 'outlier' as flag from zz where abs(z) > 3 union all select distinct session, null, null::double, 'insufficient_channels' from m where members < 4",
+    "qc_variance_outlier_all": f"with {SAMPLES_SQL}, s as (select session, channel, log10(stddev_pop(value) + 1e-12) as v from samples group by 1, 2), m as (select *, count(*) over (partition by session) as members from s), big as (select * from m where members >= 4), "
+    + _Z.format(v="v", by="session", src="big") + " select session, channel, round(z, 6) + 0.0 as z, 'outlier' as flag from zz where abs(z) > 3 union all select distinct session, null, null::double, 'insufficient_channels' from m where members < 4",
     "qc_block_kurtosis": f"with {SAMPLES_SQL}, b as (select session, channel, i // 6 as block, case when count(value) > 3 then kurtosis(value) end as k from samples group by 1, 2, 3) select session, channel, round(quantile_cont(k, 0.5), 6) + 0.0 as kurtosis, count(k) as blocks from b group by 1, 2",
     "qc_clipping": f"with {SAMPLES_SQL}, r as (select *, max(abs(value)) over (partition by session, channel) as rail from samples) select session, channel, rail, round(avg(case when abs(abs(value) - rail) <= 1e-8 + 1e-6 * rail then 1.0 else 0.0 end), 6) + 0.0 as fraction from r group by 1, 2, 3",
     "qc_amplitude_episodes": f"with {SAMPLES_SQL}, b as (select session, channel, i // 2 as block, log10(greatest(max(value) - min(value), 1e-12)) as lp from samples group by 1, 2, 3), m as (select * from (select *, count(*) over (partition by session, channel) as n from b) where n >= 5), "
