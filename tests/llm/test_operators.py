@@ -196,6 +196,21 @@ def test_topk_leaves_out_odd_vectors(spark):
     assert topk.top_k(x.limit(0), x, 3).count() == 0 and topk.top_k(x, x.limit(0), 3).count() == 0
 
 
+def test_topk_with_large_vectors(spark):
+    r = np.random.default_rng(7)
+    plain = {i: r.integers(-99, 99, 3).tolist() for i in range(40)}
+    vectors = plain | {40: [2**27 + 1, 2**27, -5], 41: [2**40, 3, 1], 42: [2**70, 0, 1], 43: [-(2**70), 1, 0]}
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in vectors.items()], "id long, v array<double>")
+    want = set()
+    for q in (0, 20, 40, 42):
+        products = [(i, sum(a * b for a, b in zip(vectors[q], v))) for i, v in vectors.items() if i != q]
+        held = sorted((-max(-(2**63), min(2**63 - 1, s)), i) for i, s in products)[:9]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(held, 1)}
+    assert {tuple(g) for g in topk.top_k(frame.where("id in (0, 20, 40, 42)"), frame, 9).collect()} == want
+    whole = topk.scaled(spark.createDataFrame([(1, [2.0**70, 0.51])], "vec_id long, embedding array<float>")).collect()
+    assert whole[0]["v"] == [2.0**76, 32.0]
+
+
 # --- URL filter ---------------------------------------------------------------------------
 
 

@@ -14,7 +14,8 @@ local cosine of at least c = s / (q * m):
 * otherwise length pruning: only vectors of length at least s / q stay.
 
 Survivors' products are verified in exact integer arithmetic (float64 products of
-integers below 2^53). Both bounds are widened by a relative 1e-9, so rounding never
+integers below 2^53; vectors of length 2^26 or more are left out of the buckets and
+multiplied in Python integers). Both bounds are widened by a relative 1e-9, so rounding never
 prunes a vector that ties. Every cell returns its k best per query; a query's cells
 meet in one ranking of at most k rows per cell.
 
@@ -26,7 +27,8 @@ Defined results for odd input: vectors that are null or hold null or non-finite
 components take no part; vectors of another length than the first's meet only those
 of their own length; rows without an id take no part; a vector isn't compared with rows
 of its own id; repeated query rows give their results once per distinct vector;
-empty vectors score 0; empty tables give no rows; extra columns are ignored.
+empty vectors score 0; a score beyond a long is the nearest long, and those that so tie
+go by id; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ from tidewave.llm.common import require, table
 
 GROUP_ROWS, BLOCK_QUERIES, BUCKET_ROWS = 16_384, 1_024, 1_024
 COORDINATE_FROM = 0.9
-EXACT = float(1 << 53)
+#: Two vectors shorter than this have a product below 2^53.
+LOUD = float(1 << 26)
+LONG = np.iinfo(np.int64)
 
 
 def usable(column: str) -> Column:
@@ -58,6 +62,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Products of integer-valued rows with q in Python integers, held within a long."""
+    own = [int(v) for v in q]
+    found = [sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in x]
+    return np.array([max(LONG.min, min(LONG.max, s)) for s in found], np.int64)
+
+
 def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of a cell for each of its queries."""
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -71,13 +82,13 @@ def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFra
         x, norms, ids = x[order], norms[order], near["id"].to_numpy(np.int64)[order]
         q = np.array(own["v"].tolist(), np.float64).reshape(len(own), width)
         q_ids, q_norms = own["id"].to_numpy(np.int64), np.sqrt((q * q).sum(axis=1))
-        if width and max(norms.max(), 1) * max(q_norms.max(), 1) >= EXACT:
-            raise OverflowError("inner products beyond 2^53 aren't exact")
+        all_x, all_ids, loud, loud_q = x, ids, norms >= LOUD, q_norms >= LOUD
+        x, norms, ids = x[~loud], norms[~loud], ids[~loud]
         focus = np.abs(q).argmax(axis=1) if width else np.zeros(len(q), int)
         best_s = [np.zeros(0)] * len(q)
         best_i = [np.zeros(0, np.int64)] * len(q)
         kth = np.full(len(q), -np.inf)
-        live = np.arange(len(q))
+        live = np.flatnonzero(~loud_q)
         for at in range(0, len(x), BUCKET_ROWS):
             b, b_norms, b_ids = x[at : at + BUCKET_ROWS], norms[at : at + BUCKET_ROWS], ids[at : at + BUCKET_ROWS]
             reach = q_norms[live] * b_norms[0] * (1 + 1e-9)
@@ -103,6 +114,14 @@ def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFra
                 for r in np.flatnonzero(good.any(axis=1)):
                     stay = np.flatnonzero(good[r])
                     _merge(wide[r], scores[r, stay], b_ids[stay], q_ids, best_s, best_i, kth, k)
+        for i in np.flatnonzero(loud_q | loud.any()):
+            more = np.ones(len(all_x), bool) if loud_q[i] else loud
+            more = more & (all_ids != q_ids[i])
+            scores = np.concatenate([best_s[i].astype(np.int64), _exact(all_x[more], q[i])])
+            near_ids = np.concatenate([best_i[i], all_ids[more]])
+            # ~s is -s - 1, which is a long for every long.
+            order = np.lexsort((near_ids, ~scores))[:k]
+            best_s[i], best_i[i] = scores[order], near_ids[order]
         out += [(q_ids[i], best_s[i], best_i[i]) for i in range(len(q)) if len(best_i[i])]
     if not out:
         return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
@@ -111,7 +130,7 @@ def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFra
         {
             "query_id": np.repeat([i for i, _, _ in out], n),
             "vec_id": np.concatenate([i for _, _, i in out]),
-            "score": np.concatenate([s for _, s, _ in out]).astype(np.int64),
+            "score": np.concatenate([s.astype(np.int64) for _, s, _ in out]),
         }
     )
 
@@ -155,7 +174,11 @@ def scaled(embeddings: DataFrame, factor: float = 64.0) -> DataFrame:
     """id, v: vectors that take part, every component x as floor(factor * x), x as double."""
     require(embeddings, ["vec_id", "embedding"])
     whole = embeddings.where(usable("embedding") & F.col("vec_id").isNotNull())
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * factor).cast("double"))
+    # floor() gives a long; doubles from 2^53 on are whole already.
+    v = F.transform(
+        F.transform("embedding", lambda x: x.cast("double") * factor),
+        lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x),
+    )
     return whole.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"))
 
 
