@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +24,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the session names in spark.checkpoint.dir.
+
+    A folder of our own is set only where the session names none and everything runs
+    in one process (local runs and tests); a cluster must name one.
+    """
+    context = spark.sparkContext
+    set_ = context._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewave-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it from there.
+    """Write df as Parquet in the shared folder and read it from there, which ends its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing reads any more; shuffle files nobody refers to go with them.
 
-    The folder is the one the session names in spark.checkpoint.dir; a folder of
-    our own is set only where the session names none (local runs and tests).
+    Spark's cleaner only sees what the JVM has collected, so it is asked to collect.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewave-"))
-    return df.checkpoint()
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def lower_ascii(column):

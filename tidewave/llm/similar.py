@@ -5,27 +5,31 @@ linked; a document's component is the smallest doc_id it can reach over links.
 
 1. Documents with the same shingle set (128 bits of it) form a class; a class counts
    as one text from here on, so a group of exact copies costs one row.
-2. Every class has a signature of ``BANDS * ROWS`` MinHash values. Classes that share
-   a band are candidates. With 26 bands of 3 a pair at 0.75 shares none with
+2. Every class has a signature of ``BANDS * ROWS`` MinHash values, 16 bits each. Classes
+   that share a band are candidates. With 26 bands of 3 a pair at 0.75 shares none with
    probability (1 - 0.75^3)^26 < 7e-7.
 3. In a band, members are first compared with the smallest member only (a star, so
-   a group of n near copies costs n pairs). Verified links give components. Members
-   of bands that still hold several components are looked at again: their shingles
-   are ranked by rarity, and members of different components meet where the rank of
-   the first shingle they share leaves the threshold in reach (prefix and positional
-   filter, exact). So no link between components is lost, and members of a large
-   group that differ too much never form pairs over what the whole group shares.
-4. Candidates are verified one after another: signatures are compared in batches of
+   a group of n near copies costs n pairs). Verified links give components. Where the
+   other members of a band still are in several components, they are looked at again:
+   their shingles are ranked by rarity, and members of different components meet where
+   the rank of the first shingle they share leaves the threshold in reach (prefix and
+   positional filter, exact). So no link between components is lost, and members of a
+   large group that differ too much never form pairs over what the whole group shares.
+4. Candidates are verified one after another: sizes first, then signatures in batches of
    ``BATCH`` values; after each, a pair is pruned if the posterior probability that
    its similarity reaches the threshold (uniform prior, binomial matches) is below
    ``MISS``. Survivors are verified exactly on full shingle sets.
 5. Components by repeated minimum over links, with the lineage cut in between.
 
+Texts are moved once: those of candidates go, compressed, to a table of their own, which
+all exact checks read. Tables that nothing reads any more are deleted on the way.
+
 Defined results for odd input: null, empty or blank text has an empty set, is linked
 with nothing and is its own component; rows without a doc_id aren't linked, have no
-component and are kept; repeated rows share a class; very long texts are taken whole;
-an empty table gives an empty result; extra columns are ignored (near_dedup passes
-them on).
+component and are kept; repeated rows share a class; rows that share a doc_id but not
+their text are judged each by its own text, and a link of one text counts for its doc_id;
+very long texts are taken whole; an empty table gives an empty result; extra columns,
+whatever their names, are ignored (near_dedup passes them on).
 """
 
 from __future__ import annotations
@@ -36,11 +40,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import SHINGLE_WORDS, SIMILARITY_DEN, SIMILARITY_NUM, cut, require, table
+from tidewave.llm.common import SHINGLE_WORDS, SIMILARITY_DEN, SIMILARITY_NUM, cut, forget, require, table
 
 BANDS, ROWS = 26, 3
 N_HASHES = BANDS * ROWS
@@ -95,7 +100,7 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The MinHash values of a set, 32 bits each."""
+    """The MinHash values of a set, 16 bits of each (the least values' high bits say little, so they are mixed)."""
     least = np.full(N_HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         part = hashes[at : at + 512]
@@ -103,7 +108,7 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         values ^= values >> _U(32)
         values *= _MIX[0]
         np.minimum(least, values.min(axis=1), out=least)
-    return (least >> _U(32)).astype(np.uint32)
+    return mix64(least).astype(np.uint16)
 
 
 def signatures(documents: DataFrame) -> DataFrame:
@@ -133,26 +138,33 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """One row per distinct non-empty shingle set: id (its smallest doc_id), n, sig."""
+    """One row per distinct non-empty shingle set: s1, s2, id (its smallest doc_id), n, copies, sig."""
     whole = signed.where("doc_id is not null and n_shingles > 0")
     return whole.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")
     )
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """id and band (a 64-bit key that includes the band's number) of every class."""
+    """band (a 64-bit key that includes the band's number), id and n of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
             key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15)
             for r in range(ROWS):
                 key = mix64(key + sig[:, :, r])
-            ids = np.repeat(batch["id"].to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.reshape(-1).view(np.int64))], names=["id", "band"])
+            own = [pa.array(np.repeat(batch[c].to_numpy(), BANDS)) for c in ("id", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), *own], names=["band", "id", "n"])
+
+    return reps.select("id", "n", "sig").mapInArrow(run, "band long, id long, n long")
+
 
-    return reps.select("id", "sig").mapInArrow(run, "id long, band long")
+def shared_bands(reps: DataFrame) -> DataFrame:
+    """band, hub (its smallest member), members, id, n: every other member of every band of two or more."""
+    banded = bands(reps)
+    least = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return banded.join(least, "band").where("id <> hub")
 
 
 def match_bounds(miss: float = MISS) -> list[tuple[int, int]]:
@@ -169,48 +181,70 @@ def match_bounds(miss: float = MISS) -> list[tuple[int, int]]:
     return out
 
 
+def sizes_fit(na, nb):
+    """Sizes alone bound the similarity."""
+    return F.least(na, nb) * SIMILARITY_DEN >= F.greatest(na, nb) * SIMILARITY_NUM
+
+
 def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures leave the threshold in reach."""
-    sigs = reps.select("id", "n", "sig")
-    both = pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
-    sized = both.where(
-        F.least("na", "nb") * SIMILARITY_DEN >= F.greatest("na", "nb") * SIMILARITY_NUM
-    )  # sizes alone bound the similarity
+    """Pairs (a, b) whose signatures leave the threshold in reach."""
+    sigs = reps.select("id", "sig")
+    both = pairs.select("a", "b").join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = match_bounds()
         for batch in batches:
-            x = np.frombuffer(b"".join(batch["sa"].to_pylist()), np.uint32).reshape(-1, N_HASHES)
-            y = np.frombuffer(b"".join(batch["sb"].to_pylist()), np.uint32).reshape(-1, N_HASHES)
+            x = np.frombuffer(b"".join(batch["sa"].to_pylist()), np.uint16).reshape(-1, N_HASHES)
+            y = np.frombuffer(b"".join(batch["sb"].to_pylist()), np.uint16).reshape(-1, N_HASHES)
             live, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
             for n, least in bounds:
                 matches[live] += (x[live, done:n] == y[live, done:n]).sum(axis=1)
                 live, done = live[matches[live] >= least], n
             yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(live)) for c in "ab"], names=["a", "b"])
 
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that are linked, judged on their full shingle sets."""
-    left = pairs.join(texts.toDF("a", "ta"), "a")
-    both = left.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def pressed(documents: DataFrame) -> DataFrame:
+    """id and its text, compressed, of every document that has both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        seen: dict[int, np.ndarray] = {}  # the sets of the batch's hubs come again and again
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            z = [press.compress(x.as_py().encode("utf-8", "surrogatepass")) for x in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(z, pa.binary())], names=["id", "z"])
+
+    known = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    return known.mapInArrow(run, "id long, z binary")
+
 
-        def of(key: int, text) -> np.ndarray:
-            if key not in seen:
-                if len(seen) >= 64:
-                    seen.clear()
-                seen[key] = shingles(text.as_py(), words)
-            return seen[key]
+class Sets:
+    """Shingle sets of compressed texts; the last ones are kept, as the texts of hubs come again and again."""
 
+    def __init__(self, keep: int = 0):
+        self.words, self.open, self.keep = Words(), zstandard.ZstdDecompressor(), keep
+        self.seen: dict[int, tuple[bytes, np.ndarray]] = {}
+
+    def of(self, key: int, z: bytes) -> np.ndarray:
+        if key not in self.seen or self.seen[key][0] != z:
+            if len(self.seen) >= self.keep:
+                self.seen.clear()
+            text = self.open.decompress(z).decode("utf-8", "surrogatepass")
+            self.seen[key] = z, shingles(text, self.words)
+        return self.seen[key][1]
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that are linked, judged on their full shingle sets. texts: as of pressed()."""
+    left = pairs.join(texts.toDF("a", "za"), "a")
+    both = left.join(texts.toDF("b", "zb"), "b").select("a", "b", "za", "zb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(64)
         for batch in batches:
             keep = []
-            for i, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
-                x, y = of(a, batch["ta"][i]), of(b, batch["tb"][i])
+            for i, (a, b, za, zb) in enumerate(zip(*(batch[c].to_pylist() for c in ("a", "b", "za", "zb")), strict=True)):
+                x, y = sets.of(a, za), sets.of(b, zb)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if SIMILARITY_DEN * shared >= SIMILARITY_NUM * (len(x) + len(y) - shared):
                     keep.append(i)
@@ -238,22 +272,28 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(out.where("u <> v").distinct())
+        old, edges = edges, cut(out.where("u <> v").distinct())
+        forget(old)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = state
 
 
-def candidate_stars(banded: DataFrame) -> DataFrame:
-    """Every member of a band with the band's smallest member."""
-    least = banded.groupBy("band").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top")
-    return banded.join(least.select("band", "b"), "band").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+def candidate_stars(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """Every member of a band with the band's smallest member, where their sizes fit."""
+    pairs = shared.select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na")).distinct()
+    sized = pairs.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.where(sizes_fit("na", "nb")).select("a", "b")
+
 
+def mixed_members(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """id and component of the members of bands whose pairs the star doesn't settle.
 
-def mixed_members(banded: DataFrame, comps: DataFrame) -> DataFrame:
-    """id and component of every member of a band that holds several components."""
-    named = banded.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    The star judges all pairs with the smallest member; the others are settled too if
+    they are one component.
+    """
+    named = shared.where("members > 2").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return named.join(mixed.select("band"), "band").select("id", "component").distinct()
 
@@ -267,14 +307,14 @@ def ranked_tokens(members: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        read = Sets()
         for batch in batches:
-            sets = [shingles(x.as_py(), words).view(np.int64) for x in batch["text"]]
+            sets = [read.of(0, z).view(np.int64) for z in batch["z"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["component"], pa.array(sets, pa.list_(pa.int64()))], names=["id", "component", "set"]
             )
 
-    sets = members.join(texts, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, set array<long>")
+    sets = members.join(texts, "id").select("id", "component", "z").mapInArrow(run, "id long, component long, set array<long>")
     each = cut(sets.select("id", "component", F.size("set").alias("n"), F.explode("set").alias("token")))
     held = each.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     order = W.partitionBy("id").orderBy("held", "token")
@@ -319,24 +359,29 @@ def near_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, s1, s2, component_id, kept: one row per document."""
     signed = cut(signatures(documents))
     reps = cut(classes(signed))
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    banded = cut(bands(reps))
+    shared = cut(shared_bands(reps))
 
-    stars = cut(prune(candidate_stars(banded), reps))
+    stars = cut(prune(candidate_stars(shared, reps), reps))
+    members = shared.select("id").union(shared.where("members > 2").select("hub")).union(stars.select("b"))
+    texts = cut(pressed(documents).join(members.distinct(), "id", "left_semi"))
     links = cut(verify(stars, texts))
     comps = components(links)
-    members = cut(mixed_members(banded, comps))
-    across = candidates_across(ranked_tokens(members, texts)).join(stars, ["a", "b"], "left_anti")
+    mixed = cut(mixed_members(shared, comps))
+    across = candidates_across(ranked_tokens(mixed, texts)).join(stars, ["a", "b"], "left_anti")
     more = cut(prune(across, reps))
     if not more.isEmpty():
         found = verify(more, texts)
         first = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
         comps = components(first.union(found))
-    named = reps.join(comps, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
+    forget(shared, stars, texts, links, mixed, more)
+    # Most documents are alone in their class and component, and need no name from there.
+    named = reps.join(comps, "id", "left").where("copies > 1 or component is not null")
+    named = cut(named.select("s1", "s2", F.coalesce("component", "id").alias("component")))
+    forget(reps)
     # The class's name goes back to its documents; hot classes are split by Spark.
     joined = signed.drop("sig").join(named, ["s1", "s2"], "left")
     own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    component = F.when(own, F.col("doc_id")).otherwise(F.col("component"))
+    component = F.when(own, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
@@ -345,8 +390,12 @@ def near_components(documents: DataFrame) -> DataFrame:
 
 def near_dedup(documents: DataFrame) -> DataFrame:
     """The documents that stay: of every component those with its smallest doc_id."""
-    gone = near_components(documents).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = near_components(documents).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    packed = documents.select(
+        F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
+    )
+    kept = packed.join(gone, "id", "left_anti")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in documents.columns])
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
