@@ -1,5 +1,6 @@
 """Small and odd inputs for every operator, held against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -356,28 +357,47 @@ def test_quality_separates_and_shrinks_small_sites(spark):
 # --- suffix dedup -------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("batch_bytes", [700, 1 << 20])
-def test_suffix_dedup_against_brute_force(spark, batch_bytes):
+def brute_suffixes(documents, length=suffix_dedup.LENGTH):
+    """String by string: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    least = {}
+    for i, text in documents:
+        data = (text or "").encode()
+        for at in range(len(data) - length + 1) if i is not None else ():
+            s = data[at : at + length]
+            least[s] = min(i, least.get(s, i))
+    out = []
+    for i, text in documents:
+        data = (text or "").encode()
+        gone = np.zeros(len(data), bool)
+        for at in range(len(data) - length + 1) if i is not None else ():
+            if least[data[at : at + length]] < i:
+                gone[at : at + length] = True
+        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        n_spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) > 0).sum())
+        out.append((i, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def suffix_digest(done):
+    got = done.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h"))
+    return sorted((tuple(r) for r in got.collect()), key=str)
+
+
+@pytest.mark.parametrize("batch_bytes, key_bytes, hot", [(700, 5, 512), (700, 1, 512), (3000, 5, 1), (1 << 20, 5, 512)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, batch_bytes, key_bytes, hot):
+    # Fingerprints of one byte match often: they may propose windows, and remove nothing.
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", key_bytes)
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 2000)
     rng = random.Random(13)
     passages = [words(rng, 25, "abcé") for _ in range(6)]
     rows = [(i, words(rng, rng.randint(0, 30), "abc") + rng.choice(passages)[: rng.randint(0, 90)] + words(rng, 9, "bcd")) for i in range(60)]
     rows += [*odd_documents(), (70, rows[3][1]), (71, rows[3][1]), (80, "ab" * 200), (81, "ab" * 60), (82, passages[0] + passages[0])]
-    frame = docs_frame(spark, [(i, t) for i, t in rows])
+    rows += [(90, "\0" * 70), (91, "x" + "\0" * 49), (92, "\0" * 50), (-5, passages[1] * 3)]
+    rng.shuffle(rows)  # batches need not come in order of doc_id
+    frame = docs_frame(spark, rows).withColumn("batch", F.lit("clash"))
     done = suffix_dedup.dedup_spans(frame, batch_bytes=batch_bytes, bucket_bytes=500)
-    got = done.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h"))
-    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(suffix_dedup.brute_force(rows), key=str)
-
-
-def test_suffix_dedup_takes_no_text_by_an_anchors_key(spark, monkeypatch):
-    # One byte of each anchor's key matches often: anchors may propose windows, and remove nothing.
-    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", 1)
-    rng = random.Random(17)
-    rows = [(i, words(rng, 60, "abcdefghijkl")) for i in range(120)]
-    rows += [(200, rows[5][1]), (201, rows[5][1])]
-    done = suffix_dedup.dedup_spans(docs_frame(spark, rows), batch_bytes=700, bucket_bytes=500)
-    got = done.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h"))
-    want = suffix_dedup.brute_force(rows)
-    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(r[2] > 0 for r in want) == 2
+    assert suffix_digest(done) == sorted(brute_suffixes(rows), key=str)
 
 
 def test_suffix_dedup_of_nothing(spark):
@@ -385,12 +405,24 @@ def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.dedup_spans(docs_frame(spark, [(None, None)])).count() == 1
 
 
-def test_levels_double():
-    family = suffix_dedup.LogarithmicFamily()
-    for i in range(64):
-        keys = np.arange(i * 100, i * 100 + 100, dtype=np.uint64)
-        assert not family.scan(keys).any()
-        family.add(keys)
+def test_levels_are_sorted_and_double():
+    rng = np.random.default_rng(0)
+    text = rng.integers(97, 99, 3000).astype(np.uint8)
+    text[1000:1200] = text[:200]
+    family = suffix_dedup.LogarithmicFamily(text)
+    numbers, at = [], 0
+    while at + 40 <= len(text) - suffix_dedup.LENGTH + 1:
+        places = np.arange(at, at + 40)
+        numbers.append(family.add(places, np.full(40, 1000 - at)))
         sizes = list(map(len, family.levels))
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
-    assert family.scan(np.array([0, 6399, 6400], np.uint64)).tolist() == [True, True, False]
+        for level in family.levels:
+            strings = [text[p : p + suffix_dedup.LENGTH].tobytes() for p in family.place[level]]
+            assert strings == sorted(set(strings))
+        at += 40
+    smallest = family.smallest()
+    least = {}
+    for p in range(at):
+        s = text[p : p + suffix_dedup.LENGTH].tobytes()
+        least[s] = min(least.get(s, 1 << 60), 1000 - p // 40 * 40)
+    assert [least[text[p : p + suffix_dedup.LENGTH].tobytes()] for p in range(at)] == smallest[np.concatenate(numbers)].tolist()

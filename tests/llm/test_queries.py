@@ -6,7 +6,7 @@ import zlib
 import duckdb
 import pytest
 
-from tests.llm.test_operators import brute_components, brute_lines
+from tests.llm.test_operators import brute_components, brute_lines, brute_suffixes
 from tests.test_oracle import SF, TABLES, rows_of
 from tidewave.llm import langid, mixing, quality, registry, suffix_dedup
 from tidewave.llm.common import cut, table
@@ -47,7 +47,7 @@ def test_quality_on_held_out_documents(spark):
 def test_suffix_dedup_of_the_whole_table(spark):
     documents = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in suffix_dedup.op10_suffix_dedup(spark, SF).collect())
-    assert got == sorted(suffix_dedup.brute_force(documents))
+    assert got == sorted(brute_suffixes(documents))
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline isn't there")
