@@ -80,9 +80,9 @@ def test_granger_points_forward():
 
 def test_spectrum_of_a_planted_tone(spark):
     frame = epochs(spark, [(0, tone(16, 64, 128.0)), (1, tone(40, 64, 128.0))])
-    peaks = S.spectral_peak(S.spectrum_by_condition(S.spectrum(frame, 64, 128.0)), 1, 60).collect()
+    peaks = S.spectral_peak(S.spectrum_by_condition(S.spectrum(frame, 128.0)), 1, 60).collect()
     assert {r["condition"]: r["peak_freq"] for r in peaks} == {0: 16.0, 1: 40.0}
-    power = S.spectrum(frame, 64, 128.0).where("condition = 0").agg(F.sum("power") * 2.0).first()[0]
+    power = S.spectrum(frame, 128.0).where("condition = 0").agg(F.sum("power") * 2.0).first()[0]
     assert power == pytest.approx(0.5, rel=0.02)  # density times bin width: the tone's variance
 
 
@@ -109,9 +109,10 @@ def test_comodulation_prefers_the_coupled_pair(spark):
     assert (best["slow"], best["fast"]) == (6.0, 60.0)
 
 
-def test_odd_epochs_are_left_out(spark):
+def test_odd_epochs_have_no_power(spark):
     frame = epochs(spark, [(0, np.zeros(3)), (0, np.array([np.nan] * 64)), (0, tone(16, 64, 128.0))])
-    assert O.multitaper(frame, 128.0).select("trial").distinct().count() == 1
+    found = {r["trial"]: r["n"] for r in O.multitaper(frame, 128.0).groupBy("trial").agg(F.count("power").alias("n")).collect()}
+    assert found == {0: 0, 1: 0, 2: 33}
     assert O.multitaper(frame.limit(0), 128.0).count() == 0
 
 
@@ -157,3 +158,37 @@ def test_variance_outliers_judge_every_session_of_four_channels(spark):
     rows = [(1, c, v) for c, v in zip("abcde", (1.0, 1.1, 0.9, 1.05, 9.0))] + [(2, c, 1.0) for c in "abc"]
     got = Q.group_outliers(spark.createDataFrame(rows, "session long, channel string, value double"), "value", ["session"], 3.0, 4).collect()
     assert {(r["session"], r["channel"], r["flag"]) for r in got} == {(1, "e", "outlier"), (2, None, "insufficient_channels")}
+
+
+def test_welch_segments_against_plain_numpy(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3, 1000))
+    frame = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "trial long, condition long, x array<double>")
+    got = S.spectrum(frame, 250.0, 200, 0.5, 5.0, 100.0).orderBy("trial", "segment", "k").toPandas()
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(200) / 200)
+    want = []
+    for row in x:
+        for at in range(0, 801, 100):
+            part = row[at : at + 200]
+            z = np.fft.rfft((part - part.mean()) * window)
+            want.append((np.abs(z) ** 2 * 2 / (250.0 * (window**2).sum()))[4:81])
+    assert np.allclose(got["power"], np.concatenate(want)) and got["freq"].between(5, 100).all()
+    assert got.groupby("trial")["segment"].nunique().eq(9).all()
+    # Averaged segments keep the variance of white noise.
+    whole = S.spectrum(frame, 250.0, 200).groupBy("k").agg(F.avg("power").alias("p")).agg(F.sum("p") * 1.25).first()[0]
+    assert whole == pytest.approx(1.0, abs=0.15)
+
+
+def test_odd_epochs_give_nulls_instead_of_vanishing(spark):
+    rows = [(0, 0, [1.0, 2.0, 1.5, 0.5] * 4), (1, 0, [1.0]), (2, 0, None), (3, 0, [float("nan")] * 16), (4, 1, [0.0, 1.0] * 10)]
+    frame = spark.createDataFrame(rows, "trial long, condition long, x array<double>")
+    got = S.spectrum(frame, 16.0).groupBy("trial").agg(F.count(F.lit(1)).alias("n"), F.count("power").alias("bins")).collect()
+    assert {r["trial"]: (r["n"], r["bins"]) for r in got} == {0: (9, 9), 1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (11, 11)}
+    envelope = {r["trial"]: r["envelope"] for r in O.envelope(frame, 16.0, 2.0, 4.0).collect()}
+    assert [envelope[i] is None for i in range(5)] == [False, True, True, True, False] and len(envelope[4]) == 20
+
+
+def test_a_regular_run_is_not_set_by_its_first_gap():
+    assert K.regular_run(np.array([0, 4, 14, 24, 34, 44]), 0.3).tolist() == [0]
+    assert K.regular_run(np.array([0, 10, 20, 31, 40, 47, 70]), 0.35).tolist() == [0, 10, 20, 31, 40, 47]
+    assert K.regular_run(np.array([3, 9]), 0.3).tolist() == [3, 9]

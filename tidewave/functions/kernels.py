@@ -1,4 +1,4 @@
-"""Small numpy kernels for what column expressions can't say; each works on one epoch."""
+"""Small numpy kernels for what column expressions can't say: one epoch, or epochs in rows."""
 
 from __future__ import annotations
 
@@ -27,17 +27,18 @@ def bandpass(x: np.ndarray, fs: float, lo: float, hi: float, order: int = 4) ->
 
 
 def morlet_power(x: np.ndarray, fs: float, freqs: np.ndarray, cycles: float) -> np.ndarray:
-    """(freq, time) power by convolution with unit-energy complex Morlet wavelets."""
+    """(..., freq, time) power by convolution with unit-energy complex Morlet wavelets, epochs in rows."""
     n = x.shape[-1]
-    out = np.empty((len(freqs), n))
+    out = np.empty((*x.shape[:-1], len(freqs), n))
     for i, f in enumerate(freqs):
         s = cycles / (2 * np.pi * f)
         t = np.arange(-np.ceil(5 * s * fs), np.ceil(5 * s * fs) + 1) / fs
         w = np.exp(2j * np.pi * f * t - t * t / (2 * s * s))
         w /= np.sqrt((np.abs(w) ** 2).sum())
-        full = np.convolve(x, w)
+        size = n + len(w) - 1
+        full = np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(w, size))
         start = (len(w) - 1) // 2
-        out[i] = np.abs(full[start : start + n]) ** 2
+        out[..., i, :] = np.abs(full[..., start : start + n]) ** 2
     return out
 
 
@@ -52,11 +53,12 @@ def slepian(n: int, half_bandwidth: float, k: int) -> np.ndarray:
 
 
 def multitaper(x: np.ndarray, fs: float, half_bandwidth: float = 3.0) -> np.ndarray:
-    """One-sided density averaged over 2*half_bandwidth - 1 tapers."""
+    """One-sided density averaged over 2*half_bandwidth - 1 tapers, epochs in rows."""
     n = x.shape[-1]
     tapers = slepian(n, half_bandwidth, int(2 * half_bandwidth - 1))
-    p = (np.abs(np.fft.rfft(tapers * (x - x.mean()), axis=1)) ** 2).mean(axis=0) / fs
-    p[1 : (n + 1) // 2] *= 2
+    centred = x - x.mean(axis=-1, keepdims=True)
+    p = (np.abs(np.fft.rfft(tapers * centred[..., None, :], axis=-1)) ** 2).mean(axis=-2) / fs
+    p[..., 1 : (n + 1) // 2] *= 2
     return p
 
 
@@ -108,11 +110,16 @@ def prominent_extrema(x: np.ndarray, fraction: float) -> np.ndarray:
     return np.array(sorted(out), int)
 
 
-def regular_run(extrema: np.ndarray, tolerance: float) -> np.ndarray:
-    """The leading run of extrema whose spacing stays within a tolerance of its running median."""
+def regular_run(extrema: np.ndarray, tolerance: float, seed: int = 5) -> np.ndarray:
+    """The leading run of extrema whose spacing stays within a tolerance of the median so far.
+
+    The first gap is held against the median of the first ``seed`` ones, so that an odd
+    first gap doesn't set the standard. Two extrema are one gap, which fits itself.
+    """
     gaps = np.diff(extrema)
-    for i in range(1, len(gaps)):
-        if abs(gaps[i] - np.median(gaps[:i])) > tolerance * np.median(gaps[:i]):
+    for i in range(len(gaps)):
+        usual = np.median(gaps[: i or seed])
+        if abs(gaps[i] - usual) > tolerance * usual:
             return extrema[: i + 1]
     return extrema
 

@@ -48,34 +48,96 @@ def contact_rows(contacts: DataFrame) -> DataFrame:
     return contacts.withColumn("row_label", F.concat(F.col("kind"), F.lit("_"), rank.cast("string")))
 
 
-def montage_weights(contacts: DataFrame, scheme: str) -> DataFrame:
-    """lead, derivation, contact, w of a scheme over (lead, contact, ord).
+#: Montages over a lead's geometry; chain is plain neighbours in order.
+SCHEMES = ("monopolar", "car", "bipolar_vertical", "bipolar_horizontal", "bipolar_adjacent", "chain")
+
+
+def _weight(contact: Column, w) -> Column:
+    return F.struct(contact.alias("contact"), (F.lit(w) if isinstance(w, float) else w).cast("double").alias("w"))
+
+
+def _pair(plus: Column, minus: Column) -> list[Column]:
+    name = F.concat(plus, F.lit("-"), minus)
+    return [name.alias("derivation"), F.array(_weight(plus, 1.0), _weight(minus, -1.0)).alias("members")]
+
+
+def derivations(contacts: DataFrame, scheme: str) -> DataFrame:
+    """lead, derivation, members (contact, w): what a scheme asks for, whether or not all contacts are there.
 
-    monopolar: each contact; bipolar: neighbours in order; adjacent: neighbours, the
-    last with the first; car: each contact less the lead's mean.
+    contacts: lead, contact, row (from the tip up), pos (order within the row) and available.
+    A row of one contact is a ring, others are segments.
+
+    * bipolar_vertical: each segment less the nearest ring (of two, the lower), and the
+      highest ring less the lowest;
+    * bipolar_horizontal: each segment less the next of its row, the last less the first;
+    * bipolar_adjacent: neighbouring rows of one size pairwise, upper less lower; else the ring
+      less the mean of the row;
+    * car: each available contact less the mean of the available ones.
     """
-    over = W.partitionBy("lead").orderBy("ord")
-    one = F.lit(1.0)
+    if scheme not in SCHEMES:
+        raise ValueError(f"unknown scheme {scheme}; there are {', '.join(SCHEMES)}")
+    order = W.partitionBy("lead").orderBy("row", "pos")
     if scheme == "monopolar":
-        return contacts.select("lead", F.col("contact").alias("derivation"), "contact", one.alias("w"))
-    if scheme in ("bipolar", "adjacent"):
-        following = F.lead("contact").over(over)
-        if scheme == "adjacent":
-            first = F.first("contact").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-            many = F.count("contact").over(W.partitionBy("lead")) > 2
-            following = F.coalesce(following, F.when(many, first))
-        pairs = contacts.withColumn("other", following).where("other is not null")
-        name = F.concat("contact", F.lit("-"), "other")
-        ends = F.array(F.struct(F.col("contact").alias("c"), one.alias("w")), F.struct(F.col("other").alias("c"), (-one).alias("w")))
-        each = pairs.select("lead", name.alias("derivation"), F.explode(ends).alias("e"))
-        return each.select("lead", "derivation", F.col("e.c").alias("contact"), F.col("e.w").alias("w"))
+        return contacts.select("lead", F.col("contact").alias("derivation"), F.array(_weight(F.col("contact"), 1.0)).alias("members"))
+    if scheme == "chain":
+        pairs = contacts.withColumn("other", F.lead("contact").over(order)).where("other is not null")
+        return pairs.select("lead", *_pair(F.col("contact"), F.col("other")))
     if scheme == "car":
-        n = F.count("contact").over(W.partitionBy("lead"))
-        own = contacts.withColumn("n", n)
-        other = contacts.select("lead", F.col("contact").alias("c2"))
-        w = F.when(F.col("contact") == F.col("c2"), one).otherwise(0.0) - 1.0 / F.col("n")
-        return own.join(other, "lead").select("lead", F.col("contact").alias("derivation"), F.col("c2").alias("contact"), w.alias("w"))
-    raise ValueError(f"unknown scheme {scheme}")
+        # The contacts of one lead, a handful.
+        held = contacts.where("available").withColumn("all", F.collect_list("contact").over(W.partitionBy("lead")))
+        w = lambda c: F.when(c == F.col("contact"), 1.0).otherwise(0.0) - 1.0 / F.size("all")
+        members = F.transform("all", lambda c: _weight(c, w(c)))
+        return held.select("lead", F.concat("contact", F.lit("-car")).alias("derivation"), members.alias("members"))
+    sized = contacts.withColumn("in_row", F.count("contact").over(W.partitionBy("lead", "row")))
+    segments = sized.where("in_row > 1")
+    if scheme == "bipolar_horizontal":
+        row = W.partitionBy("lead", "row").orderBy("pos")
+        first = F.first("contact").over(row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        pairs = segments.withColumn("other", F.coalesce(F.lead("contact").over(row), first))
+        return pairs.select("lead", *_pair(F.col("contact"), F.col("other")))
+    if scheme == "bipolar_vertical":
+        rings = sized.where("in_row = 1").select("lead", F.col("contact").alias("ring"), F.col("row").alias("ring_row"))
+        near = F.struct(F.abs(F.col("row") - F.col("ring_row")), F.col("ring_row"))
+        nearest = segments.join(rings, "lead").groupBy("lead", "contact").agg(F.min_by("ring", near).alias("ring"))
+        ends = rings.groupBy("lead").agg(F.max_by("ring", "ring_row").alias("hi"), F.min_by("ring", "ring_row").alias("lo")).where("hi <> lo")
+        return nearest.select("lead", *_pair(F.col("contact"), F.col("ring"))).union(ends.select("lead", *_pair(F.col("hi"), F.col("lo"))))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "contact"))), lambda c: c["contact"])
+    rows = contacts.groupBy("lead", "row").agg(own.alias("lower"))
+    both = rows.withColumn("upper", F.lead("lower").over(W.partitionBy("lead").orderBy("row"))).where("upper is not null")
+    same = both.where(F.size("lower") == F.size("upper")).select("lead", F.explode(F.arrays_zip("lower", "upper")).alias("p"))
+    uneven = both.where(F.size("lower") != F.size("upper"))
+    low = F.size("lower") == 1
+    ring, others = F.when(low, F.col("lower")[0]).otherwise(F.col("upper")[0]), F.when(low, F.col("upper")).otherwise(F.col("lower"))
+    mean = F.transform(others, lambda c: _weight(c, -1.0 / F.size(others)))
+    return same.select("lead", *_pair(F.col("p.upper"), F.col("p.lower"))).union(
+        uneven.select("lead", F.concat(ring, F.lit("-rowmean")).alias("derivation"), F.concat(F.array(_weight(ring, 1.0)), mean).alias("members"))
+    )
+
+
+def _complete(contacts: DataFrame, scheme: str) -> DataFrame:
+    """lead, derivation, contact, w, missing: the derivation's contacts that aren't available."""
+    each = derivations(contacts, scheme).select("lead", "derivation", F.inline("members"))
+    there = contacts.select("lead", "contact", "available")
+    gone = F.when(~F.coalesce(F.col("available"), F.lit(False)), F.col("contact"))
+    missing = F.sort_array(F.collect_set(gone).over(W.partitionBy("lead", "derivation")))
+    return each.join(there, ["lead", "contact"], "left").withColumn("missing", missing)
+
+
+def montage_weights(contacts: DataFrame, scheme: str) -> DataFrame:
+    """lead, derivation, contact, w of a scheme; derivations that need a missing contact are left out."""
+    return _complete(contacts, scheme).where(F.size("missing") == 0).select("lead", "derivation", "contact", "w")
+
+
+def montage_notes(contacts: DataFrame, scheme: str) -> DataFrame:
+    """lead, derivation, missing: what was left out, and for want of which contacts; a null derivation: no rows to derive from."""
+    dropped = _complete(contacts, scheme).where(F.size("missing") > 0).select("lead", "derivation", "missing").distinct()
+    if scheme not in ("bipolar_horizontal", "bipolar_vertical"):
+        return dropped
+    sizes = contacts.groupBy("lead", "row").agg(F.count("contact").alias("n")).groupBy("lead").agg(
+        F.count_if(F.col("n") > 1).alias("segments"), F.count_if(F.col("n") == 1).alias("rings")
+    )
+    none = sizes.where("segments = 0" if scheme == "bipolar_horizontal" else "segments > 0 and rings = 0")
+    return dropped.union(none.select("lead", F.lit(None).cast("string"), F.array().cast("array<string>")))
 
 
 def apply_montage(values: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Epoch-wise numpy kernels, run where Spark has dealt the epochs: one row in, rows out."""
+"""Numpy kernels over epochs, run where Spark has dealt them: one row in, one row or more out."""
 
 from __future__ import annotations
 
@@ -8,22 +8,36 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewave.functions import kernels as K
 
 
 def _each(epochs: DataFrame, schema: str, one: Callable[[np.ndarray], dict], least: int = 8) -> DataFrame:
-    """trial, condition and what ``one`` makes of each epoch's finite samples; short ones are left out."""
+    """trial, condition and what ``one`` makes of each epoch.
+
+    Epochs that are null, shorter than ``least`` or hold a sample that isn't finite give nulls.
+    """
+    return _stacked(epochs, schema, lambda rows: [one(x) for x in rows], least)
+
+
+def _stacked(epochs: DataFrame, schema: str, many: Callable[[np.ndarray], list[dict]], least: int = 8) -> DataFrame:
+    """The same with ``many``, which takes epochs of one length as rows of a matrix."""
+    names = ["trial", "condition", *T._parse_datatype_string(schema).fieldNames()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for trial, condition, x in zip(rows["trial"], rows["condition"], rows["x"], strict=True):
-                x = np.asarray(x, float)
+            by_length: dict[int, list[int]] = {}
+            arrays = [np.zeros(0) if x is None else np.asarray(x, float) for x in rows["x"]]
+            out: list[dict] = [{} for _ in arrays]
+            for i, x in enumerate(arrays):
                 if len(x) >= least and np.isfinite(x).all():
-                    out.append({"trial": trial, "condition": condition, **one(x)})
-            if out:
-                yield pd.DataFrame(out)
+                    by_length.setdefault(len(x), []).append(i)
+            for own in by_length.values():
+                for i, found in zip(own, many(np.stack([arrays[i] for i in own])), strict=True):
+                    out[i] = found
+            heads = zip(rows["trial"], rows["condition"], out, strict=True)
+            yield pd.DataFrame([[t, c, *[found.get(n) for n in names[2:]]] for t, c, found in heads], columns=names, dtype=object)
 
     return epochs.select("trial", "condition", "x").mapInPandas(run, f"trial long, condition long, {schema}")
 
@@ -31,13 +45,13 @@ def _each(epochs: DataFrame, schema: str, one: Callable[[np.ndarray], dict], lea
 def time_frequency(epochs: DataFrame, fs: float, freqs: list[float], cycles: float, step: int) -> DataFrame:
     """trial, condition, freq, t, power of Morlet wavelets, every step-th sample."""
 
-    def one(x: np.ndarray) -> dict:
-        return {"map": [row.tolist() for row in K.morlet_power(x, fs, np.array(freqs), cycles)[:, ::step]]}
+    def many(x: np.ndarray) -> list[dict]:
+        return [{"map": each} for each in K.morlet_power(x, fs, np.array(freqs), cycles)[..., ::step].tolist()]
 
-    maps = _each(epochs, "map array<array<double>>", one)
-    rows = maps.select("trial", "condition", F.posexplode("map").alias("fi", "row"))
+    maps = _stacked(epochs, "map array<array<double>>", many)
+    rows = maps.select("trial", "condition", F.posexplode_outer("map").alias("fi", "row"))
     freq = F.element_at(F.array(*map(F.lit, freqs)), F.col("fi") + 1)
-    return rows.select("trial", "condition", freq.alias("freq"), F.posexplode("row").alias("ti", "power")).withColumn("t", F.col("ti") * step / fs).drop("ti")
+    return rows.select("trial", "condition", freq.alias("freq"), F.posexplode_outer("row").alias("ti", "power")).withColumn("t", F.col("ti") * step / fs).drop("ti")
 
 
 def baseline_log_ratio(maps: DataFrame, t0: float, t1: float) -> DataFrame:
@@ -49,18 +63,18 @@ def baseline_log_ratio(maps: DataFrame, t0: float, t1: float) -> DataFrame:
 
 def multitaper(epochs: DataFrame, fs: float) -> DataFrame:
     """trial, condition, k, power."""
-    found = _each(epochs, "p array<double>", lambda x: {"p": K.multitaper(x, fs).tolist()})
-    return found.select("trial", "condition", F.posexplode("p").alias("k", "power"))
+    found = _stacked(epochs, "p array<double>", lambda x: [{"p": p} for p in K.multitaper(x, fs).tolist()])
+    return found.select("trial", "condition", F.posexplode_outer("p").alias("k", "power"))
 
 
 def envelope(epochs: DataFrame, fs: float, lo: float, hi: float) -> DataFrame:
     """trial, condition, envelope and phase (arrays) of a band."""
 
-    def one(x: np.ndarray) -> dict:
+    def many(x: np.ndarray) -> list[dict]:
         z = K.analytic(K.bandpass(x, fs, lo, hi))
-        return {"envelope": np.abs(z).tolist(), "phase": np.angle(z).tolist()}
+        return [{"envelope": a, "phase": p} for a, p in zip(np.abs(z).tolist(), np.angle(z).tolist(), strict=True)]
 
-    return _each(epochs, "envelope array<double>, phase array<double>", one)
+    return _stacked(epochs, "envelope array<double>, phase array<double>", many)
 
 
 def comodulation(epochs: DataFrame, fs: float, slow: list[tuple[float, float]], fast: list[tuple[float, float]]) -> DataFrame:
@@ -119,13 +133,3 @@ def halves_granger(epochs: DataFrame, lags: int) -> DataFrame:
         return {"forward": K.granger(a, b, lags), "backward": K.granger(b, a, lags)}
 
     return _each(epochs, "forward double, backward double", one)
-
-
-def principal_fraction(covariances: DataFrame) -> float:
-    """Largest eigenvalue over the trace of a covariance table (a, b, cov), channels by channels."""
-    rows = covariances.select("a", "b", "cov").collect()
-    n = 1 + max(max(r["a"], r["b"]) for r in rows)
-    m = np.zeros((n, n))
-    for r in rows:
-        m[r["a"], r["b"]] = m[r["b"], r["a"]] = r["cov"]
-    return float(np.linalg.eigvalsh(m)[-1] / np.trace(m))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,20 +21,63 @@ def bands_frame(df: DataFrame, bands=BANDS) -> DataFrame:
     return df.sparkSession.createDataFrame(list(bands), "band string, lo double, hi double")
 
 
-def spectrum(epochs: DataFrame, n: int, fs: float) -> DataFrame:
-    """trial, condition, k, freq, re, im, power: the one-sided density of detrended Hann-windowed epochs.
+_SPECTRUM = "trial long, condition long, segment long, k long, freq double, re double, im double, power double"
+
+
+def spectrum(epochs: DataFrame, fs: float, n: int | None = None, overlap: float = 0.5, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
+    """trial, condition, segment, k, freq, re, im, power: one-sided densities of Hann-windowed segments.
+
+    Segments of n samples follow each other by (1 - overlap) * n (Welch's segments, each
+    less its mean); without n an epoch is one segment of its own length, on its own grid
+    of frequencies. Bins outside [fmin, fmax] are left out. Epochs that are null, shorter
+    than n or hold a sample that isn't finite give one row of nulls.
 
-    Epochs of another length than n are left out.
+    Epochs of one length are stacked and transformed together, a batch at a time.
     """
-    window = A.hann(n)
-    scale = fs * sum(w * w for w in window)
-    ready = epochs.where(F.size("x") == n).withColumn("x", A.windowed(A.demean(F.col("x")), window))
-    each = ready.select("trial", "condition", "x", F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k"))
-    re, im = A.dft_parts(F.col("x"), F.col("k"), n)
-    parts = each.select("trial", "condition", F.col("k").cast("long").alias("k"), re.alias("re"), im.alias("im"))
-    twice = F.when((F.col("k") == 0) | (F.col("k") * 2 == n), 1.0).otherwise(2.0)
-    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * twice / scale
-    return parts.withColumn("freq", F.col("k") * (fs / n)).withColumn("power", power)
+    if n is not None and (n < 2 or not 0 <= overlap < 1):
+        raise ValueError("segments need two samples and an overlap below 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["x"]
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            trial, condition = (batch[c].to_numpy(zero_copy_only=False) for c in ("trial", "condition"))
+            odd = np.ones(len(batch), bool)
+            for length in np.unique(lengths[lengths >= (n or 2)]):
+                at = np.flatnonzero(lengths == length)
+                x = pc.list_flatten(lists.take(pa.array(at))).to_numpy(zero_copy_only=False).reshape(len(at), length)
+                fine = np.isfinite(x).all(axis=1)
+                at, x = at[fine], x[fine]
+                odd[at] = False
+                if len(at):
+                    yield densities(trial[at], condition[at], x, int(n or length))
+            if odd.any():
+                none = pa.nulls(int(odd.sum()))
+                columns = [pa.array(trial[odd]), pa.array(condition[odd]), none.cast(pa.int64()), none.cast(pa.int64()), *[none.cast(pa.float64())] * 4]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def densities(trial: np.ndarray, condition: np.ndarray, x: np.ndarray, width: int) -> pa.RecordBatch:
+        window = np.array(A.hann(width))
+        step = max(1, width - int(width * overlap)) if n else width
+        parts = np.lib.stride_tricks.sliding_window_view(x, width, axis=1)[:, ::step]
+        z = np.fft.rfft((parts - parts.mean(axis=-1, keepdims=True)) * window, axis=-1)
+        k = np.arange(z.shape[-1])
+        freq = k * (fs / width)
+        power = np.abs(z) ** 2 * np.where((k == 0) | (2 * k == width), 1.0, 2.0) / (fs * (window**2).sum())
+        keep = (freq >= fmin) & (freq <= (fmax if fmax is not None else np.inf))
+        z, power, k, freq = z[..., keep], power[..., keep], k[keep], freq[keep]
+        rows, segments, bins = z.shape
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(trial, segments * bins)), pa.array(np.repeat(condition, segments * bins)),
+                pa.array(np.tile(np.repeat(np.arange(segments), bins), rows)), pa.array(np.tile(k, rows * segments)),
+                pa.array(np.tile(freq, rows * segments)), pa.array(z.real.ravel()), pa.array(z.imag.ravel()), pa.array(power.ravel()),
+            ],
+            names=names,
+        )
+
+    names = [c.split()[0] for c in _SPECTRUM.split(", ")]
+    return epochs.select("trial", "condition", "x").mapInArrow(run, _SPECTRUM)
 
 
 def spectrum_by_condition(spectra: DataFrame) -> DataFrame:

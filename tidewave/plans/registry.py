@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewave.plans import catalog, kernels, layout, quality_control, relations, spectral, workflow
+from tidewave.plans import catalog, kernels, layout, linear, quality_control, relations, spectral, workflow
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (spectral, relations, quality_control, catalog, kernels, layout, workflow):
+for _module in (spectral, relations, quality_control, catalog, kernels, layout, linear, workflow):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

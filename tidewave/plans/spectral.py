@@ -16,7 +16,7 @@ def r6(*names):
 
 
 def _spectra(spark, sf_dir):
-    return S.spectrum(epochs(spark, sf_dir), N, FS)
+    return S.spectrum(epochs(spark, sf_dir), FS)
 
 
 def psd_by_condition(spark, sf_dir):
@@ -24,6 +24,12 @@ def psd_by_condition(spark, sf_dir):
     return out.where("k > 0").select("condition", "k", "freq", *r6("mean_db", "sd_db", "z"), "n")
 
 
+def psd_welch(spark, sf_dir):
+    """Half-overlapped segments of 32 samples between 4 and 40 Hz: the spread is that over segments."""
+    out = S.add_z(S.spectrum_by_condition(S.spectrum(epochs(spark, sf_dir), FS, 32, 0.5, 4.0, 40.0)))
+    return out.select("condition", "k", "freq", *r6("mean_db", "sd_db", "z"), "n")
+
+
 def band_power(spark, sf_dir):
     out = S.band_power(_spectra(spark, sf_dir))
     return out.select("trial", "condition", "band", (F.round(F.log10(F.greatest("power", F.lit(1e-300))), 5) + 0.0).alias("log_power"))
@@ -123,7 +129,7 @@ _SPECTRA = f"""with {EPOCHS_SQL}, hann as (
 QUERIES = {
     f.__name__: f
     for f in (
-        psd_by_condition, band_power, bandpower_contrast, unresolvable_bands, spectral_peak, line_noise,
+        psd_by_condition, psd_welch, band_power, bandpower_contrast, unresolvable_bands, spectral_peak, line_noise,
         energy_fraction_below, phase_locking, weighted_phase_lag, phase_locking_all, weighted_phase_lag_all, aperiodic_fit, averaging_bias, alias_frequency,
     )
 }
@@ -131,6 +137,17 @@ ORACLES = {
     "psd_by_condition": _SPECTRA + """select condition, k, freq, round(mean_db, 6) + 0.0 as mean_db, round(sd_db, 6) + 0.0 as sd_db, n,
       round((mean_db - avg(mean_db) over w) / nullif(sqrt(sum((n - 1) * sd_db * sd_db) over w / nullif(sum(n - 1) over w, 0)), 0), 6) + 0.0 as z
       from by_condition where k > 0 window w as (partition by k)""",
+    "psd_welch": f"""with {EPOCHS_SQL}, cut as (
+        select trial, condition, s, t - 16 * s as t, value - avg(value) over (partition by trial, s) as v
+        from long_epochs, range(0, 3) r(s) where t >= 16 * s and t < 16 * s + 32
+      ), parts as (
+        select trial, condition, s, k::bigint as k, sum(v * (0.5 - 0.5 * cos(2 * pi() * t / 32)) * cos(2 * pi() * k * t / 32)) as re,
+          sum(v * (0.5 - 0.5 * cos(2 * pi() * t / 32)) * sin(2 * pi() * k * t / 32)) as im from cut, range(1, 11) q(k) group by 1, 2, 3, 4
+      ), by_condition as (
+        select condition, k, avg(10 * log10((re * re + im * im) * 2 / (128 * 12.0))) as m, stddev_samp(10 * log10((re * re + im * im) * 2 / (128 * 12.0))) as sd,
+          count(*) as n from parts group by 1, 2
+      ) select condition, k, k * 4.0::double as freq, round(m, 6) + 0.0 as mean_db, round(sd, 6) + 0.0 as sd_db, n,
+        round((m - avg(m) over w) / sqrt(sum((n - 1) * sd * sd) over w / sum(n - 1) over w), 6) + 0.0 as z from by_condition window w as (partition by k)""",
     "band_power": _SPECTRA + "select trial, condition, band, round(log10(greatest(power, 1e-300)), 5) + 0.0 as log_power from band_powers",
     "bandpower_contrast": _SPECTRA + """, means as (
         select band, condition, count(*) as n, avg(10 * log10(power)) as m from band_powers where power is not null group by 1, 2)
