@@ -1,14 +1,12 @@
-"""Readers recover what was written; the streaming fold equals the batch; recipes obey their rules."""
+"""Readers recover what was written; the streaming fold equals the batch."""
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from tidewave import recipes
 from tidewave.sources import recordings as R
 from tidewave.streaming import summary as U
 
-SF = "/root/testdata/sf0.001"
 
 
 def write_edf(path, signals, rate):
@@ -106,14 +104,3 @@ def test_streaming_fold_equals_batch(spark, tmp_path):
         r = got.loc[key]
         assert (r["n"], r["lo"], r["hi"], r["n_lo"], r["n_hi"], r["n_bad"]) == (len(v), v.min(), v.max(), (v == v.min()).sum(), (v == v.max()).sum(), len(part) - len(v))
         assert r["rms"] == pytest.approx(np.sqrt((v * v).mean()))
-
-
-def test_recipes_block_before_they_compute(spark):
-    record, out = recipes.run(spark, SF, "phase_locking", "phases repeat", facts={"ratio_before_average": True}, overrides={"g03": "asked for"})
-    assert out is None and record.status == "blocked" and [f["rule"] for f in record.findings] == ["g03"]
-    record, out = recipes.run(spark, SF, "phase_locking", "phases repeat", facts={"threshold_per_condition": True}, overrides={"g04": "one device per condition"})
-    assert record.status == "done" and out.count() > 0 and '"recipe": "phase_locking"' in record.to_json()
-    with pytest.raises(ValueError):
-        recipes.run(spark, SF, "phase_locking", " ")
-    with pytest.raises(ValueError):
-        recipes.recipe("psd_by_condition", "again")(None)

@@ -77,13 +77,13 @@ def envelope(epochs: DataFrame, fs: float, lo: float, hi: float) -> DataFrame:
     return _stacked(epochs, "envelope array<double>, phase array<double>", many)
 
 
-def comodulation(epochs: DataFrame, fs: float, slow: list[tuple[float, float]], fast: list[tuple[float, float]]) -> DataFrame:
+def comodulation(epochs: DataFrame, fs: float, slow: list[tuple[float, float]], fast: list[tuple[float, float]], bins: int = 9) -> DataFrame:
     """trial, condition, slow, fast (band centres), mi: phase-amplitude coupling on a grid."""
 
     def one(x: np.ndarray) -> dict:
         phases = [np.angle(K.analytic(K.bandpass(x, fs, *b))) for b in slow]
         sizes = [np.abs(K.analytic(K.bandpass(x, fs, *b))) for b in fast]
-        return {"grid": [{"slow": sum(s) / 2, "fast": sum(f) / 2, "mi": K.modulation_index(p, a, 9)} for s, p in zip(slow, phases, strict=True) for f, a in zip(fast, sizes, strict=True)]}
+        return {"grid": [{"slow": sum(s) / 2, "fast": sum(f) / 2, "mi": K.modulation_index(p, a, bins)} for s, p in zip(slow, phases, strict=True) for f, a in zip(fast, sizes, strict=True)]}
 
     found = _each(epochs, "grid array<struct<slow:double,fast:double,mi:double>>", one)
     each = found.select("trial", "condition", F.inline("grid"))

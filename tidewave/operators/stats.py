@@ -165,3 +165,10 @@ def permutation_contrast(values: DataFrame, group: str, draws: int = 5000, boots
         *[F.percentile(F.col("m_b") - F.col("m_a"), F.lit(q)).alias(c) for c, q in (("lo", 0.025), ("hi", 0.975))]
     )
     return tested.join(apart, names).withColumnRenamed("key", group)
+
+
+def tested_contrast(values: DataFrame, group: str, draws: int = 5000, boots: int = 2000, least: int = 5) -> DataFrame:
+    """permutation_contrast of the conditions that have at least ``least`` usable values in a group."""
+    usable = values.where("value is not null and not isnan(value)")
+    enough = usable.groupBy(group, "condition").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+    return permutation_contrast(usable.join(enough, [group, "condition"]), group, draws, boots)

@@ -69,10 +69,10 @@ def qc_hf_noise(spark, sf_dir):
 def qc_flag_ids(spark, sf_dir):
     flat = Q.flat_channels(samples(spark, sf_dir), ["session"], 0.6)
     named = flat.select(
-        F.lit("channel").alias("type"), F.concat(F.col("session").cast("string"), F.lit("/"), "channel").alias("target"), F.lit("flat").alias("flag"),
+        F.lit("channel").alias("type"), F.concat(F.col("session").cast("string"), F.lit("/"), "channel").alias("target"), F.lit("flat").alias("flag"), F.lit("flat_channels").alias("detector"),
         F.create_map(F.lit("session"), F.col("session").cast("string"), F.lit("channel"), F.col("channel")).alias("evidence"),
     )
-    return named.select(Q.flag_id("type", "target", "flag").alias("flag_id"), "target", Q.summarize_evidence(F.col("evidence")).alias("summary"))
+    return named.select(Q.flag_id("type", "target", "flag", "detector").alias("flag_id"), "target", Q.summarize_evidence(F.col("evidence")).alias("summary"))
 
 
 def stream_summary(spark, sf_dir):
@@ -161,7 +161,7 @@ ORACLES = {
     "qc_trial_outlier": f"with {EPOCHS_SQL}, p as (select trial, condition, list_max(x) - list_min(x) as p2p from epochs), " + _Z.format(v="p2p", by="condition", src="p") + " select trial, condition, round(p2p, 6) + 0.0 as p2p, round(z, 6) + 0.0 as z from zz where abs(z) > 2",
     "qc_spikes": f"with {SAMPLES_SQL}, g as (select *, quantile_cont(abs(value), 0.5) over (partition by session, channel) / 0.6745 as sigma from samples), o as (select *, coalesce(i - lag(i) over (partition by session, channel order by i) > 2, true) as far from g where abs(value) > 2 * sigma), s as (select *, sum(far::int) over (partition by session, channel order by i) as island from o), r as (select *, row_number() over (partition by session, channel, island order by abs(value) desc, i) as r from s) select session, channel, i, abs(value) as peak from r where r = 1",
     "qc_hf_noise": _SPECTRA + ", p as (select trial, condition, log10(avg(power) filter (where freq >= 40) / avg(power) filter (where freq >= 1 and freq < 20)) as ratio from spectra group by 1, 2), " + _Z.format(v="ratio", by="condition", src="p") + " select trial, condition, round(ratio, 6) + 0.0 as ratio, round(z, 6) + 0.0 as z from zz where abs(z) > 1.5",
-    "qc_flag_ids": f"with {SAMPLES_SQL}, s as (select session, channel, stddev_pop(value) as sd from samples group by 1, 2), m as (select *, quantile_cont(sd, 0.5) over (partition by session) as med from s) select substr(sha256('channel|' || session::varchar || '/' || channel || '|flat'), 1, 16) as flag_id, session::varchar || '/' || channel as target, 'channel=' || channel || ', session=' || session::varchar as summary from m where sd < 0.6 * med",
+    "qc_flag_ids": f"with {SAMPLES_SQL}, s as (select session, channel, stddev_pop(value) as sd from samples group by 1, 2), m as (select *, quantile_cont(sd, 0.5) over (partition by session) as med from s) select substr(sha256('channel|' || session::varchar || '/' || channel || '|flat|flat_channels'), 1, 16) as flag_id, session::varchar || '/' || channel as target, 'channel=' || channel || ', session=' || session::varchar as summary from m where sd < 0.6 * med",
     "stream_summary": f"with {SAMPLES_SQL}, e as (select *, min(value) over (partition by session, channel) as lo, max(value) over (partition by session, channel) as hi from samples) select session, channel, count(*) as n, round(sqrt(avg(value * value)), 6) + 0.0 as rms, lo, hi, count(*) filter (where value = lo) as n_lo, count(*) filter (where value = hi) as n_hi from e group by session, channel, lo, hi",
     "channel_covariance": f"with {EPOCHS_SQL}, p as (select a, b, x[a + 1] as u, x[b + 1] as v from epochs, range(0, 12) r(a), range(0, 12) q(b) where a <= b) select a, b, round(covar_samp(u, v), 8) + 0.0 as cov, round(corr(u, v), 6) + 0.0 as r from p group by 1, 2",
     "channel_covariance_all": f"with {EPOCHS_SQL}, p as (select a, b, x[a + 1] as u, x[b + 1] as v from (select x, unnest(range(0, len(x))) as a from epochs), lateral (select unnest(range(a, len(x))) as b) q) select a, b, round(covar_samp(u, v), 8) + 0.0 as cov, round(corr(u, v), 6) + 0.0 as r from p group by 1, 2",
