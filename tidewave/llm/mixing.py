@@ -10,7 +10,7 @@ sources in order of size per weight, one prefix sum).
 Within a source documents stand in a fixed pseudo-random order (by md5 of the
 source and doc_id) and follow each other, pass after pass. A document's copy whose
 middle lies at c words into the source's demand is trained at the time t at which
-A_s(t) / A_s(1) = c / target_s; copies whose middle lies beyond the target aren't
+A_s(t) / A_s(1) = c / target_s. Copies whose time lies beyond the end of training aren't
 taken, so a source misses its target by half a document at most. Sorting all
 copies by t (a range sort) gives the training order.
 
@@ -162,16 +162,13 @@ def mix_sources(
     placed = dealt.withColumn("inside", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     joined = placed.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left")
     middle = F.col("bucket_start") + F.col("inside") + F.col("size") / 2
-    copies = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: e * F.col("source_size") + middle),
-        lambda c: (F.col("size") > 0) & (c < F.col("target")),
+    # The time of each copy, by inverting the integral; a copy beyond the source's demand has none.
+    demand = lambda e: F.try_divide((e * F.col("source_size") + middle) * F.col("area"), F.col("target"))
+    times = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: demand_time(F.col("knots"), demand(e)))
+    taken = F.filter(times, lambda t: (F.col("size") > 0) & (t < 1.0))
+    return joined.withColumn("positions", taken).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"), "positions"
     )
-    timed = joined.withColumn("middles", copies)
-    return timed.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * F.size("middles")).cast("long").alias("taken"),
-        F.transform("middles", lambda c: demand_time(F.col("knots"), c * F.col("area") / F.col("target"))).alias("positions"),
-    )
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -181,10 +178,10 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def in_order_of_first_copy(mixed: DataFrame) -> DataFrame:
-    """The mixed documents, range-sorted by their first copy; those not taken come last."""
+    """The mixed documents, range-sorted by the position of their first copy; those not taken come last."""
     first = F.try_element_at("positions", F.lit(1)).alias("position")
     ordered = mixed.withColumn("position", first).orderBy(F.col("position").asc_nulls_last(), "doc_id")
-    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,18 +206,18 @@ with sized as (
 ), held as (
   select *, w * (t - c0) > cap * (wt - w0) as held from filled
 ), targets as (
-  select source, source_size, case when held then cap else least(cap, coalesce(w *
+  select source, source_size, w, case when held then cap else least(cap, coalesce(w *
     (t - coalesce(sum(case when held then cap end) over (), 0)) / nullif(sum(case when held then 0 else w end) over (), 0), 0)) end as target
   from held
 ), placed as (
   select doc_id, source, size, (sum(size) over (partition by source order by o, doc_id nulls first, size
     rows between unbounded preceding and current row)) - size as start from sized
 ), copies as (
-  select p.doc_id, p.size, t.source_size, t.target, p.start + p.size / 2 as middle, p.source
+  select p.doc_id, p.size, t.source_size, t.target, list_filter(
+    [2 * ((e * t.source_size + p.start + p.size / 2) * w / nullif(t.target, 0)) / (w + sqrt(w * w)) for e in range(0, 3)], lambda x: p.size > 0 and x < 1) as positions
   from placed p join targets t on p.source is not distinct from t.source
 )
-select doc_id, size, source_size, target, (size * case when size = 0 then 0 else
-    (middle < target)::int + (source_size + middle < target)::int + (2 * source_size + middle < target)::int end)::bigint as taken
+select doc_id, size, source_size, target, (size * len(positions))::bigint as taken, round(positions[1], 9) as position
 from copies
 """
 
