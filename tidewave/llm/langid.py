@@ -15,7 +15,7 @@ gets ``DIMENSIONS`` numbers per language, whatever the size of the corpus.
 Defined results for odd input: a null text, or one without any letter, is ``und``
 with score 0; without anything to learn from all documents are ``und``; rows without
 a doc_id are held out (never learned from); equal cosines go to the first language by
-code point; repeated rows count as often as they occur and get the same answer; long
+code point; keep_languages rejects by one rule at every length (see ``SHARE``); repeated rows count as often as they occur and get the same answer; long
 texts are taken whole; extra columns are ignored (keep_languages passes them on).
 """
 
@@ -35,9 +35,10 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 #: The share of documents held out: crc32(doc_id) mod FOLDS == HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
-#: Below this cosine a text of that many characters is in none of the languages
-#: learned. Shorter texts hold too few trigrams to tell, so they aren't rejected by it.
-MIN_SCORE, JUDGED_CHARS = 0.1, 200
+#: A text of n trigrams in a learned language has a cosine of about sqrt(n / (n + HALF)) with
+#: its prototype: 0.3 for a few words, 0.7 for a paragraph, 0.95 for a page. Texts below
+#: ``SHARE`` of that are in none of the languages.
+SHARE, HALF = 0.25, 210
 _SEED = 7
 
 
@@ -118,7 +119,9 @@ class Hypervectors:
                 order = np.argsort(keys_, kind="stable")
                 self.keys, self.rows = keys_[order], rows_[order]
                 place = np.searchsorted(self.keys, part)
-            total += counts[at : at + len(part)].astype(np.float32) @ self.vectors[self.rows[place]]
+            # Whole numbers: exact in float32 below 2^24, else in float64.
+            own, vectors = counts[at : at + len(part)], self.vectors[self.rows[place]]
+            total += own.astype(np.float32) @ vectors if own.sum() < 1 << 24 else own.astype(np.float64) @ vectors.astype(np.float64)
         return total
 
 
@@ -167,14 +170,14 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
 
 
 def identify(documents: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> DataFrame:
-    """The documents with lang_pred and score beside their columns in a struct ``doc``."""
+    """The documents with lang_pred, score and their number of trigrams beside their columns in a struct ``doc``."""
     langs, matrix = list(profiles), np.array(list(profiles.values())).reshape(-1, dimensions)
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams, vectors = Trigrams(), Hypervectors(dimensions)
         for batch in batches:
-            names, scores = [], []
+            names, scores, sizes = [], [], []
             for text in batch["doc"].field("text"):
                 keys, n = np.unique(trigrams.of(text.as_py()), return_counts=True)
                 name, score = UNKNOWN, 0.0
@@ -185,12 +188,14 @@ def identify(documents: DataFrame, profiles: dict[str, np.ndarray], dimensions:
                     name, score = langs[best], float(np.clip(cosines[best], 0.0, 1.0))
                 names.append(name)
                 scores.append(score)
+                sizes.append(int(n.sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc", "lang_pred", "score"],
+                [batch["doc"], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+                names=["doc", "lang_pred", "score", "trigrams"],
             )
 
-    schema = T.StructType([*packed.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    added = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("trigrams", T.LongType()))
+    schema = T.StructType([*packed.schema, *[T.StructField(*c) for c in added]])
     return packed.mapInArrow(run, schema)
 
 
@@ -201,11 +206,11 @@ def learn(documents: DataFrame) -> dict[str, np.ndarray]:
     return prototypes(known)
 
 
-def keep_languages(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+def keep_languages(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that are in a learned language; the others go."""
     found = identify(documents, learn(documents))
-    told = (F.col("score") >= min_score) | (F.char_length(F.col("doc.text")) < JUDGED_CHARS)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & told)
+    usual = F.sqrt(F.col("trigrams") / (F.col("trigrams") + HALF))
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= share * usual))
     return kept.select(*[F.col("doc").getField(c).alias(c) for c in documents.columns])
 
 
