@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -133,3 +134,76 @@ def halves_granger(epochs: DataFrame, lags: int) -> DataFrame:
         return {"forward": K.granger(a, b, lags), "backward": K.granger(b, a, lags)}
 
     return _each(epochs, "forward double, backward double", one)
+
+
+def surrogate_coupling(epochs: DataFrame, fs: float, slow: tuple[float, float], fast: tuple[float, float], bins: int = 9, draws: int = 60) -> DataFrame:
+    """trial, condition, mi, z: coupling against circular shifts of the amplitude; seeded by the samples."""
+
+    def one(x: np.ndarray) -> dict:
+        phase, size = np.angle(K.analytic(K.bandpass(x, fs, *slow))), np.abs(K.analytic(K.bandpass(x, fs, *fast)))
+        draw = np.random.default_rng(zlib.crc32(x.tobytes()))
+        found = {"mi": K.modulation_index(phase, size, bins), "z": K.surrogate_z(phase, size, bins, draws, draw)}
+        return {k: v if np.isfinite(v) else None for k, v in found.items()}
+
+    return _each(epochs, "mi double, z double", one)
+
+
+def thirds_granger(epochs: DataFrame, lags: int) -> DataFrame:
+    """trial, condition, plain, given: causality from the first to the second third of an epoch, alone and given the last."""
+
+    def one(x: np.ndarray) -> dict:
+        a, b, c = np.split(x[: len(x) // 3 * 3], 3)
+        return {"plain": K.granger(a, b, lags), "given": K.granger_given(a, b, c, lags)}
+
+    return _each(epochs, "plain double, given double", one, least=9 * lags + 9)
+
+
+def filtered(epochs: DataFrame, b: list[float], a: list[float]) -> DataFrame:
+    """trial, condition, once, both, delay: a recursive filter run once and both ways, and the delay of running it once."""
+
+    def many(x: np.ndarray) -> list[dict]:
+        once, both = K.iir(x, np.array(b), np.array(a)), K.zero_phase(x, np.array(b), np.array(a))
+        return [{"once": o, "both": z, "delay": int(d)} for o, z, d in zip(once.tolist(), both.tolist(), K.delay(x, once), strict=True)]
+
+    return _stacked(epochs, "once array<double>, both array<double>, delay long", many)
+
+
+def band_split(epochs: DataFrame, fs: float, split_hz: float) -> DataFrame:
+    """trial, condition, low, high: power below and above a frequency after zero-phase filters."""
+
+    def many(x: np.ndarray) -> list[dict]:
+        low, high = K.split_at(x - x.mean(axis=-1, keepdims=True), fs, split_hz)
+        return [{"low": float(p), "high": float(q)} for p, q in zip((low**2).mean(axis=-1), (high**2).mean(axis=-1), strict=True)]
+
+    return _stacked(epochs, "low double, high double", many)
+
+
+def leakage(epochs: DataFrame) -> DataFrame:
+    """trial, condition, plain, hann: the highest level away from the peak, without and with a window."""
+
+    def many(x: np.ndarray) -> list[dict]:
+        n = x.shape[-1]
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        return [{"plain": float(p), "hann": float(h)} for p, h in zip(K.leakage_db(x), K.leakage_db(x, window), strict=True)]
+
+    return _stacked(epochs, "plain double, hann double", many, least=16)
+
+
+def smoothed(epochs: DataFrame, sigma: float) -> DataFrame:
+    return _stacked(epochs, "x array<double>", lambda x: [{"x": r} for r in K.gaussian_smooth(x, sigma).tolist()])
+
+
+def spectral_peaks(spectra: DataFrame, by: str, lo: float, hi: float) -> DataFrame:
+    """by, offset, exponent, peaks: each group's mean spectrum (by, freq, power) taken apart. A group is one spectrum."""
+    kind = dict(spectra.dtypes)[by]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[(rows["freq"] >= lo) & (rows["freq"] <= hi) & (rows["power"] > 0)].sort_values("freq")
+        if len(rows) < 8:
+            return pd.DataFrame(columns=[by, "offset", "exponent", "peaks"])
+        offset, exponent, peaks = K.fit_spectrum(rows["freq"].to_numpy(), rows["power"].to_numpy())
+        told = [dict(zip(("centre", "height", "width"), p, strict=True)) for p in peaks]
+        return pd.DataFrame({by: [rows[by].iloc[0]], "offset": [offset], "exponent": [exponent], "peaks": [told]})
+
+    schema = f"{by} {kind}, offset double, exponent double, peaks array<struct<centre:double,height:double,width:double>>"
+    return spectra.select(by, "freq", "power").groupBy(by).applyInPandas(run, schema)

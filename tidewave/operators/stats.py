@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewave.operators.formulas import student_quantile
+
 
 def pairwise_contrasts(values: DataFrame, by: list[str]) -> DataFrame:
     """by, a, b, n_a, n_b, effect: mean of b less mean of a for every pair of conditions.
@@ -19,7 +21,8 @@ def pairwise_contrasts(values: DataFrame, by: list[str]) -> DataFrame:
     means = values.groupBy(*by, "condition").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
     left = means.select(*by, F.col("condition").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"))
     right = means.select(*by, F.col("condition").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
-    pairs = left.join(right, by) if by else left.crossJoin(right)
+    # Without groups there is one row per condition on either side.
+    pairs = left.join(right, by) if by else left.join(right, F.col("a") < F.col("b"))
     return pairs.where("a < b").select(*by, "a", "b", "n_a", "n_b", (F.col("m_b") - F.col("m_a")).alias("effect"))
 
 
@@ -172,3 +175,104 @@ def tested_contrast(values: DataFrame, group: str, draws: int = 5000, boots: int
     usable = values.where("value is not null and not isnan(value)")
     enough = usable.groupBy(group, "condition").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
     return permutation_contrast(usable.join(enough, [group, "condition"]), group, draws, boots)
+
+
+# --- randomisation of whole trials ------------------------------------------------------
+
+
+def _relabelled(batch_x: np.ndarray, labels: np.ndarray, draw: np.random.Generator, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sums of squares over the trials labelled 1: first as they are, then under each relabelling."""
+    masks = np.empty((draws + 1, len(labels)))
+    masks[0] = labels
+    masks[1:] = draw.permuted(np.tile(labels, (draws, 1)), axis=1)
+    return masks @ batch_x, masks @ (batch_x * batch_x)
+
+
+def relabelled_moments(trials: DataFrame, draws: int, chunk: int = 512, seed: int = 0) -> DataFrame:
+    """draw, sums, squares, n1, total, total_squares, n: what a two-sample statistic needs, per relabelling.
+
+    trials: trial, label (0 or 1), x. Draw 0 is the labelling as it is. Labels are permuted
+    within chunks of trials that a hash deals: a subgroup of all permutations, under which
+    the test stays exact, while no task holds more than a chunk. Sums of chunks add up.
+    """
+    fine = trials.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    chunks = max(1, -(-fine.count() // chunk))
+    dealt = fine.withColumn("chunk", F.pmod(F.xxhash64("trial"), F.lit(chunks)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("trial", kind="stable")
+        x, labels = np.stack(rows["x"].to_list()), rows["label"].to_numpy(float)
+        draw = np.random.default_rng([seed, int(rows["chunk"].iloc[0])])
+        sums, squares = _relabelled(x, labels, draw, draws)
+        times = x.shape[1]
+        total, total_squares = x.sum(axis=0), (x * x).sum(axis=0)
+        return pd.DataFrame(
+            {
+                "draw": np.repeat(np.arange(draws + 1), times), "t": np.tile(np.arange(times), draws + 1), "s": sums.ravel(), "q": squares.ravel(),
+                "total": np.tile(total, draws + 1), "total_q": np.tile(total_squares, draws + 1), "n1": labels.sum(), "n": float(len(x)),
+            }
+        )
+
+    names = ("s", "q", "total", "total_q", "n1", "n")
+    parts = dealt.groupBy("chunk").applyInPandas(run, "draw long, t long, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("draw", "t").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def two_sample_t() -> Column:
+    """Pooled t of label 1 less label 0, from relabelled_moments."""
+    n0, m1, m0 = F.col("n") - F.col("n1"), F.col("s") / F.col("n1"), (F.col("total") - F.col("s")) / (F.col("n") - F.col("n1"))
+    v1 = (F.col("q") - F.col("n1") * m1 * m1) / (F.col("n1") - 1)
+    v0 = (F.col("total_q") - F.col("q") - n0 * m0 * m0) / (n0 - 1)
+    pooled = F.sqrt(((F.col("n1") - 1) * v1 + (n0 - 1) * v0) / (F.col("n") - 2))
+    return F.try_divide(m1 - m0, pooled * F.sqrt(1 / F.col("n1") + 1 / n0))
+
+
+def cluster_test(trials: DataFrame, draws: int = 199, alpha: float = 0.05, chunk: int = 512, seed: int = 0) -> DataFrame:
+    """sign, first, last, mass, p of every cluster of times where the labels differ.
+
+    A cluster is a run of |t| above the two-sided critical value, of one sign; its p is the
+    share of relabellings whose largest run weighs as much, its own labelling among them.
+    """
+    moments = relabelled_moments(trials, draws, chunk, seed).withColumn("t_value", two_sample_t())
+    one = moments.first()
+    if one is None:
+        return trials.sparkSession.createDataFrame([], "sign long, first long, last long, mass double, p double")
+    threshold = student_quantile(alpha, int(one["n"]) - 2)
+    masses = cluster_masses(moments, ["draw"], threshold)
+    # In the null, runs are of |t|, whatever their signs: the largest of them is no smaller than that of one sign.
+    flagged = runs(moments, ["draw"], "t", F.abs("t_value") > threshold)
+    largest = flagged.groupBy("draw", "island").agg(F.sum(F.abs("t_value")).alias("mass")).groupBy("draw").agg(F.max("mass").alias("top"))
+    null = largest.where("draw > 0").agg(F.sort_array(F.collect_list("top")).alias("null"))  # at most one number per draw
+    seen = masses.where("draw = 0").join(null)
+    above = F.size(F.filter("null", lambda m: m >= F.col("mass") - 1e-12))
+    return seen.select("sign", "first", "last", "mass", ((above + 1) / (draws + 1)).alias("p"))
+
+
+def pair_flip_test(pairs: DataFrame, by: list[str], draws: int = 299, seed: int = 0) -> DataFrame:
+    """by, n, mean, p of paired differences (pair, d): signs are flipped at random.
+
+    A sign follows from the pair's number and the draw alone; tasks add up flipped sums.
+    """
+    sign = lambda k: F.when(F.pmod(F.xxhash64(F.col("pair"), k, F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    flips = pairs.where("d is not null").select(*by, "d", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(draws)), sign)).alias("k", "s"))
+    sums = flips.groupBy(*by, "k").agg(F.avg(F.col("d") * F.col("s")).alias("m"), F.avg("d").alias("seen"), F.count("d").alias("n"))
+    out = sums.groupBy(*by).agg(F.first("n").alias("n"), F.first("seen").alias("mean"), F.count_if(F.abs("m") >= F.abs("seen") - 1e-12).alias("above"))
+    return out.select(*by, "n", "mean", ((F.col("above") + 1) / (draws + 1)).alias("p"))
+
+
+def shuffle_units(trials: DataFrame, draws: int = 199, chunk: int = 512, seed: int = 0) -> DataFrame:
+    """unit, effect, p: labels shuffled over trials' means, and (wrongly, for comparison) over single samples."""
+    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
+    right = trials.select("trial", "label", F.array(mean).alias("x"))
+    wrong = trials.select("trial", "label", F.posexplode("x").alias("i", "v")).select(F.xxhash64("trial", "i").alias("trial"), "label", F.array("v").alias("x"))
+    out = None
+    for unit, rows, size in (("trials", right, chunk), ("samples", wrong, chunk * 16)):
+        m = relabelled_moments(rows, draws, size, seed).withColumn("effect", F.col("s") / F.col("n1") - (F.col("total") - F.col("s")) / (F.col("n") - F.col("n1")))
+        told = m.agg(
+            F.max(F.when(F.col("draw") == 0, F.abs("effect"))).alias("seen"), F.max_by("effect", -F.col("draw")).alias("effect"),
+            F.collect_list(F.when(F.col("draw") > 0, F.abs("effect"))).alias("null"),
+        )
+        above = F.size(F.filter("null", lambda v: v >= F.col("seen") - 1e-12))
+        part = told.select(F.lit(unit).alias("unit"), "effect", ((above + 1) / (draws + 1)).alias("p"))
+        out = part if out is None else out.union(part)
+    return out

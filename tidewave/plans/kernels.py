@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.operators import kernels as K
+from tidewave.operators import stats as T
+from tidewave.operators.spectral import spectrum
 from tidewave.plans.spectral import FS, r6
-from tidewave.plans.tables import epochs
+from tidewave.plans.tables import EPOCHS_SQL, epochs
 
 
 #: The reference's grid: 40 frequencies in equal ratios from 2 Hz, here to 0.95 of Nyquist, and every fourth sample.
@@ -59,10 +62,75 @@ def granger_halves(spark, sf_dir):
     return K.halves_granger(epochs(spark, sf_dir), 2).select("trial", *r6("forward", "backward"))
 
 
+def pac_surrogate(spark, sf_dir):
+    """How many conditions' trials couple beyond shifted surrogates."""
+    out = K.surrogate_coupling(epochs(spark, sf_dir), FS, (4.0, 8.0), (20.0, 30.0))
+    return out.groupBy("condition").agg(F.count("z").alias("n"), F.avg("z").alias("z"), F.avg((F.col("z") > 1.645).cast("double")).alias("beyond")).select("condition", "n", *r6("z", "beyond"))
+
+
+def granger_conditional(spark, sf_dir):
+    return K.thirds_granger(epochs(spark, sf_dir), 2).select("trial", *r6("plain", "given"))
+
+
+#: A first-order low-pass.
+_B, _A = [0.2, 0.0], [1.0, -0.8]
+
+
+def iir_filters(spark, sf_dir):
+    """The last sample of an epoch filtered once and both ways, and the delay of filtering once."""
+    out = K.filtered(epochs(spark, sf_dir), _B, _A)
+    return out.select("trial", (F.round(F.element_at("once", -1), 6) + 0.0).alias("once"), (F.round(F.element_at("both", -1), 6) + 0.0).alias("both"), "delay")
+
+
+def band_split(spark, sf_dir):
+    return K.band_split(epochs(spark, sf_dir), FS, 20.0).select("trial", *r6("low", "high"))
+
+
+def leakage_floor(spark, sf_dir):
+    return K.leakage(epochs(spark, sf_dir)).select("trial", *r6("plain", "hann"))
+
+
+def gaussian_smooth(spark, sf_dir):
+    each = K.smoothed(epochs(spark, sf_dir), 2.0).select("trial", F.posexplode("x").alias("t", "v"))
+    return each.select("trial", F.col("t").cast("long").alias("t"), *r6("v"))
+
+
+def fit_spectrum(spark, sf_dir):
+    """Aperiodic part and peaks of each condition's mean spectrum."""
+    mean = spectrum(epochs(spark, sf_dir), FS).groupBy("condition", "freq").agg(F.avg("power").alias("power"))
+    out = K.spectral_peaks(mean, "condition", 2.0, 60.0)
+    return out.select("condition", *r6("offset", "exponent"), F.size("peaks").cast("long").alias("n_peaks"), (F.round(F.try_element_at("peaks", F.lit(1))["centre"], 6)).alias("first"))
+
+
+def _two_conditions(spark, sf_dir):
+    """Trials of an even condition against those of an odd one."""
+    return epochs(spark, sf_dir).select("trial", (F.col("condition") % 2).cast("int").alias("label"), "x")
+
+
+def cluster_test(spark, sf_dir):
+    return T.cluster_test(_two_conditions(spark, sf_dir)).select("sign", "first", "last", *r6("mass", "p"))
+
+
+def shuffle_units(spark, sf_dir):
+    return T.shuffle_units(_two_conditions(spark, sf_dir)).select("unit", *r6("effect", "p"))
+
+
+def pair_flip(spark, sf_dir):
+    """Neighbouring trials of a condition as pairs: the later's mean less the earlier's."""
+    mean = epochs(spark, sf_dir).select("trial", "condition", (F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")).alias("m"))
+    at = mean.withColumn("i", F.row_number().over(W.partitionBy("condition").orderBy("trial")) - 1)
+    pairs = at.groupBy("condition", F.floor(F.col("i") / 2).alias("pair")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("i") % 2 == 1, F.col("m")).otherwise(-F.col("m"))).alias("d"))
+    return T.pair_flip_test(pairs.where("n = 2"), ["condition"]).select("condition", "n", *r6("mean", "p"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tfr_morlet, tfr_peak, multitaper_psd, envelope_by_condition, pac_tort, ringing_measures, resample_polyphase, kalman_track, granger_halves,
+        pac_surrogate, granger_conditional, iir_filters, band_split, leakage_floor, gaussian_smooth, fit_spectrum, cluster_test, shuffle_units, pair_flip,
     )
 }
-ORACLES: dict = {}
+ORACLES = {
+    "gaussian_smooth": f"""with {EPOCHS_SQL}, w as (select d, exp(-0.5 * (d / 2.0) * (d / 2.0)) as w from range(-8, 9) r(d)), z as (select sum(w) as z from w)
+      select trial, t::bigint as t, round(sum(value * w / z), 6) + 0.0 as v from (select x.trial, x.t - w.d as t, value, w, z from long_epochs x, w, z) where t between 0 and 63 group by 1, 2""",
+}
