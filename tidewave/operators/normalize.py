@@ -10,12 +10,18 @@ CENTERS = ("grand_mean", "condition", "whole_recording", "none")
 SCALES = ("pooled", "own_condition", "condition", "across_conditions", "none")
 
 
+def _present(over, condition, value: Column) -> Column:
+    """value, where the baseline condition has rows; without them there is no baseline to speak of."""
+    there = F.count_if(F.col("condition") == condition).over(over) > 0
+    return F.when(there, value).otherwise(F.raise_error(F.lit(f"no rows of the baseline condition {condition}")).cast("double"))
+
+
 def center_of(choice: str, key: list[str], condition) -> Column:
     over = W.partitionBy(*key)
     if choice == "grand_mean":
         return F.avg("value").over(over)
     if choice == "condition":
-        return F.avg(F.when(F.col("condition") == condition, F.col("value"))).over(over)
+        return _present(over, condition, F.avg(F.when(F.col("condition") == condition, F.col("value"))).over(over))
     if choice == "whole_recording":
         return F.try_divide(F.sum(F.col("value") * F.col("n")).over(over), F.sum("n").over(over).cast("double"))
     if choice == "none":
@@ -32,7 +38,7 @@ def scale_of(choice: str, key: list[str], condition) -> Column:
     if choice == "own_condition":
         return F.col("sd")
     if choice == "condition":
-        return F.avg(F.when(F.col("condition") == condition, F.col("sd"))).over(over)
+        return _present(over, condition, F.avg(F.when(F.col("condition") == condition, F.col("sd"))).over(over))
     if choice == "across_conditions":
         several = F.size(F.collect_set("condition").over(over)) >= 2
         return F.when(several, F.stddev_samp("value").over(over)).otherwise(

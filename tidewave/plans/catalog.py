@@ -246,7 +246,7 @@ whole as (select *, list_sort(list_distinct(list_filter(held, lambda x: x is not
 """
 _MONTAGE = _VALUES + """select w.lead, derivation, t, round(sum(w * value), 6) + 0.0 as value from whole w join v on v.lead = w.lead and v.contact = w.contact
 where scheme = '{scheme}' and len(missing) = 0 group by 1, 2, 3 having count(*) = (select count(*) from whole x where x.scheme = '{scheme}' and x.lead = w.lead and x.derivation = w.derivation)"""
-_W = r"list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +'), lambda w: length(w) > 3 and w not in {stop}), lambda w: regexp_replace(w, 's$', '')))".format(stop=X.STOP_WORDS)
+_W = r"list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +'), lambda w: length(w) > 3 and w not in {stop}), lambda w: case when length(w) > 4 then regexp_replace(w, 's$', '') else w end))".format(stop=X.STOP_WORDS)
 _SCRUBBED, _FIRED = "text", []
 for _p, _m in X.SCRUB:
     _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_p}', '{_m}', 'g')"

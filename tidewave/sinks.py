@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +54,6 @@ def channel_hashes(samples: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "session long, channel string, n long, sha256 string")
 
 
-def brute_hash(values) -> str:
-    return hashlib.sha256(np.asarray(values, "<f8").tobytes()).hexdigest()
-
-
 def save_decisions(rows: DataFrame, path: str) -> None:
     """Tab-separated text with every column as text, in the fixed order; null is empty."""
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in DECISION_COLUMNS]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 CHUNKS = "path string, format string, stream string, channel string, sfreq double, t0_idx long, x array<double>, error string"
-EVENTS = "path string, label string, i long, onset double, value double"
+EVENTS = "path string, label string, i long, onset double, value double, error string"
 
 #: Fixed values of the tank index: 40-byte records, and the types of its rows.
 TANK_RECORD = np.dtype(
@@ -163,16 +163,16 @@ def read_chunks(spark: SparkSession, path: str, channels: list[str] | None = Non
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of the recordings: label, number within the label, onset in seconds, value."""
+    """Events of the recordings: label, number within the label, onset in seconds, value; error for those that can't be read."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         try:
             _, _, events = _parse(rows)
-        except Exception:  # reported by read_chunks
-            events = []
+        except Exception as error:  # one unreadable recording is a row, not a failed job
+            return pd.DataFrame([{"path": rows["recording"].iloc[0], "error": f"{type(error).__name__}: {error}"}], columns=_names(EVENTS), dtype=object)
         found = pd.DataFrame(events, columns=["label", "onset", "value"]).sort_values(["label", "onset"])
         found["i"] = found.groupby("label").cumcount()
-        found["path"] = rows["recording"].iloc[0]
+        found["path"], found["error"] = rows["recording"].iloc[0], None
         return found[_names(EVENTS)]
 
     return _files(spark, path).groupBy("recording").applyInPandas(run, EVENTS)
