@@ -124,6 +124,16 @@ def regular_run(extrema: np.ndarray, tolerance: float, seed: int = 5) -> np.ndar
     return extrema
 
 
+def band_peak(x: np.ndarray, fs: float, lo: float, hi: float) -> float | None:
+    """The frequency in a band at which a Hann-windowed stretch has most power; padding sets it between bins."""
+    if len(x) < 4:
+        return None
+    size = max(1024, 4 * len(x))
+    power, f = np.abs(np.fft.rfft(x * np.hanning(len(x)), size)), np.fft.rfftfreq(size, 1 / fs)
+    inside = (f >= lo) & (f <= hi)
+    return float(f[inside][power[inside].argmax()]) if inside.any() else None
+
+
 def kalman(y: np.ndarray, q: float, r: float) -> np.ndarray:
     """Means of a random-walk state observed with noise."""
     m, p, out = y[0], r, np.empty(len(y))

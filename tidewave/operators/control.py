@@ -72,3 +72,9 @@ def applied_actions(decisions: DataFrame) -> DataFrame:
     action = F.coalesce(F.nullif(F.trim("final_action"), F.lit("")), F.col("proposed_action"))
     kept = decisions.where("verdict = 'approve' and active").withColumn("action", action)
     return kept.where("action is not null and action not in ('', 'none')")
+
+
+def needs_rebuild(wanted: DataFrame, ledger: DataFrame, key: list[str], policy: Column) -> DataFrame:
+    """Rows of wanted that aren't done under this very policy; those the ledger doesn't know among them."""
+    done = ledger.where((F.col("status") == "done") & (F.col("policy") == policy)).select(*key)
+    return wanted.join(done, key, "left_anti")

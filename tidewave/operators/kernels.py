@@ -92,17 +92,19 @@ def comodulation(epochs: DataFrame, fs: float, slow: list[tuple[float, float]],
 
 
 def ringing(epochs: DataFrame, fs: float, lo: float, hi: float, fraction: float = 0.2, tolerance: float = 0.3) -> DataFrame:
-    """trial, condition, n_extrema, amplitude, freq, tau, r2 of a damped oscillation.
+    """trial, condition, n_extrema, amplitude, freq, tau, r2, peak_freq of a damped oscillation.
 
-    The decay is a straight line through the log magnitudes of the regular run of extrema.
+    The decay is a straight line through the log magnitudes of the regular run of extrema;
+    peak_freq is the highest point of the spectrum of the samples that the run spans.
     """
 
     def one(x: np.ndarray) -> dict:
         y = K.bandpass(x, fs, lo, hi)
         run = K.regular_run(K.prominent_extrema(y, fraction), tolerance)
-        out = {"n_extrema": len(run), "amplitude": float(np.abs(y[run]).max()) if len(run) else None, "freq": None, "tau": None, "r2": None}
+        out = {"n_extrema": len(run), "amplitude": float(np.abs(y[run]).max()) if len(run) else None, "freq": None, "tau": None, "r2": None, "peak_freq": None}
         if len(run) > 2:
             out["freq"] = float(fs / (2 * np.median(np.diff(run))))
+            out["peak_freq"] = K.band_peak(y[run[0] : run[-1] + 1], fs, lo, hi)
             t, a = run / fs, np.log(np.abs(y[run]))
             slope, base = np.polyfit(t, a, 1)
             rest = ((a - slope * t - base) ** 2).sum()
@@ -111,7 +113,19 @@ def ringing(epochs: DataFrame, fs: float, lo: float, hi: float, fraction: float
             out["tau"] = float(-1 / slope) if slope < 0 else None
         return out
 
-    return _each(epochs, "n_extrema long, amplitude double, freq double, tau double, r2 double", one)
+    return _each(epochs, "n_extrema long, amplitude double, freq double, tau double, r2 double, peak_freq double", one)
+
+
+def ringing_summary(measures: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, responding, and medians over the trials that ring (those with a frequency).
+
+    Medians are exact; a group's values are those of one condition or recording.
+    """
+    rings = F.col("freq").isNotNull()
+    return measures.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(rings).alias("responding"),
+        *[F.median(F.when(rings, F.col(c))).alias(f"median_{c}") for c in ("freq", "amplitude", "tau", "peak_freq")],
+    )
 
 
 def resampled(epochs: DataFrame, up: int, down: int) -> DataFrame:

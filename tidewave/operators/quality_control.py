@@ -104,3 +104,14 @@ def summarize_evidence(evidence: Column, limit: int = 200) -> Column:
     entries = F.array_sort(F.transform(F.map_entries(evidence), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     text = F.array_join(entries, ", ")
     return F.when(F.char_length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
+
+
+def comparison_group(region: Column, kind: Column, by_kind: bool = True) -> Column:
+    """The peers it is fair to compare a channel with: of its region, rings apart from segments."""
+    return F.when(kind.isNotNull() & (kind != "") & F.lit(by_kind), F.concat(region, F.lit("/"), kind)).otherwise(region)
+
+
+def channels_by_role(channels: DataFrame, by: list[str], role: Column, order: str) -> DataFrame:
+    """by, role, indices (ascending): the channels of each role; those without one are in no group."""
+    named = channels.withColumn("role", role).where("role is not null and role <> ''")
+    return named.groupBy(*by, "role").agg(F.sort_array(F.collect_list(order)).alias("indices"))

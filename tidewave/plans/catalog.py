@@ -148,6 +148,12 @@ def ledger_reconcile(spark, sf_dir):
     return K.reconcile(led, files).select("job", "status")
 
 
+def needs_rebuild(spark, sf_dir):
+    """Orders that aren't done under the policy now in force; every third was never entered."""
+    led = _ledger(spark, sf_dir).where("job % 3 <> 1").withColumn("policy", F.when(F.col("job") % 4 == 0, "old").otherwise("now"))
+    return K.needs_rebuild(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job")), led, ["job"], F.lit("now"))
+
+
 def review_status(spark, sf_dir):
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     decisions = li.select(F.col("l_orderkey").alias("study"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("verdict"))
@@ -215,7 +221,7 @@ QUERIES = {
     for f in (
         fk_violations, uniqueness_violations, overlapping_windows, vocabulary_violations, parse_booleans, insert_if_absent,
         montage_monopolar, montage_bipolar, montage_vertical, montage_horizontal, montage_adjacent, montage_car, montage_notes, contact_rows, ledger_reset_stale, ledger_retry,
-        queue_reap_stale, queue_claim, queue_health, ledger_reconcile, review_status, applied_actions, guardrails,
+        queue_reap_stale, queue_claim, queue_health, ledger_reconcile, needs_rebuild, review_status, applied_actions, guardrails,
         choose_entry_idf, redact_text, sanitize_names,
     )
 }
@@ -273,6 +279,7 @@ ORACLES = {
     "queue_claim": _LEDGER + "select owner, job, created from (select *, row_number() over (partition by owner order by created, job) as r from jobs where status = 'planned') where r <= 2",
     "queue_health": _LEDGER + "select owner, " + ", ".join(f"count(*) filter (where status = '{s}') as {s}" for s in ("planned", "claimed", "running", "done", "failed")) + ", max(created) as newest, count(*) filter (where status = 'failed') <= count(*) filter (where status = 'done') as healthy from jobs group by 1",
     "ledger_reconcile": _LEDGER + ", f as (select job, case when job % 9 = 0 then 'other' else hash end as h from jobs where job % 4 <> 0) select jobs.job, case when status = 'done' and hash is distinct from h then 'reopened' else status end as status from jobs left join f on jobs.job = f.job",
+    "needs_rebuild": _LEDGER + "select o_orderkey as job from orders where o_orderkey not in (select job from jobs where status = 'done' and job % 3 <> 1 and job % 4 <> 0)",
     "review_status": "with d as (select l_orderkey as study, count(*) filter (where l_returnflag <> 'N') as decided, count(*) filter (where l_returnflag = 'N') as open from lineitem group by 1), e as (select o_orderkey as study, case o_orderstatus when 'F' then 'sign' when 'O' then 'reopen' else 'note' end as event from orders) select study, decided, open, case when event = 'reopen' then 'reopened' when event = 'sign' and open = 0 then 'approved' when decided > 0 then 'in_review' else 'unreviewed' end as state from d left join e using (study)",
     "applied_actions": "with d as (select l_orderkey, l_linenumber::bigint as l_linenumber, coalesce(nullif(trim(case when l_quantity > 25 then ' ' when l_quantity > 20 then 'none' else 'notch' end), ''), case when l_discount > 0.05 then 'exclude' end) as action from lineitem where l_returnflag = 'A' and l_linestatus = 'F') select * from d where action is not null and action not in ('', 'none')",
     "guardrails": """with p as (select *, l_orderkey || '-' || l_linenumber || '-' || l_partkey as plan, l_linenumber % 3 <> 0 as known, l_quantity::int as q from lineitem), f as (

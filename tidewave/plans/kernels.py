@@ -49,6 +49,11 @@ def ringing_measures(spark, sf_dir):
     return out.select("trial", "condition", "n_extrema", *r6("amplitude", "freq", "tau", "r2"))
 
 
+def ringing_summary(spark, sf_dir):
+    out = K.ringing_summary(K.ringing(epochs(spark, sf_dir), FS, 10.0, 50.0), ["condition"])
+    return out.select("condition", "n", "responding", *r6("median_freq", "median_amplitude", "median_tau", "median_peak_freq"))
+
+
 def resample_polyphase(spark, sf_dir):
     out = K.resampled(epochs(spark, sf_dir), 1, 2)
     return out.select("trial", F.posexplode("x").alias("t", "v")).select("trial", F.col("t").cast("long").alias("t"), *r6("v"))
@@ -126,7 +131,7 @@ def pair_flip(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        tfr_morlet, tfr_peak, multitaper_psd, envelope_by_condition, pac_tort, ringing_measures, resample_polyphase, kalman_track, granger_halves,
+        tfr_morlet, tfr_peak, multitaper_psd, envelope_by_condition, pac_tort, ringing_measures, ringing_summary, resample_polyphase, kalman_track, granger_halves,
         pac_surrogate, granger_conditional, iir_filters, band_split, leakage_floor, gaussian_smooth, fit_spectrum, cluster_test, shuffle_units, pair_flip,
     )
 }

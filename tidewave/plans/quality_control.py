@@ -39,6 +39,28 @@ def qc_block_kurtosis(spark, sf_dir):
     return Q.block_kurtosis(samples(spark, sf_dir), ["session", "channel"], 6).select("session", "channel", *r6("kurtosis"), "blocks")
 
 
+def qc_kurtosis_outlier(spark, sf_dir):
+    """Channels whose blocks' median kurtosis is above a cutoff, with the evidence."""
+    out = Q.block_kurtosis(samples(spark, sf_dir), ["session", "channel"], 6).where("kurtosis > 1.0")
+    flag = Q.flag_id(F.lit("channel"), F.concat(F.col("session").cast("string"), F.lit("/"), "channel"), F.lit("kurtosis_outlier"), F.lit("kurtosis_outlier"))
+    return out.select("session", "channel", flag.alias("flag_id"), *r6("kurtosis"), "blocks")
+
+
+def qc_comparison_groups(spark, sf_dir):
+    """Suppliers as channels: their peers by nation, and by balance where they are told apart."""
+    s = table(spark, sf_dir, "supplier")
+    kind = F.when(F.col("s_acctbal") > 5000, "ring").when(F.col("s_acctbal") > 0, "segment")
+    group = Q.comparison_group(F.col("s_nationkey").cast("string"), kind)
+    return s.groupBy(group.alias("peers")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def channels_by_role(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    role = F.when(F.col("p_size") < 10, "neural").when(F.col("p_size") < 20, "audio").when(F.col("p_size") < 30, "")
+    out = Q.channels_by_role(p, ["p_brand"], role, "p_partkey")
+    return out.select("p_brand", "role", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"))
+
+
 def qc_clipping(spark, sf_dir):
     return Q.clipping(samples(spark, sf_dir), ["session", "channel"]).select("session", "channel", "rail", *r6("fraction"))
 
@@ -138,7 +160,7 @@ def leadfield(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        qc_robust_z, qc_flat, qc_variance_outlier, qc_variance_outlier_all, qc_block_kurtosis, qc_clipping, qc_amplitude_episodes, qc_trial_outlier, qc_spikes,
+        qc_robust_z, qc_flat, qc_variance_outlier, qc_variance_outlier_all, qc_block_kurtosis, qc_kurtosis_outlier, qc_comparison_groups, channels_by_role, qc_clipping, qc_amplitude_episodes, qc_trial_outlier, qc_spikes,
         qc_hf_noise, qc_flag_ids, stream_summary, channel_covariance, channel_covariance_all, autocorrelation, participation_ratio, cosine_to_condition, fir_smooth, leadfield,
     )
 }
@@ -155,6 +177,9 @@ ORACLES = {
     "qc_variance_outlier_all": f"with {SAMPLES_SQL}, s as (select session, channel, log10(stddev_pop(value) + 1e-12) as v from samples group by 1, 2), m as (select *, count(*) over (partition by session) as members from s), big as (select * from m where members >= 4), "
     + _Z.format(v="v", by="session", src="big") + " select session, channel, round(z, 6) + 0.0 as z, 'outlier' as flag from zz where abs(z) > 3 union all select distinct session, null, null::double, 'insufficient_channels' from m where members < 4",
     "qc_block_kurtosis": f"with {SAMPLES_SQL}, b as (select session, channel, i // 6 as block, case when count(value) > 3 then kurtosis(value) end as k from samples group by 1, 2, 3) select session, channel, round(quantile_cont(k, 0.5), 6) + 0.0 as kurtosis, count(k) as blocks from b group by 1, 2",
+    "qc_kurtosis_outlier": f"with {SAMPLES_SQL}, b as (select session, channel, i // 6 as block, case when count(value) > 3 then kurtosis(value) end as k from samples group by 1, 2, 3) select session, channel, substr(sha256('channel|' || session::varchar || '/' || channel || '|kurtosis_outlier|kurtosis_outlier'), 1, 16) as flag_id, round(quantile_cont(k, 0.5), 6) + 0.0 as kurtosis, count(k) as blocks from b group by 1, 2 having quantile_cont(k, 0.5) > 1.0",
+    "qc_comparison_groups": "select s_nationkey::varchar || case when s_acctbal > 5000 then '/ring' when s_acctbal > 0 then '/segment' else '' end as peers, count(*) as n from supplier group by 1",
+    "channels_by_role": "select p_brand, case when p_size < 10 then 'neural' else 'audio' end as role, string_agg(p_partkey::varchar, ',' order by p_partkey) as indices from part where p_size < 20 group by 1, 2",
     "qc_clipping": f"with {SAMPLES_SQL}, r as (select *, max(abs(value)) over (partition by session, channel) as rail from samples) select session, channel, rail, round(avg(case when abs(abs(value) - rail) <= 1e-8 + 1e-6 * rail then 1.0 else 0.0 end), 6) + 0.0 as fraction from r group by 1, 2, 3",
     "qc_amplitude_episodes": f"with {SAMPLES_SQL}, b as (select session, channel, i // 2 as block, log10(greatest(max(value) - min(value), 1e-12)) as lp from samples group by 1, 2, 3), m as (select * from (select *, count(*) over (partition by session, channel) as n from b) where n >= 5), "
     + _Z.format(v="lp", by="session, channel", src="m") + ", r as (select *, block - row_number() over (partition by session, channel order by block) as island from zz where z > 1.5) select session, channel, min(block)::bigint as first, max(block)::bigint as last, round(max(z), 6) + 0.0 as z from r group by 1, 2, island",
