@@ -42,12 +42,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it from there, which ends its lineage."""
+    """Write df as Parquet in the shared folder and read it from there, which ends its lineage.
+
+    Rows come back in other partitions and in any order.
+    """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_in_order(df: DataFrame) -> DataFrame:
+    """Like cut, but partitions and the order of their rows stay as they are (Spark's checkpoint in the shared folder)."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing reads any more; shuffle files nobody refers to go with them.
 

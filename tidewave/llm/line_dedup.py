@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.llm.common import BLANKS, cut, lower_ascii, require, table
+from tidewave.llm.common import BLANKS, cut_in_order, lower_ascii, require, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -163,7 +163,7 @@ def line_keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs
     rows = line_rows(documents, min_chars)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("text_hash"), F.col("pos")]
-    ordered = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    ordered = cut_in_order(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
     pids = ordered.withColumn("pid", F.spark_partition_id())
     # Two rows per partition at most, however many lines there are.
     edges = pids.mapInArrow(_edges, "pid long, k long, h1 long, h2 long, n_docs long, top long, low long").collect()
