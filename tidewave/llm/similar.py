@@ -8,8 +8,9 @@ linked; a document's component is the smallest doc_id it can reach over links.
 2. Every class has a signature of ``BANDS * ROWS`` MinHash values, 16 bits each. Classes
    that share a band are candidates. With 26 bands of 3 a pair at 0.75 shares none with
    probability (1 - 0.75^3)^26 < 7e-7.
-3. In a band, members are first compared with the smallest member only (a star, so
-   a group of n near copies costs n pairs). Verified links give components. Where the
+3. In a band, members are first compared with one of them only, the hub (a star, so
+   a group of n near copies costs n pairs): the member that meets most others over all its
+   bands, which in a group of near copies is the least edited. Verified links give components. Where the
    other members of a band still are in several components, they are looked at again:
    their shingles are ranked by rarity, and members of different components meet where
    the rank of the first shingle they share leaves the threshold in reach (prefix and
@@ -161,10 +162,22 @@ def bands(reps: DataFrame) -> DataFrame:
 
 
 def shared_bands(reps: DataFrame) -> DataFrame:
-    """band, hub (its smallest member), members, id, n: every other member of every band of two or more."""
+    """band, members (how many), id, n: every member of every band of two or more."""
     banded = bands(reps)
-    least = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    return banded.join(least, "band").where("id <> hub")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return banded.join(sizes, "band")
+
+
+def with_hubs(shared: DataFrame) -> DataFrame:
+    """band, hub, members, id, n: every other member of a band with the band's hub.
+
+    The hub is the member that meets most others over all its bands (ties to the smallest
+    id): the least edited of a group of near copies, to which most of the others link.
+    """
+    known = shared.groupBy("id").agg(F.sum("members").alias("meets"))
+    first = F.struct(F.col("meets"), -F.col("id"))
+    hubs = shared.join(known, "id").groupBy("band").agg(F.max_by("id", first).alias("hub"))
+    return shared.join(hubs, "band").where("id <> hub")
 
 
 def match_bounds(miss: float = MISS) -> list[tuple[int, int]]:
@@ -281,16 +294,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidate_stars(shared: DataFrame, reps: DataFrame) -> DataFrame:
-    """Every member of a band with the band's smallest member, where their sizes fit."""
-    pairs = shared.select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na")).distinct()
+    """Every member of a band with the band's hub, where their sizes fit; the larger id is a."""
+    pairs = shared.select(F.col("id").alias("x"), F.col("hub").alias("b"), F.col("n").alias("na")).distinct()
     sized = pairs.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(sizes_fit("na", "nb")).select("a", "b")
+    fit = sized.where(sizes_fit("na", "nb"))
+    return fit.select(F.greatest("x", "b").alias("a"), F.least("x", "b").alias("b")).distinct()
 
 
 def mixed_members(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """id and component of the members of bands whose pairs the star doesn't settle.
 
-    The star judges all pairs with the smallest member; the others are settled too if
+    The star judges all pairs with the hub; the others are settled too if
     they are one component.
     """
     named = shared.where("members > 2").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -359,7 +373,9 @@ def near_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, s1, s2, component_id, kept: one row per document."""
     signed = cut(signatures(documents))
     reps = cut(classes(signed))
-    shared = cut(shared_bands(reps))
+    met = cut(shared_bands(reps))
+    shared = cut(with_hubs(met))
+    forget(met)
 
     stars = cut(prune(candidate_stars(shared, reps), reps))
     members = shared.select("id").union(shared.where("members > 2").select("hub")).union(stars.select("b"))
