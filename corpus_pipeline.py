@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
 of documents; the last returns what the mix takes of each document.
+
+Defined results for odd input: documents with null text, or without a letter, go in the
+first stage, as no language can be told; those without doc_id are kept by the stages that
+dedup and by the mix; without any lang nothing can be learned and all documents go; an
+empty table gives an empty mix; extra columns, whatever their names, pass all stages but
+the last; large groups of copies leave one document.
 """
 
 from __future__ import annotations
