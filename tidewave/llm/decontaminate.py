@@ -5,20 +5,23 @@ among the document's. Similarity can't find a short item in a long document: the
 Jaccard similarity is about the ratio of their sizes. So the search is on the item's
 side and by its size:
 
-* items fall into partitions by size (powers of two of their shingle count). A
-  partition gives every item its ``n`` smallest shingles in each of a few hash orders
-  (its MinHash values), as many as make a miss unlikely: a document that holds a
-  share c of the item holds none of n values with probability (1-c)^n or less. Small
-  items use all their shingles and can't be missed; larger ones use
-  ``SIGNATURE`` = 16 values, missed with 0.25^16 < 3e-10 at the threshold.
+* items fall into partitions by size (powers of two of their shingle count). Each has a
+  sketch length of its own: an item of n shingles may miss a quarter of them in a document
+  that holds it, so n // 4 + 1 of its shingles can't all be missing. Up to ``SIGNATURE``
+  = 16 values that is exact (items under 64 shingles); larger items give their 16 least in
+  hash order (MinHash values), all missed with 0.25^16 < 3e-10 at the threshold or less.
 * a document is a candidate for an item if one of the item's values is among its
   shingles and the document is large enough to hold the share (sizes alone bound it).
 * candidates are verified on all shingles of both.
 
+The partitions decide how many values an item gives; documents have no partition, since
+a document of any size may hold items of all smaller ones.
+
 Everything is DataFrame expressions: shingles are 64-bit hashes of word sequences,
 made by array functions. The item side is joined under Spark's own size check (a
 broadcast while small, a shuffle join beyond it); a document's shingles are exploded
-without its text, so a hot item costs a row per document that holds it.
+without its text, so a hot item costs a row per document that holds it. Only candidate
+documents are read a second time.
 
 Defined results for odd input: null, empty or blank texts have no shingles, hold
 nothing and are in nothing; a text of fewer than five words has one shingle, its
@@ -68,32 +71,31 @@ def item_index(benchmark: DataFrame) -> DataFrame:
 def item_values(items: DataFrame, signature: int = SIGNATURE) -> DataFrame:
     """item_id, n_item, size_class, value: the MinHash values of the items, by size partition."""
     classed = items.withColumn("size_class", F.floor(F.log2("n_item")).cast("int"))
+    # The most an item of the partition may miss, and one more.
+    largest = F.pow(F.lit(2.0), F.col("size_class") + 1) - 1
+    length = F.least(F.lit(signature), F.floor(largest * (THRESHOLD_DEN - THRESHOLD_NUM) / THRESHOLD_DEN).cast("int") + 1)
     ordered = F.array_sort(F.transform("shingles", lambda s: F.struct(F.xxhash64(s, F.lit(17)).alias("o"), s.alias("s"))))
-    values = F.transform(F.slice(ordered, 1, signature), lambda x: x["s"])
-    small = 2 ** F.col("size_class") < signature
-    picked = F.when(small, F.col("shingles")).otherwise(values)
-    return classed.select("item_id", "n_item", "size_class", F.explode(picked).alias("value"))
+    values = F.transform(F.slice(ordered, F.lit(1), length), lambda x: x["s"])
+    return classed.select("item_id", "n_item", "size_class", F.explode(values).alias("value"))
 
 
 def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, n_item, n_shared: every item with every document that holds it."""
     require(documents, ["doc_id", "text"])
     items = cut(item_index(benchmark))
-    docs = with_shingles(documents.select("doc_id", "text"), "text", "shingles").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "shingles"
-    )
+    named = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    docs = with_shingles(named, "text", "shingles")
     probes = docs.select("doc_id", "text_hash", F.size("shingles").alias("n_doc"), F.explode("shingles").alias("value"))
     values = item_values(items)
     # A document holds each value once (shingles are distinct), an item too.
     hits = probes.join(values, "value").where(F.col("n_doc") * THRESHOLD_DEN >= F.col("n_item") * THRESHOLD_NUM)
-    candidates = cut(hits.select("doc_id", "text_hash", "item_id").distinct())
-    both = (
-        docs.withColumnsRenamed({"doc_id": "d", "text_hash": "h", "shingles": "own"})
-        .join(candidates, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-        .join(items, "item_id")
-    )
+    candidates = cut(hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "item_id").distinct())
+    # Texts meet the candidates before they are cut into shingles again.
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    asked = with_shingles(named.join(candidates.select("d", "h").distinct(), same, "left_semi"), "text", "own")
+    each = asked.drop("text").join(candidates, same)
     shared = F.size(F.array_intersect("own", "shingles")).cast("long")
-    judged = both.select("doc_id", "text_hash", "item_id", "n_item", shared.alias("n_shared"))
+    judged = each.join(items, "item_id").select("doc_id", "text_hash", "item_id", "n_item", shared.alias("n_shared"))
     return judged.where(F.col("n_shared") * THRESHOLD_DEN >= F.col("n_item") * THRESHOLD_NUM)
 
 
@@ -104,9 +106,12 @@ def contaminated_pairs(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    gone = contaminations(documents, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    same = documents["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(documents["text"]) == F.col("_h"))
-    return documents.join(gone, same, "left_anti")
+    gone = contaminations(documents, benchmark).select("doc_id", "text_hash").distinct()
+    packed = documents.select(
+        F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc")
+    )
+    kept = packed.join(gone, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_anti")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in documents.columns])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
