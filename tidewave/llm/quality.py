@@ -83,8 +83,9 @@ class Features:
 
 def fit_style(style: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Ridge logistic regression on style alone, by Newton steps on scaled measures."""
-    scale = np.maximum(style.std(axis=0), 1e-9)
-    scale[0] = 1.0
+    # A measure that never varies, as the intercept, is taken as it is.
+    spread = style.std(axis=0)
+    scale = np.where(spread > 1e-9, spread, 1.0)
     x, w = style / scale, np.zeros(style.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
