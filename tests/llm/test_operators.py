@@ -188,6 +188,43 @@ def test_topk_against_brute_force(spark, seed):
     assert {tuple(g) for g in got} == brute_top(vectors, range(0, 300, 20), 7)
 
 
+@pytest.mark.parametrize("seed, spread", [(3, 1.5), (4, 0.0), (5, 0.3)])
+def test_topk_over_many_groups_blocks_and_buckets(spark, monkeypatch, seed, spread):
+    # Lengths that differ much prune whole groups, like lengths prune by coordinate.
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(900, 6))
+    x = np.floor(x / np.linalg.norm(x, axis=1, keepdims=True) * r.lognormal(0, spread, size=(900, 1)) * 500)
+    x[300:400] = x[:100]  # ties
+    x[10] = [2**28, 0, 0, 0, 0, 1]  # multiplied in Python integers
+    x[20], x[40] = 0, x[60]
+    vectors = {i: v for i, v in enumerate(x)} | {i: r.integers(-9, 9, 3).astype(float) for i in range(900, 930)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    queries = frame.where("id % 20 = 0")
+    got = topk.top_k(queries.union(queries), frame, 7, group_rows=64, block_queries=9).collect()
+    assert {tuple(g) for g in got} == brute_top(vectors, range(0, 930, 20), 7) and len(got) == 47 * 7
+
+
+def test_topk_of_repeated_ids_and_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted(tuple(g) for g in topk.top_k(frame.where("id = 0"), frame, 2).collect())
+    # Two vectors under one id are two queries; a row that is there twice is two results.
+    assert got == [(0, 1, 1, 2), (0, 1, 2, 3), (0, 2, 1, 2), (0, 2, 3, 1)]
+
+
+def test_coordinate_range_holds_all_vectors_of_that_cosine():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in x[:50]:
+        for c in (0.5, 0.9, 0.99):
+            low, high = topk.coordinate_range(c, q[0])
+            near = x[x @ q >= c][:, 0]
+            assert (near >= low).all() and (near <= high).all()
+
+
 def test_topk_leaves_out_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (None, [1.0, 1.0]), (6, [-0.01, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(7))
@@ -426,3 +463,24 @@ def test_levels_are_sorted_and_double():
         s = text[p : p + suffix_dedup.LENGTH].tobytes()
         least[s] = min(least.get(s, 1 << 60), 1000 - p // 40 * 40)
     assert [least[text[p : p + suffix_dedup.LENGTH].tobytes()] for p in range(at)] == smallest[np.concatenate(numbers)].tolist()
+
+
+# --- long texts and repeated rows --------------------------------------------------------
+
+
+def test_long_texts_and_repeated_rows_are_judged_whole_and_alike(spark):
+    rng = random.Random(21)
+    long_text = words(rng, 150_000, "kozwyj")
+    rows = [(i, words(rng, 40, "aeimnt" if i % 2 else "kozwyj"), "x" if i % 2 else "y", "s", None) for i in range(60)]
+    rows += [(500, long_text, None, "s", None)] * 3 + [(501, "tent mean", None, "s", None)] * 2
+    frame = docs_frame(spark, rows)
+    found = langid.identify(frame, langid.learn(frame)).select("doc.doc_id", "lang_pred", "score").where("doc_id >= 500").collect()
+    assert len(found) == 5 and len(set(map(tuple, found))) == 2 and {r["lang_pred"] for r in found if r["doc_id"] == 500} == {"y"}
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(0, 0, 0)], "doc_id long, quality int, toxic int")
+    judged = quality.judge(frame, marks, F.col("source"), F.col("lang")).where("doc_id >= 500").collect()
+    assert len(judged) == 5 and len(set(map(tuple, judged))) == 2
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (2, None)], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge_urls(pages).orderBy("page_id").collect()] == ["block", "block", "allow"]
+    # Beyond 2^24 occurrences counts are added exactly.
+    vectors, key = langid.Hypervectors(64), np.array([(97 << 42) | (98 << 21) | 99])
+    assert (vectors.bundle(key, np.array([(1 << 24) + 1])) == ((1 << 24) + 1) * vectors.bind(int(key[0])).astype(float)).all()

@@ -1,34 +1,37 @@
 """Exact top-k by inner product over norm buckets.
 
-Candidates are ordered by vector length and cut into buckets, longest first. The
-search runs in cells: a cell holds one group of candidates and one block of
-queries. In a cell every query keeps its k best scores; against a bucket whose
-longest vector has length m, a query of length q with k-th best score s needs a
-local cosine of at least c = s / (q * m):
-
-* c > 1: the bucket, and all later ones, can't hold a better score (length pruning
-  of the whole bucket);
+Candidates are range-sorted by vector length, longest first, and cut into groups of
+``GROUP_ROWS``; within a group, buckets of ``BUCKET_ROWS`` follow each other by length.
+Against a bucket whose longest vector has length m, a query of length q with k-th best
+score s so far needs a local cosine of at least c = s / (q * m):
+
+* c > 1: the bucket, and all later ones, can't hold a better score;
 * c above ``COORDINATE_FROM``: coordinate pruning. Take the query's largest
   coordinate f; a unit vector at a cosine of c or more has an angle to axis f within
   acos(c) of the query's. Only vectors in that range of coordinate f stay;
-* otherwise length pruning: only vectors of length at least s / q stay.
+* otherwise length pruning: only vectors of length at least s / q stay, a slice of the
+  bucket, as it is sorted by length.
 
 Survivors' products are verified in exact integer arithmetic (float64 products of
-integers below 2^53; vectors of length 2^26 or more are left out of the buckets and
-multiplied in Python integers). Both bounds are widened by a relative 1e-9, so rounding never
-prunes a vector that ties. Every cell returns its k best per query; a query's cells
-meet in one ranking of at most k rows per cell.
-
-Groups and blocks have bounded sizes, so the number of cells is (queries / block) *
-(rows / group): the stated query set against all rows, in blocks. A group's rows are
-sent to each row of cells, a block of queries to each column.
+integers below 2^53; vectors of length 2^26 or more aren't pruned and are multiplied in
+Python integers). Both bounds are widened by a relative 1e-9, so rounding never prunes
+a vector that ties.
+
+The search has two rounds. First all queries meet the longest group of their width, which
+gives every query a score s that its k-th result reaches. Then queries, in blocks of
+``BLOCK_QUERIES`` sorted by s / q, go on only to the groups that are long enough
+(m >= s / q): a block to a first few groups, a group to a first few blocks. A cell of one
+group and one block is a task of bounded size; it returns k rows a query at most, and a
+query's cells meet in one ranking. Vectors travel as the smallest integers that hold them.
+The driver holds one (width, length) pair per group.
 
 Defined results for odd input: vectors that are null or hold null or non-finite
-components take no part; vectors of another length than the first's meet only those
-of their own length; rows without an id take no part; a vector isn't compared with rows
-of its own id; repeated query rows give their results once per distinct vector;
-empty vectors score 0; a score beyond a long is the nearest long, and those that so tie
-go by id; empty tables give no rows; extra columns are ignored.
+components take no part; a query meets only vectors of its own number of components; rows
+without an id take no part; a vector isn't compared with rows of its own id; rows that
+repeat a query's id and vector are one query, rows that share its id only are queries of
+their own with ranks of their own; repeated candidate rows are separate results; empty
+vectors score 0; a score beyond a long is the nearest long, and those that so tie go by
+id; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,17 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewave.llm.common import require, table
+from tidewave.llm.common import cut, require, table
 
-GROUP_ROWS, BLOCK_QUERIES, BUCKET_ROWS = 16_384, 1_024, 1_024
+GROUP_ROWS, BLOCK_QUERIES, BUCKET_ROWS = 16_384, 4_096, 1_024
 COORDINATE_FROM = 0.9
 #: Two vectors shorter than this have a product below 2^53.
 LOUD = float(1 << 26)
 LONG = np.iinfo(np.int64)
+SLACK = 1e-9
 
 
 def usable(column: str) -> Column:
@@ -56,10 +61,53 @@ def usable(column: str) -> Column:
     return x.isNotNull() & ~odd
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query, by score, ties to the smaller id."""
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+def pack(x: np.ndarray) -> tuple[str, bytes]:
+    """Integer-valued rows in the smallest type that holds them, and its name."""
+    most = np.abs(x).max() if x.size else 0.0
+    kind = next((k for k in ("int8", "int16", "int32") if most <= np.iinfo(k).max), "float64")
+    return kind, x.astype(kind).tobytes()
+
+
+def unpack(kind: str, blob: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(blob, kind).astype(np.float64).reshape(rows, -1) if blob else np.zeros((rows, 0))
+
+
+_PACKED = "width int, top double, low double, rows int, ids binary, keys binary, floors binary, kind string, data binary"
+
+
+def packed(vectors: DataFrame, size: int, order: Column) -> DataFrame:
+    """Vectors (id, key, v, norm, floor) range-sorted by width and order, in numbered rows of at most ``size``.
+
+    low is the least length at which a vector can reach the floor of one of them.
+    """
+
+    def row(part: list[tuple]) -> pa.RecordBatch:
+        ids, keys, rows, norms, floors = (list(c) for c in zip(*part, strict=True))
+        kind, data = pack(np.array(rows, np.float64).reshape(len(rows), len(rows[0])))
+        far = [f / n if f > 0 and 0 < n < LOUD else 0.0 for f, n in zip(floors, norms, strict=True)]
+        values = [
+            len(rows[0]), max(norms), min(far), len(rows), np.array(ids, np.int64).tobytes(), np.array(keys, np.int64).tobytes(),
+            np.array(floors, np.float64).tobytes(), kind, data,
+        ]
+        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), *[pa.binary()] * 3, pa.string(), pa.binary()]
+        names = [c.split()[0] for c in _PACKED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []
+        for batch in batches:
+            for own in zip(*(batch[c].to_pylist() for c in ("id", "key", "v", "norm", "floor")), strict=True):
+                if part and (len(part) >= size or len(own[2]) != len(part[0][2])):
+                    yield row(part)
+                    part = []
+                part.append(own)
+        if part:
+            yield row(part)
+
+    by = [F.size("v"), order, F.col("id")]
+    ordered = vectors.repartitionByRange(max(1, -(-vectors.count() // size)), *by).sortWithinPartitions(*by)
+    rows = ordered.select("id", "key", "v", "norm", "floor").mapInArrow(run, _PACKED)
+    return cut(rows.withColumn("number", F.monotonically_increasing_id()))
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -69,105 +117,157 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([max(LONG.min, min(LONG.max, s)) for s in found], np.int64)
 
 
-def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of a cell for each of its queries."""
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for width, own in queries.groupby(queries["v"].map(len), sort=True):
-        near = rows[rows["v"].map(len) == width]
-        if not len(near):
-            continue
-        x = np.array(near["v"].tolist(), np.float64).reshape(len(near), width)
-        norms = np.sqrt((x * x).sum(axis=1))
-        order = np.argsort(-norms, kind="stable")
-        x, norms, ids = x[order], norms[order], near["id"].to_numpy(np.int64)[order]
-        q = np.array(own["v"].tolist(), np.float64).reshape(len(own), width)
-        q_ids, q_norms = own["id"].to_numpy(np.int64), np.sqrt((q * q).sum(axis=1))
-        all_x, all_ids, loud, loud_q = x, ids, norms >= LOUD, q_norms >= LOUD
-        x, norms, ids = x[~loud], norms[~loud], ids[~loud]
-        focus = np.abs(q).argmax(axis=1) if width else np.zeros(len(q), int)
-        best_s = [np.zeros(0)] * len(q)
-        best_i = [np.zeros(0, np.int64)] * len(q)
-        kth = np.full(len(q), -np.inf)
-        live = np.flatnonzero(~loud_q)
-        for at in range(0, len(x), BUCKET_ROWS):
-            b, b_norms, b_ids = x[at : at + BUCKET_ROWS], norms[at : at + BUCKET_ROWS], ids[at : at + BUCKET_ROWS]
-            reach = q_norms[live] * b_norms[0] * (1 + 1e-9)
-            live = live[(kth[live] <= reach)]
-            if not live.size:
-                break
-            top = np.maximum(q_norms[live] * b_norms[0], 1e-300)
-            cosine = np.where(kth[live] > 0, kth[live] / top, -1.0)
-            narrow = cosine > COORDINATE_FROM
-            for i in live[narrow]:
-                c = min(1.0, kth[i] / (q_norms[i] * b_norms[0]) * (1 - 1e-9))
-                turn, own_turn = np.arccos(c), np.arccos(np.clip(q[i, focus[i]] / q_norms[i], -1, 1))
-                low, high = np.cos(min(np.pi, own_turn + turn)), np.cos(max(0.0, own_turn - turn))
-                there = b[:, focus[i]] / np.maximum(b_norms, 1e-300)
-                # A shorter vector needs an even higher cosine, so the bucket's bound holds for all.
-                stay = np.flatnonzero((there >= low - 1e-9) & (there <= high + 1e-9))
-                _merge(i, b[stay] @ q[i], b_ids[stay], q_ids, best_s, best_i, kth, k)
-            wide = live[~narrow]
-            if wide.size:
-                scores = q[wide] @ b.T
-                far = b_norms[None, :] * q_norms[wide][:, None] * (1 + 1e-9) < kth[wide][:, None]
-                good = (scores >= kth[wide][:, None]) & ~far
-                for r in np.flatnonzero(good.any(axis=1)):
-                    stay = np.flatnonzero(good[r])
-                    _merge(wide[r], scores[r, stay], b_ids[stay], q_ids, best_s, best_i, kth, k)
-        for i in np.flatnonzero(loud_q | loud.any()):
-            more = np.ones(len(all_x), bool) if loud_q[i] else loud
-            more = more & (all_ids != q_ids[i])
-            scores = np.concatenate([best_s[i].astype(np.int64), _exact(all_x[more], q[i])])
-            near_ids = np.concatenate([best_i[i], all_ids[more]])
-            # ~s is -s - 1, which is a long for every long.
-            order = np.lexsort((near_ids, ~scores))[:k]
-            best_s[i], best_i[i] = scores[order], near_ids[order]
-        out += [(q_ids[i], best_s[i], best_i[i]) for i in range(len(q)) if len(best_i[i])]
-    if not out:
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-    n = [len(i) for _, _, i in out]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat([i for i, _, _ in out], n),
-            "vec_id": np.concatenate([i for _, _, i in out]),
-            "score": np.concatenate([s.astype(np.int64) for _, s, _ in out]),
-        }
-    )
+class Best:
+    """The k best (score, id) of a query so far, ties to the smaller id; floor: a score that the k-th reaches anyway."""
+
+    def __init__(self, k: int, floor: float):
+        self.k, self.kth = k, floor
+        self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.concatenate([self.scores, scores.astype(np.int64)]), np.concatenate([self.ids, ids])
+        # ~s is -s - 1, which is a long for every long.
+        order = np.lexsort((ids, ~scores))[: self.k]
+        self.scores, self.ids = scores[order], ids[order]
+        if len(order) == self.k:
+            self.kth = max(self.kth, float(self.scores[-1]))
+
+
+def coordinate_range(cosine: float, own: float) -> tuple[float, float]:
+    """Where a unit vector's coordinate can lie that has that cosine, at least, to a unit vector with ``own``."""
+    turn, at = np.arccos(min(1.0, cosine)), np.arccos(np.clip(own, -1, 1))
+    return np.cos(min(np.pi, at + turn)) - SLACK, np.cos(max(0.0, at - turn)) + SLACK
+
+
+def search(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[Best]:
+    """The k best rows for each query; rows are sorted by length, longest first."""
+    q_norms, norms = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
+    best = [Best(k, f) for f in floors]
+    loud = norms >= LOUD
+    plain = np.flatnonzero(~loud)
+    x_, norms_, ids_ = x[plain], norms[plain], ids[plain]
+    live = np.flatnonzero(q_norms < LOUD)
+    for at in range(0, len(x_), BUCKET_ROWS):
+        b, lengths, names = x_[at : at + BUCKET_ROWS], norms_[at : at + BUCKET_ROWS], ids_[at : at + BUCKET_ROWS]
+        kth = np.array([best[i].kth for i in live])
+        reach = q_norms[live] * lengths[0]
+        stay = kth <= reach * (1 + SLACK)
+        live, kth, reach = live[stay], kth[stay], reach[stay]
+        if not live.size:
+            break
+        cosine = np.where(kth > 0, kth / np.maximum(reach, 1e-300) * (1 - SLACK), -1.0)
+        # A shorter vector needs an even higher cosine, so the bucket's bound holds for all.
+        for i, c in zip(live[cosine > COORDINATE_FROM], cosine[cosine > COORDINATE_FROM], strict=True):
+            f = int(np.abs(q[i]).argmax())
+            low, high = coordinate_range(c, q[i, f] / q_norms[i])
+            there = b[:, f] / np.maximum(lengths, 1e-300)
+            _keep(best[i], q_ids[i], b, names, q[i], np.flatnonzero((there >= low) & (there <= high)))
+        # How many of the bucket are long enough; queries with like slices are multiplied together.
+        wide = np.flatnonzero(cosine <= COORDINATE_FROM)
+        least = np.maximum(kth[wide], 0) / np.maximum(q_norms[live[wide]], 1e-300) * (1 - SLACK)
+        counts = np.searchsorted(-lengths, -least, "right")
+        for part in np.array_split(np.argsort(counts, kind="stable"), max(1, len(wide) // 256)):
+            n = int(counts[part].max()) if len(part) else 0
+            if not n:
+                continue
+            own = live[wide[part]]
+            scores = q[own] @ b[:n].T
+            good = scores >= np.array([best[i].kth for i in own])[:, None]
+            for r in np.flatnonzero(good.any(axis=1)):
+                hit = np.flatnonzero(good[r])
+                other = names[hit] != q_ids[own[r]]
+                best[own[r]].add(scores[r, hit[other]], names[hit[other]])
+    for i in np.flatnonzero((q_norms >= LOUD) | loud.any()):
+        rows = np.flatnonzero((loud | (q_norms[i] >= LOUD)) & (ids != q_ids[i]))
+        best[i].add(_exact(x[rows], q[i]), ids[rows])
+    return best
+
+
+def _keep(best: Best, own: int, b: np.ndarray, names: np.ndarray, q: np.ndarray, stay: np.ndarray) -> None:
+    scores = b[stay] @ q
+    good = stay[(scores >= best.kth) & (names[stay] != own)]
+    best.add(b[good] @ q, names[good])
+
+
+#: number, width, top, low of a row of packed().
+Bounds = list[tuple[int, int, float, float]]
+_FOUND = "query_id long, query_key long, vec_id long, score long"
+
+
+def bounds_of(packed_rows: DataFrame) -> Bounds:
+    return [tuple(r) for r in packed_rows.select("number", "width", "top", "low").collect()]
+
+
+def _dealt(packed_rows: DataFrame, cells_of) -> DataFrame:
+    """Every packed row once for each of its cells, with the number of the cell."""
+    kinds = packed_rows.schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                for cell in cells_of(*(row[c][0].as_py() for c in ("number", "width", "top", "low"))):
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([cell], pa.string())], names=[*kinds, "cell"])
+
+    return packed_rows.mapInArrow(run, f"{_PACKED}, number long, cell string")
+
+
+def meet(blocks: DataFrame, groups: DataFrame, k: int, wanted) -> DataFrame:
+    """The k best of each group for every query of the blocks that want it, at or above the query's floor.
+
+    wanted: function (group's number, longest, the block's least length) -> bool.
+    """
+    all_blocks, all_groups = bounds_of(blocks), bounds_of(groups)
+
+    def of_block(number, width, top, low):
+        return [f"{number}/{g}" for g, w, longest, _ in all_groups if w == width and wanted(g, longest, low)]
 
+    def of_group(number, width, top, low):
+        return [f"{b}/{number}" for b, w, _, least in all_blocks if w == width and wanted(number, top, least)]
 
-def _merge(i, scores, ids, q_ids, best_s, best_i, kth, k) -> None:
-    other = ids != q_ids[i]
-    scores, ids = np.concatenate([best_s[i], scores[other]]), np.concatenate([best_i[i], ids[other]])
-    if len(ids) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        scores, ids = scores[scores >= least], ids[scores >= least]
-        scores, ids = _best(scores, ids, k)
-    best_s[i], best_i[i] = scores, ids
-    if len(ids) == k:
-        kth[i] = scores.min()
+    def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for block in own.itertuples():
+            q = unpack(block.kind, block.data, block.rows)
+            q_ids, keys, floors = (np.frombuffer(x, t) for x, t in ((block.ids, np.int64), (block.keys, np.int64), (block.floors, np.float64)))
+            for group in rows.itertuples():
+                found = search(q, q_ids, floors, unpack(group.kind, group.data, group.rows), np.frombuffer(group.ids, np.int64), k)
+                out += [(np.full(len(b.ids), i), np.full(len(b.ids), key), b.ids, b.scores) for i, key, b in zip(q_ids, keys, found, strict=True)]
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip(("query_id", "query_key", "vec_id", "score"), columns, strict=True)))
 
+    return _dealt(blocks, of_block).groupBy("cell").cogroup(_dealt(groups, of_group).groupBy("cell")).applyInPandas(run, _FOUND)
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+
+def top_k(
+    queries: DataFrame, rows: DataFrame, k: int, group_rows: int = GROUP_ROWS, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of every query.
 
     Both inputs have id and v, an array of integer-valued doubles.
     """
-    n_rows, n_queries = rows.count(), queries.count()
-    groups, blocks = max(1, -(-n_rows // GROUP_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
-    # Groups are dealt by a hash of the id, so each holds long and short vectors alike
-    # and finds high scores in its first bucket.
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    asked = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cell = (F.col("g") * blocks + F.col("q")).alias("cell")
-    left = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(cell, "id", "v")
-    right = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(cell, "id", "v")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return search_cell(a, b, k)
-
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(run, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
+    plain = {"norm": norm, "floor": F.lit(float("-inf"))}
+    asked = queries.select("id", "v").distinct().withColumn("key", F.xxhash64("v"))
+    groups = packed(rows.select("id", "v").withColumns({"key": F.lit(0).cast("long"), **plain}), group_rows, -F.col("norm"))
+    longest: dict[int, tuple[float, int]] = {}
+    for number, width, top, _ in bounds_of(groups):
+        longest[width] = max(longest.get(width, (-1.0, 0)), (top, -number))
+    first = {-number for _, number in longest.values()}
+
+    some = packed(asked.withColumns(plain), block_queries, -F.col("norm"))
+    start = cut(meet(some, groups, k, lambda g, top, low: g in first))
+    best = W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
+    ranked = start.withColumn("rank", F.row_number().over(best))
+    floors = ranked.where(F.col("rank") == k).select(
+        F.col("query_id").alias("id"), F.col("query_key").alias("key"), F.col("score").cast("double").alias("floor")
+    )
+    reach = F.col("floor") / F.nullif(F.col("norm"), F.lit(0.0))
+    known = asked.withColumn("norm", norm).join(floors, ["id", "key"], "left").fillna({"floor": float("-inf")})
+    sorted_ = packed(known, block_queries, F.coalesce(reach, F.lit(float("-inf"))))
+    more = meet(sorted_, groups, k, lambda g, top, low: g not in first and top * (1 + SLACK) >= low)
+    whole = start.union(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return whole.select("query_id", "rank", "vec_id", "score")
 
 
 def scaled(embeddings: DataFrame, factor: float = 64.0) -> DataFrame:
@@ -184,7 +284,7 @@ def scaled(embeddings: DataFrame, factor: float = 64.0) -> DataFrame:
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scaled(table(spark, sf_dir, "embeddings"))
-    return top_k(rows.where("id % 20 = 0").distinct(), rows, 20)
+    return top_k(rows.where("id % 20 = 0"), rows, 20)
 
 
 ORACLE = """
