@@ -120,6 +120,25 @@ def test_near_dedup_of_a_large_loose_group(spark):
     assert got == {i: c for i, _, c in brute_components(rows)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_near_dedup_of_many_small_groups(spark, seed):
+    # Groups of two to five, chains among them; hubs may be any member.
+    rng = random.Random(100 + seed)
+    rows = []
+    for g in range(60):
+        text = words(rng, rng.randint(30, 90), "abcdefghij").split()
+        for _ in range(rng.randint(2, 5)):
+            text = list(text)
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(len(text))] = f"q{rng.randint(0, 999)}"
+            rows.append((len(rows), " ".join(text)))
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    rows = [(ids[i], t) for i, t in rows]
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_components(docs_frame(spark, rows)).collect()}
+    assert got == {i: c for i, _, c in brute_components(rows)}
+
+
 def test_near_dedup_keeps_columns_and_one_of_each_group(spark):
     rows = odd_documents()
     kept = similar.near_dedup(docs_frame(spark, rows))

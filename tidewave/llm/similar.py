@@ -69,7 +69,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -378,7 +378,7 @@ def near_components(documents: DataFrame) -> DataFrame:
     forget(met)
 
     stars = cut(prune(candidate_stars(shared, reps), reps))
-    members = shared.select("id").union(shared.where("members > 2").select("hub")).union(stars.select("b"))
+    members = shared.select("id").union(shared.where("members > 2").select("hub")).union(stars.select("a")).union(stars.select("b"))
     texts = cut(pressed(documents).join(members.distinct(), "id", "left_semi"))
     links = cut(verify(stars, texts))
     comps = components(links)
