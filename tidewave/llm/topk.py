@@ -251,13 +251,18 @@ def top_k(
     asked = queries.select("id", "v").distinct().withColumn("key", F.xxhash64("v"))
     groups = packed(rows.select("id", "v").withColumns({"key": F.lit(0).cast("long"), **plain}), group_rows, -F.col("norm"))
     longest: dict[int, tuple[float, int]] = {}
-    for number, width, top, _ in bounds_of(groups):
+    all_groups = bounds_of(groups)
+    for number, width, top, _ in all_groups:
         longest[width] = max(longest.get(width, (-1.0, 0)), (top, -number))
     first = {-number for _, number in longest.values()}
 
     some = packed(asked.withColumns(plain), block_queries, -F.col("norm"))
-    start = cut(meet(some, groups, k, lambda g, top, low: g in first))
+    start = meet(some, groups, k, lambda g, top, low: g in first)
     best = W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
+    if len(all_groups) == len(first):  # no group is left for a second round
+        whole = start.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return whole.select("query_id", "rank", "vec_id", "score")
+    start = cut(start)
     ranked = start.withColumn("rank", F.row_number().over(best))
     floors = ranked.where(F.col("rank") == k).select(
         F.col("query_id").alias("id"), F.col("query_key").alias("key"), F.col("score").cast("double").alias("floor")
