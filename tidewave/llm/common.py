@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     if set_.isDefined():
         return set_.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.master.startswith("local["):
+    if not named and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewave-"))
     return context._jsc.sc().getCheckpointDir().get()
