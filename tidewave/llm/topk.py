@@ -189,54 +189,72 @@ def _keep(best: Best, own: int, b: np.ndarray, names: np.ndarray, q: np.ndarray,
     best.add(b[good] @ q, names[good])
 
 
-#: number, width, top, low of a row of packed().
-Bounds = list[tuple[int, int, float, float]]
+#: number, width, top, low, rows of a row of packed(), or of several in a row.
+Bounds = list[tuple[int, int, float, float, int]]
 _FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
-def bounds_of(packed_rows: DataFrame) -> Bounds:
-    return [tuple(r) for r in packed_rows.select("number", "width", "top", "low").collect()]
+def gathered(packed_rows: DataFrame, size: int) -> tuple[dict[int, int], Bounds]:
+    """Consecutive packed rows of one width as lots of at most ``size`` vectors, whatever the number of partitions.
+
+    Returns the lot of each packed row's number, and the bounds of the lots.
+    """
+    lots: dict[int, int] = {}
+    bounds: Bounds = []
+    for number, width, top, low, rows in sorted(map(tuple, packed_rows.select("number", "width", "top", "low", "rows").collect())):
+        if bounds and bounds[-1][1] == width and bounds[-1][4] + rows <= size:
+            lot, _, t, least, n = bounds[-1]
+            bounds[-1] = (lot, width, max(t, top), min(least, low), n + rows)
+        else:
+            bounds.append((number, width, top, low, rows))
+        lots[number] = bounds[-1][0]
+    return lots, bounds
 
 
 def _dealt(packed_rows: DataFrame, cells_of) -> DataFrame:
-    """Every packed row once for each of its cells, with the number of the cell."""
+    """Every packed row once for each of its cells, with the name of the cell."""
     kinds = packed_rows.schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                for cell in cells_of(*(row[c][0].as_py() for c in ("number", "width", "top", "low"))):
+                for cell in cells_of(row["number"][0].as_py()):
                     yield pa.RecordBatch.from_arrays([*row.columns, pa.array([cell], pa.string())], names=[*kinds, "cell"])
 
     return packed_rows.mapInArrow(run, f"{_PACKED}, number long, cell string")
 
 
-def meet(blocks: DataFrame, groups: DataFrame, k: int, wanted) -> DataFrame:
-    """The k best of each group for every query of the blocks that want it, at or above the query's floor.
+def _stacked(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The vectors of a cell's packed rows, with their ids, keys and floors."""
+    parts = [(unpack(r.kind, r.data, r.rows), *(np.frombuffer(x, t) for x, t in ((r.ids, np.int64), (r.keys, np.int64), (r.floors, np.float64)))) for r in rows.itertuples()]
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
-    wanted: function (group's number, longest, the block's least length) -> bool.
-    """
-    all_blocks, all_groups = bounds_of(blocks), bounds_of(groups)
 
-    def of_block(number, width, top, low):
-        return [f"{number}/{g}" for g, w, longest, _ in all_groups if w == width and wanted(g, longest, low)]
+def meet(blocks: tuple, groups: tuple, k: int, wanted) -> DataFrame:
+    """The k best of each group for every query of the blocks that want it, at or above the query's floor.
 
-    def of_group(number, width, top, low):
-        return [f"{b}/{number}" for b, w, _, least in all_blocks if w == width and wanted(number, top, least)]
+    blocks, groups: packed rows, their lots and bounds (as of gathered). wanted: function (group's
+    number, longest, the block's least length) -> bool.
+    """
+    (asked, block_lots, block_bounds), (held, group_lots, group_bounds) = blocks, groups
+    cells = {b: [f"{b}/{g}" for g, w, top, _, _ in group_bounds if w == width and wanted(g, top, low)] for b, width, _, low, _ in block_bounds}
+    # The same, seen from the groups; both come from the bounds alone.
+    by_group = {g: [f"{b}/{g}" for b, w, _, low, _ in block_bounds if w == width and wanted(g, top, low)] for g, width, top, _, _ in group_bounds}
 
     def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for block in own.itertuples():
-            q = unpack(block.kind, block.data, block.rows)
-            q_ids, keys, floors = (np.frombuffer(x, t) for x, t in ((block.ids, np.int64), (block.keys, np.int64), (block.floors, np.float64)))
-            for group in rows.itertuples():
-                found = search(q, q_ids, floors, unpack(group.kind, group.data, group.rows), np.frombuffer(group.ids, np.int64), k)
-                out += [(np.full(len(b.ids), i), np.full(len(b.ids), key), b.ids, b.scores) for i, key, b in zip(q_ids, keys, found, strict=True)]
+        if len(own) and len(rows):
+            q, q_ids, keys, floors = _stacked(own)
+            x, ids, _, _ = _stacked(rows)
+            order = np.argsort(-(x * x).sum(axis=1), kind="stable")
+            found = search(q, q_ids, floors, x[order], ids[order], k)
+            out = [(np.full(len(b.ids), i), np.full(len(b.ids), key), b.ids, b.scores) for i, key, b in zip(q_ids, keys, found, strict=True)]
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return pd.DataFrame(dict(zip(("query_id", "query_key", "vec_id", "score"), columns, strict=True)))
 
-    return _dealt(blocks, of_block).groupBy("cell").cogroup(_dealt(groups, of_group).groupBy("cell")).applyInPandas(run, _FOUND)
+    left = _dealt(asked, lambda n: cells[block_lots[n]]).groupBy("cell")
+    return left.cogroup(_dealt(held, lambda n: by_group[group_lots[n]]).groupBy("cell")).applyInPandas(run, _FOUND)
 
 
 def top_k(
@@ -249,14 +267,18 @@ def top_k(
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
     plain = {"norm": norm, "floor": F.lit(float("-inf"))}
     asked = queries.select("id", "v").distinct().withColumn("key", F.xxhash64("v"))
-    groups = packed(rows.select("id", "v").withColumns({"key": F.lit(0).cast("long"), **plain}), group_rows, -F.col("norm"))
+    def lot(vectors: DataFrame, size: int, order: Column) -> tuple:
+        table_ = packed(vectors, size, order)
+        return table_, *gathered(table_, size)
+
+    groups = lot(rows.select("id", "v").withColumns({"key": F.lit(0).cast("long"), **plain}), group_rows, -F.col("norm"))
     longest: dict[int, tuple[float, int]] = {}
-    all_groups = bounds_of(groups)
-    for number, width, top, _ in all_groups:
+    all_groups = groups[2]
+    for number, width, top, _, _ in all_groups:
         longest[width] = max(longest.get(width, (-1.0, 0)), (top, -number))
     first = {-number for _, number in longest.values()}
 
-    some = packed(asked.withColumns(plain), block_queries, -F.col("norm"))
+    some = lot(asked.withColumns(plain), block_queries, -F.col("norm"))
     start = meet(some, groups, k, lambda g, top, low: g in first)
     best = W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     if len(all_groups) == len(first):  # no group is left for a second round
@@ -269,7 +291,7 @@ def top_k(
     )
     reach = F.col("floor") / F.nullif(F.col("norm"), F.lit(0.0))
     known = asked.withColumn("norm", norm).join(floors, ["id", "key"], "left").fillna({"floor": float("-inf")})
-    sorted_ = packed(known, block_queries, F.coalesce(reach, F.lit(float("-inf"))))
+    sorted_ = lot(known, block_queries, F.coalesce(reach, F.lit(float("-inf"))))
     more = meet(sorted_, groups, k, lambda g, top, low: g not in first and top * (1 + SLACK) >= low)
     whole = start.union(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return whole.select("query_id", "rank", "vec_id", "score")
