@@ -142,14 +142,16 @@ class Batch:
         # Anchors are least values, so they crowd near 0: mixed again they fill all buckets alike.
         return _mix(least[begins] ^ _B), begins + base, stops - begins + 1, document[begins]
 
-    def anchors(self, keys: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys, and which of them two documents here hold."""
+    def anchors(self, keys: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, which of them two documents here hold, and the place of each key among them."""
         order = np.argsort(keys, kind="stable")
         ordered, ids = keys[order], self.ids[documents[order]]
-        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
+        heads, place = np.flatnonzero(new), np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(new) - 1
         if not len(heads):
-            return ordered, np.zeros(0, bool)
-        return ordered[heads], np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
+            return ordered, np.zeros(0, bool), place
+        return ordered[heads], np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads), place
 
 
 def pack_batches(documents: DataFrame, batch_bytes: int) -> DataFrame:
@@ -325,7 +327,7 @@ class Asked:
 
     def __init__(self, batch: Batch, answers: list[tuple[int, int, bytes]], copies: np.ndarray, buckets: int):
         keys, places, counts, documents = batch.runs()
-        distinct, shared = batch.anchors(keys, documents)
+        distinct, shared, place = batch.anchors(keys, documents)
         hot = np.zeros(len(distinct), bool)
         cuts = dict(_by_bucket(bucket_of(distinct, buckets)))
         for bucket, n, z in answers:
@@ -333,7 +335,7 @@ class Asked:
             shared[cuts[bucket]] |= bits[:n] == 1
             hot[cuts[bucket]] = bits[n:]
         stay = ~np.isin(documents, copies)
-        at = np.searchsorted(distinct, keys[stay])
+        at = place[stay]
         ask = shared[at]
         keys, places, counts, documents = (x[stay][ask] for x in (keys, places, counts, documents))
         single = hot[at[ask]]
@@ -386,10 +388,11 @@ class Asked:
         heads = np.cumsum(self.lengths) - self.lengths
         found = least[_ranges(heads[self.which], self.counts)] < np.repeat(batch.ids[self.documents], self.counts)
         starts = _ranges(self.places, self.counts)[found]
-        edge = np.zeros(len(batch.data) + 1, np.int32)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
-        return np.cumsum(edge[:-1]) > 0
+        # A byte is covered if a window found starts there or less than a window's length before.
+        hits = np.zeros(len(batch.data) + LENGTH, np.int32)
+        hits[starts + LENGTH] = 1
+        upto = np.cumsum(hits)
+        return upto[LENGTH:] > upto[:-LENGTH]
 
 
 def _documents(batch: Batch, gone: np.ndarray) -> pa.Table:
@@ -431,7 +434,7 @@ def dedup_spans(documents: DataFrame, batch_bytes: int = BATCH_BYTES, bucket_byt
                 row = rows.slice(i, 1).to_pylist()[0]
                 batch = Batch.of(row)
                 keys, _, _, documents_ = batch.runs()
-                keys, _ = batch.anchors(keys, documents_)
+                keys, _, _ = batch.anchors(keys, documents_)
                 found = [(bucket, _narrow(keys[s])) for bucket, s in _by_bucket(bucket_of(keys, buckets))]
                 yield pa.RecordBatch.from_arrays(
                     [
