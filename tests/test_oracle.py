@@ -18,7 +18,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value or str(value) == "<NA>":
+    if value is None or str(value) == "<NA>" or value != value:
         return "-"
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
