@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewave.llm import (
-    chat_format, conversation_trie, decontaminate, langid, lexical, line_dedup, mixing, quality, similar, suffix_dedup, topk, url_filter,
+    chat_format, conversation_trie, decontaminate, html_extract, langid, lexical, line_dedup, mixing, quality, similar, suffix_dedup, topk, url_filter,
 )
 
 QUERIES: dict = {}
@@ -11,7 +11,7 @@ ORACLES: dict = {}
 
 _MODULES = (
     mixing, similar, chat_format, topk, url_filter, langid, decontaminate, line_dedup, quality, suffix_dedup,
-    lexical, conversation_trie,
+    lexical, conversation_trie, html_extract,
 )
 
 for _module in _MODULES:
