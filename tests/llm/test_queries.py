@@ -40,10 +40,13 @@ def test_language_id_on_held_out_documents(spark):
 
 
 def test_quality_on_held_out_documents(spark):
-    found = quality.op9_quality(spark, LARGER).toPandas()
-    truth = table(spark, LARGER, "labels").toPandas().merge(found, on="doc_id")
+    larger = "/root/testdata/sf0.1"
+    found = quality.op9_quality(spark, larger).toPandas()
+    truth = table(spark, larger, "labels").toPandas().merge(found, on="doc_id")
     held = truth[truth["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)]
     assert ((held["p_quality"] >= 0.5) == (held["quality"] == 1)).mean() > 0.95
+    told, toxic = held["p_toxic"] >= 0.5, held["toxic"] == 1
+    assert (told & toxic).sum() / toxic.sum() > 0.8 and (told & toxic).sum() / told.sum() > 0.9
 
 
 def test_suffix_dedup_of_the_whole_table(spark):
