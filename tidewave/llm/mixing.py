@@ -22,7 +22,8 @@ have one row per source; they are joined under Spark's own size check.
 
 Defined results for odd input: null text counts 0 words, is taken 0 times and has
 no position; null source is a source of its own, last in order; null doc_ids are
-ordered as empty text; repeated rows are separate copies and come next to each
+ordered by their
+text's digest, so that a source of rows without ids spreads like any other; repeated rows are separate copies and come next to each
 other; equal positions are ordered by source, then doc_id; an empty table or no
 words at all gives targets of 0; extra columns are dropped.
 """
@@ -46,9 +47,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def order_key(source: Column, doc_id: Column) -> Column:
-    """60 pseudo-random bits of a document, the same in every run and engine."""
-    digest = F.md5(F.concat(F.coalesce(source, F.lit("")), F.lit("/"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_key(source: Column, doc_id: Column, text: Column) -> Column:
+    """60 pseudo-random bits of a document, the same in every run and engine; its text stands for a missing id."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(text, F.lit("")))))
+    digest = F.md5(F.concat(F.coalesce(source, F.lit("")), F.lit("/"), name))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -137,7 +139,7 @@ def mix_sources(
     require(documents, ["doc_id", "text", "source"])
     slim = cut(
         documents.select(
-            "doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("source"), F.col("doc_id")).alias("o")
+            "doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("source"), F.col("doc_id"), F.col("text")).alias("o")
         )
     )
     buckets = max(1, round(slim.count() ** 0.5))
@@ -191,7 +193,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5(coalesce(source, '') || '/' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as o
+    ('0x' || substr(md5(coalesce(source, '') || '/' || coalesce(doc_id::varchar, '?' || md5(coalesce(text, '')))), 1, 15))::bigint as o
   from {documents}
 ), sources as (
   select source, sum(size)::bigint as source_size,
