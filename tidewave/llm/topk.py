@@ -23,7 +23,8 @@ gives every query a score s that its k-th result reaches. Then queries, in block
 (m >= s / q): a block to a first few groups, a group to a first few blocks. A cell of one
 group and one block is a task of bounded size; it returns k rows a query at most, and a
 query's cells meet in one ranking. Vectors travel as the smallest integers that hold them.
-The driver holds one (width, length) pair per group.
+The driver holds one row of bounds and one count per group
+and per block; which cells there are follows from the counts, in the tasks.
 
 Defined results for odd input: vectors that are null or hold null or non-finite
 components take no part; a query meets only vectors of its own number of components; rows
@@ -231,16 +232,46 @@ def _stacked(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def meet(blocks: tuple, groups: tuple, k: int, wanted) -> DataFrame:
-    """The k best of each group for every query of the blocks that want it, at or above the query's floor.
+class Cells:
+    """Which blocks meet which groups, as two prefixes: the longest groups for a block, the most easily reached blocks for a group.
 
-    blocks, groups: packed rows, their lots and bounds (as of gathered). wanted: function (group's
-    number, longest, the block's least length) -> bool.
+    Holds a number per group and one per block, however many pairs there are.
+    """
+
+    def __init__(self, block_bounds: Bounds, group_bounds: Bounds, second: bool):
+        self.groups: dict[int, list[int]] = {}
+        self.blocks: dict[int, list[int]] = {}
+        self.of_block: dict[int, tuple[int, int]] = {}
+        self.of_group: dict[int, tuple[int, int]] = {}
+        self.begin = 1 if second else 0
+        for width in {w for _, w, _, _, _ in group_bounds}:
+            groups = sorted((-top, g) for g, w, top, _, _ in group_bounds if w == width)
+            blocks = sorted((low, b) for b, w, _, low, _ in block_bounds if w == width)
+            self.groups[width], self.blocks[width] = [g for _, g in groups], [b for _, b in blocks]
+            reach, lows = np.array([-t * (1 + SLACK) for t, _ in groups]), np.array([low for low, _ in blocks])
+            # Both counts come from one comparison: reach >= low.
+            counts = np.searchsorted(-reach, -lows, side="right") if second else np.ones(len(blocks), np.int64)
+            self.of_block |= {b: (width, int(n)) for b, n in zip(self.blocks[width], counts, strict=True)}
+            counts = np.searchsorted(lows, reach, side="right") if second else np.where(np.arange(len(groups)) == 0, len(blocks), 0)
+            self.of_group |= {g: (width, int(n) if i >= self.begin else 0) for i, (g, n) in enumerate(zip(self.groups[width], counts, strict=True))}
+
+    def from_block(self, b: int) -> Iterator[str]:
+        width, n = self.of_block.get(b, (None, 0))
+        return (f"{b}/{g}" for g in self.groups.get(width, [])[self.begin : n])
+
+    def from_group(self, g: int) -> Iterator[str]:
+        width, n = self.of_group[g]
+        return (f"{b}/{g}" for b in self.blocks[width][:n])
+
+
+def meet(blocks: tuple, groups: tuple, k: int, second: bool) -> DataFrame:
+    """The k best of each group for every query of the blocks, at or above the query's floor.
+
+    blocks, groups: packed rows, their lots and bounds (as of gathered). The first round is
+    with the longest group of each width, the second with the others that a block can reach.
     """
     (asked, block_lots, block_bounds), (held, group_lots, group_bounds) = blocks, groups
-    cells = {b: [f"{b}/{g}" for g, w, top, _, _ in group_bounds if w == width and wanted(g, top, low)] for b, width, _, low, _ in block_bounds}
-    # The same, seen from the groups; both come from the bounds alone.
-    by_group = {g: [f"{b}/{g}" for b, w, _, low, _ in block_bounds if w == width and wanted(g, top, low)] for g, width, top, _, _ in group_bounds}
+    cells = Cells(block_bounds, group_bounds, second)
 
     def run(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -253,8 +284,8 @@ def meet(blocks: tuple, groups: tuple, k: int, wanted) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return pd.DataFrame(dict(zip(("query_id", "query_key", "vec_id", "score"), columns, strict=True)))
 
-    left = _dealt(asked, lambda n: cells[block_lots[n]]).groupBy("cell")
-    return left.cogroup(_dealt(held, lambda n: by_group[group_lots[n]]).groupBy("cell")).applyInPandas(run, _FOUND)
+    left = _dealt(asked, lambda n: cells.from_block(block_lots[n])).groupBy("cell")
+    return left.cogroup(_dealt(held, lambda n: cells.from_group(group_lots[n])).groupBy("cell")).applyInPandas(run, _FOUND)
 
 
 def top_k(
@@ -272,16 +303,12 @@ def top_k(
         return table_, *gathered(table_, size)
 
     groups = lot(rows.select("id", "v").withColumns({"key": F.lit(0).cast("long"), **plain}), group_rows, -F.col("norm"))
-    longest: dict[int, tuple[float, int]] = {}
-    all_groups = groups[2]
-    for number, width, top, _, _ in all_groups:
-        longest[width] = max(longest.get(width, (-1.0, 0)), (top, -number))
-    first = {-number for _, number in longest.values()}
+    n_groups, n_widths = len(groups[2]), len({width for _, width, _, _, _ in groups[2]})
 
     some = lot(asked.withColumns(plain), block_queries, -F.col("norm"))
-    start = meet(some, groups, k, lambda g, top, low: g in first)
+    start = meet(some, groups, k, second=False)
     best = W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
-    if len(all_groups) == len(first):  # no group is left for a second round
+    if n_groups == n_widths:  # no group is left for a second round
         whole = start.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         return whole.select("query_id", "rank", "vec_id", "score")
     start = cut(start)
@@ -292,7 +319,7 @@ def top_k(
     reach = F.col("floor") / F.nullif(F.col("norm"), F.lit(0.0))
     known = asked.withColumn("norm", norm).join(floors, ["id", "key"], "left").fillna({"floor": float("-inf")})
     sorted_ = lot(known, block_queries, F.coalesce(reach, F.lit(float("-inf"))))
-    more = meet(sorted_, groups, k, lambda g, top, low: g not in first and top * (1 + SLACK) >= low)
+    more = meet(sorted_, groups, k, second=True)
     whole = start.union(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return whole.select("query_id", "rank", "vec_id", "score")
 
