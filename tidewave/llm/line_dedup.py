@@ -11,7 +11,9 @@ keeps it, the rest is streamed past. Since the document is part of the range key
 line in a third of all documents spreads over many partitions; a group that runs
 over a partition's edge is completed from a summary of two rows per partition (the
 first and the last group: its document count and first and last document). The
-stream holds back a group only until ``min_docs`` documents of it are seen. What
+stream holds back a group only until ``min_docs`` documents of it are seen, and no more than
+``HELD_ROWS`` of its rows: more (a document that repeats a line without end) pass with a mark
+and meet the verdict in a join. What
 comes out is one zlib-compressed bitmap per document that loses lines.
 
 Defined results for odd input: null or empty text is one empty line; rows without a
@@ -32,9 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.llm.common import BLANKS, cut_in_order, lower_ascii, require, table
+from tidewave.llm.common import BLANKS, cut, cut_in_order, lower_ascii, require, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Rows of an undecided key that a task holds.
+HELD_ROWS = 65_536
 
 _COLUMNS = ("h1", "h2", "doc_id", "text_hash", "pos", "n_lines")
 
@@ -108,41 +112,70 @@ def edge_totals(edges: list) -> dict[tuple[int, int], tuple[int, int]]:
     return out
 
 
-def _stream(totals: dict, min_docs: int):
-    """From sorted rows, those of the lines to drop."""
+_GONE = "doc_id long, text_hash long, pos int, n_lines int, pending long, verdict boolean"
+
+
+def _stream(totals: dict, min_docs: int, hold: int):
+    """From sorted rows, those of the lines to drop.
+
+    Rows of a key that may yet have too few documents are held, but no more than ``hold`` of
+    them: beyond, they pass marked as pending, and a verdict follows if they are to be dropped.
+    The largest document's rows are never dropped, so never held.
+    """
+    names = [c.split()[0] for c in _GONE.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+
+    def put(x: dict[str, np.ndarray], pending: int | None = None) -> pa.RecordBatch:
+        n = len(x["doc_id"])
+        columns = [*(x[c] for c in names[:4]), [pending] * n, [False] * n]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the last key, while it has too few documents to decide
-        keeper = None  # (key, largest document) of the last key, once decided
+        key = pending = None
+        count = top = last = n_held = serial = 0
+        held: list[dict[str, np.ndarray]] = []
         for batch in batches:
-            x = _arrays(batch)
-            if not len(x["h1"]):
+            if not batch.num_rows:
                 continue
-            if held is not None:
-                x = {c: np.concatenate([held[c], x[c]]) for c in _COLUMNS}
-                held = None
+            x, pid = _arrays(batch), batch["pid"][0].as_py()
             starts = _group_starts(x)
-            sizes = np.diff([*starts, len(x["h1"])])
+            keys = [(int(x["h1"][starts[i]]), int(x["h2"][starts[i]])) for i in (0, -1)]
             new_doc = np.ones(len(x["h1"]), bool)
             new_doc[1:] = x["doc_id"][1:] != x["doc_id"][:-1]
             new_doc[starts] = True
+            goes_on = key == keys[0]
+            if goes_on:
+                new_doc[0] = x["doc_id"][0] != last
             counts, tops = np.add.reduceat(new_doc, starts), x["doc_id"][starts].copy()
-            for i in sorted({0, len(starts) - 1}):
-                key = (int(x["h1"][starts[i]]), int(x["h2"][starts[i]]))
-                if key in totals:
-                    counts[i], tops[i] = totals[key]
-                elif keeper and keeper[0] == key:
-                    counts[i], tops[i] = min_docs, keeper[1]
-            last = (int(x["h1"][starts[-1]]), int(x["h2"][starts[-1]]))
-            if counts[-1] >= min_docs:
-                keeper = (last, tops[-1])
-            elif last not in totals:
-                keeper, held = None, {c: x[c][starts[-1] :].copy() for c in _COLUMNS}
+            if goes_on:
+                counts[0], tops[0] = counts[0] + count, top
+            for i, k in zip((0, -1), keys, strict=True):
+                if k in totals:
+                    counts[i], tops[i] = totals[k]
+            if goes_on and counts[0] >= min_docs:
+                for rows in held:
+                    yield put(rows)
+                if pending is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None] * 4 + [pending, True], kinds, strict=True)], names=names)
+            if not goes_on or len(starts) > 1 or counts[0] >= min_docs:
+                held, n_held, pending = [], 0, None
+            sizes = np.diff([*starts, len(x["h1"])])
             drop = np.repeat(counts >= min_docs, sizes) & (x["doc_id"] != np.repeat(tops, sizes))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[c][drop]) for c in ("doc_id", "text_hash", "pos", "n_lines")],
-                names=["doc_id", "text_hash", "pos", "n_lines"],
-            )
+            yield put({c: x[c][drop] for c in names[:4]})
+            key, count, top, last = keys[1], int(counts[-1]), tops[-1], x["doc_id"][-1]
+            if count < min_docs and key not in totals:
+                wait = np.flatnonzero(x["doc_id"][starts[-1] :] != top) + starts[-1]
+                rows = {c: x[c][wait] for c in names[:4]}
+                n_held += len(wait)
+                if n_held > hold and pending is None:
+                    pending, serial = (pid << 32) + serial, serial + 1
+                    for own in held:
+                        yield put(own, pending)
+                    held = []
+                if pending is not None:
+                    yield put(rows, pending)
+                elif len(wait):
+                    held.append(rows)
 
     return run
 
@@ -157,7 +190,7 @@ def unpack_bitmap(bitmap: bytes, n_lines: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
 
 
-def line_keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hold: int = HELD_ROWS) -> DataFrame:
     """doc_id, text_hash, n_lines, n_dropped, keep: one row per document that loses lines."""
     require(documents, ["doc_id", "text"])
     rows = line_rows(documents, min_chars)
@@ -168,7 +201,10 @@ def line_keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs
     # Two rows per partition at most, however many lines there are.
     edges = pids.mapInArrow(_edges, "pid long, k long, h1 long, h2 long, n_docs long, top long, low long").collect()
     totals = edge_totals(edges)
-    dropped = ordered.mapInArrow(_stream(totals, min_docs), "doc_id long, text_hash long, pos int, n_lines int")
+    gone = cut(pids.mapInArrow(_stream(totals, min_docs, hold), _GONE))
+    waiting = gone.where("pending is not null and not verdict").join(gone.where("verdict").select("pending"), "pending", "left_semi")
+    columns = ["doc_id", "text_hash", "pos", "n_lines"]
+    dropped = gone.where("pending is null").select(*columns).unionAll(waiting.select(*columns))
     grouped = dropped.groupBy("doc_id", "text_hash", "n_lines").agg(F.collect_set("pos").alias("dropped"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +221,9 @@ def line_keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs
     return grouped.mapInArrow(pack, "doc_id long, text_hash long, n_lines int, n_dropped int, keep binary")
 
 
-def keep_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hold: int = HELD_ROWS) -> DataFrame:
     """The documents as a struct ``doc``, with kept_text, n_lines and n_dropped."""
-    maps = line_keep_bitmaps(documents, min_chars, min_docs)
+    maps = line_keep_bitmaps(documents, min_chars, min_docs, hold)
     docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     maps = maps.select("doc_id", "text_hash", "n_dropped", "keep")
     joined = docs.join(
