@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewave.functions import filters as K
+from tidewave.operators import detection as D
 from tidewave.operators import events as E
 from tidewave.operators import grid as G
 from tidewave.operators import onsets as O
@@ -147,11 +148,31 @@ def onset_power(spark, sf_dir):
     return out.select("series", *r6("freq", "t", "value"))
 
 
+DETECTORS = {
+    "min_channels_for_outlier_stats": 4,
+    "detectors": {
+        "flat_channel": {"severity": "high", "std_fraction_of_median": 0.97, "proposed_action": "exclude_channel"},
+        "variance_outlier": {"severity": "med", "robust_z_max": 2.0, "proposed_action": "exclude_channel"},
+        "kurtosis_outlier": {"severity": "med", "block_s": 2.0, "max_excess_kurtosis": -0.75, "proposed_action": "exclude_channel"},
+        "clipping": {"severity": "high", "fraction_at_rail_max": 0.0016, "proposed_action": "exclude_channel"},
+    },
+}
+
+
+def detect_all(spark, sf_dir):
+    """Four detectors over one scan: a nation's suppliers are the channels of a session."""
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("series"), F.col("s_nationkey").alias("session"))
+    rows = chunks(spark, sf_dir).join(nations, "series").withColumn("channel", F.col("series").cast("string"))
+    channels = nations.select("session", F.col("series").cast("string").alias("channel"), F.lit("all").alias("region"), F.lit(None).cast("string").alias("kind"))
+    flags = D.detect_all(rows, ["session"], channels, RATE, DETECTORS)
+    return flags.select(F.col("session").cast("long").alias("session"), "flag_type", "target", "detector", "severity", "proposed_action", "flag_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         grid_halo, stream_spectrum, stream_states, resample_stream, decimate_stream, hysteresis_bursts, artifact_onsets, stim_responses, pulse_trains, match_events,
-        match_scores, match_counts, phases_at_events, event_locking, onset_power,
+        match_scores, match_counts, phases_at_events, event_locking, onset_power, detect_all,
     )
 }
 
@@ -269,4 +290,25 @@ ORACLES = {
       p as (select s.series, freq, t, sum(value * re) ** 2 + sum(value * im) ** 2 as power from range(-40, 41, 4) r(t), waves, signals s join long_ using (series) where s.i = 200 + t - k group by 1, 2, 3),
       b as (select series, freq, avg(power) as m from p where t / 100.0 between -0.4 and -0.2 group by 1, 2)
       select series, {_R.format('freq', 'freq')}, {_R.format('t / 100.0', 't')}, {_R.format('10 * log10(power / m)', 'value')} from p join b using (series, freq)""",
+    "detect_all": f"""with {_SIGNALS}, c as (select s_nationkey as session, series, value, i, series::varchar as channel from signals join supplier on s_suppkey = series),
+      per as (select session, channel, stddev_pop(value) as sd, max(abs(value)) as rail, count(*) as n from c group by 1, 2),
+      mid as (select session, median(sd) as m, count(*) as members, median(log10(sd + 1e-12)) as lm from per group by 1),
+      mad as (select session, median(abs(log10(sd + 1e-12) - lm)) as d from per join mid using (session) group by 1),
+      w as (select session, channel, i // 100 as k, count(*) as n, avg(value) as mean from c group by 1, 2, 3),
+      nb as (select session, channel, count(*) filter (where n = 100) as nb from w group by 1, 2),
+      z as (select *, case when nb // 2 < 5 then greatest(nb // 5, 1) else 2 end as size from nb),
+      b as (select c.session, c.channel, case when nb // size < 3 then 0 when i // 100 < nb // size * size then (i // 100) // size end as b, value from c join z using (session, channel)),
+      mo as (select session, channel, b, count(*)::double as n, avg(value) as mean from b where b is not null group by 1, 2, 3),
+      ku as (select b.session, b.channel, b.b, any_value(n) as n, sum((value - mean) ** 2) as m2, sum((value - mean) ** 4) as m4 from b join mo using (session, channel, b) group by 1, 2, 3),
+      typical as (select session, channel, median(case when n > 3 then (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * m4 / (m2 * m2) - 3) + 6) end) as kurtosis from ku group by 1, 2),
+      flags as (
+        select session, 'flat_channel' as flag_type, channel as target, '' as detector, 'high' as severity, 'exclude_channel' as proposed_action from per join mid using (session) where m > 0 and sd < m * 0.97
+        union all select session, 'variance_outlier', channel, 'variance_outlier', 'med', 'exclude_channel' from per join mid using (session) join mad using (session)
+          where members >= 4 and abs(coalesce((log10(sd + 1e-12) - lm) / nullif(1.4826 * d, 0), 0)) > 2
+        union all select session, 'insufficient_channels', 'group:all', 'variance_outlier', 'low', '' from mid where members < 4
+        union all select session, 'kurtosis_outlier', channel, 'kurtosis_outlier', 'med', 'exclude_channel' from typical where kurtosis > -0.75
+        union all select session, 'clipping', channel, 'clipping', 'high', 'exclude_channel' from (
+          select session, channel, n, count(*) filter (where abs(abs(value) - rail) <= 1e-8 + 1e-6 * rail) as at_rail from c join per using (session, channel) group by 1, 2, 3) where at_rail / n > 0.0016
+      )
+      select session::bigint as session, flag_type, target, detector, severity, proposed_action, substr(sha256('channel|' || target || '|' || flag_type || '|' || detector), 1, 16) as flag_id from flags""",
 }
