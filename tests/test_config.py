@@ -80,3 +80,11 @@ def test_ringing_summaries(spark):
     got = {r["condition"]: r for r in K.ringing_summary(measures, ["condition"]).collect()}
     assert (got[0]["n"], got[0]["responding"]) == (3, 2) and got[1]["responding"] == 0 and got[1]["median_freq"] is None
     assert got[0]["median_freq"] == pytest.approx(250, rel=0.06)
+
+
+def test_all_faults_are_reported_at_once():
+    wrong = C.faults({"bands": {"a": [3, 1], "b": [0, 2], "c": [1, 2]}}, C.TABLES["bands"])
+    assert wrong == [("bands.a", "must be two rising numbers"), ("bands.b", "must be above 0")]
+    with pytest.raises(C.ConfigError) as error:
+        C.validate("erna", {"band": {"low_hz": 9, "high_hz": 5}})
+    assert {p for p, _ in error.value.faults} == {"band.low_hz", "window.analysis_ms", "window.blanking_ms", "peaks.min_peaks", "peaks.prominence", "stim.source"}

@@ -1,55 +1,135 @@
-"""Montages over leads of the usual geometries, with literal weights."""
+"""Montages on drawn leads against their definitions, spelled out contact by contact."""
+
+import random
 
 import pytest
 
 from tidewave.operators import catalog as C
 
-LEADS = {"d": "1 2a 2b 2c 3a 3b 3c 4", "r": "0 1 2 3"}
-ROWS = {"d": [0, 1, 1, 1, 2, 2, 2, 3], "r": [0, 1, 2, 3]}
 
+def draw_lead(rng):
+    """Rows from the tip up, each of one to four contacts; one in six contacts is gone."""
+    rows = [rng.choice([1, 1, 2, 3, 4]) for _ in range(rng.randint(2, 6))]
+    return [(f"{chr(65 + r)}{k}", r, k, rng.random() > 1 / 6) for r, n in enumerate(rows) for k in range(n)]
+
+
+LEADS = {f"lead{i}": draw_lead(random.Random(i)) for i in range(14)}
 
-def contacts(spark, gone=()):
-    rows = [(k, c, r, i, c not in gone) for k, names in LEADS.items() for i, (c, r) in enumerate(zip(names.split(), ROWS[k], strict=True))]
+
+@pytest.fixture(scope="module")
+def contacts(spark):
+    rows = [(lead, name, row, 10 * row + k, there) for lead, own in LEADS.items() for name, row, k, there in own]
+    random.Random(0).shuffle(rows)
     return spark.createDataFrame(rows, "lead string, contact string, row int, pos int, available boolean")
 
 
-def weights(spark, scheme, gone=(), lead="d"):
+def rows_of(own):
     out = {}
-    for r in C.montage_weights(contacts(spark, gone), scheme).where(f"lead = '{lead}'").collect():
-        out.setdefault(r["derivation"], {})[r["contact"]] = round(r["w"], 9)
+    for name, row, _, _ in own:
+        out.setdefault(row, []).append(name)
+    return [out[r] for r in sorted(out)]
+
+
+def minus(a, others):
+    weights = {a: 1.0}
+    for b in others:
+        weights[b] = weights.get(b, 0.0) - 1 / len(others)
+    return weights
+
+
+def vertical(own):
+    rows = rows_of(own)
+    rings = [r for r, names in enumerate(rows) if len(names) == 1]
+    pairs = {}
+    for r, names in enumerate(rows):
+        if len(names) > 1 and rings:
+            near = min(rings, key=lambda q: (abs(q - r), q))
+            pairs |= {f"{c}-{rows[near][0]}": minus(c, rows[near]) for c in names}
+    if len(rings) > 1:
+        pairs[f"{rows[rings[-1]][0]}-{rows[rings[0]][0]}"] = minus(rows[rings[-1]][0], rows[rings[0]])
+    return pairs
+
+
+def horizontal(own):
+    pairs = {}
+    for names in rows_of(own):
+        n = len(names)
+        # Two segments are one pair; more go round.
+        for k in range(n if n > 2 else n - 1):
+            a, b = names[k], names[(k + 1) % n]
+            pairs[f"{a}-{b}"] = minus(a, [b])
+    return pairs
+
+
+def complete(pairs, own):
+    there = {name for name, _, _, ok in own if ok}
+    return {name: w for name, w in pairs.items() if set(w) <= there}
+
+
+def got(contacts, scheme):
+    out = {lead: {} for lead in LEADS}
+    for r in C.montage_weights(contacts, scheme).collect():
+        out[r["lead"]].setdefault(r["derivation"], {})[r["contact"]] = r["w"]
     return out
 
 
-def test_vertical_refers_each_segment_to_the_nearest_ring(spark):
-    got = weights(spark, "bipolar_vertical")
-    assert set(got) == {"2a-1", "2b-1", "2c-1", "3a-4", "3b-4", "3c-4", "4-1"}
-    assert got["3b-4"] == {"3b": 1.0, "4": -1.0}
-    assert set(weights(spark, "bipolar_vertical", lead="r")) == {"3-0"}
+def same(found, want):
+    assert set(found) == set(want)
+    for name, weights in want.items():
+        assert found[name] == pytest.approx(weights)
+
 
+@pytest.mark.parametrize(("scheme", "define"), [("bipolar_vertical", vertical), ("bipolar_horizontal", horizontal)])
+def test_pairs_are_those_of_the_definition(contacts, scheme, define):
+    found = got(contacts, scheme)
+    for lead, own in LEADS.items():
+        pairs = define(own)
+        if scheme == "bipolar_horizontal" and any(len(names) == 2 for names in rows_of(own)):
+            continue  # rows of two are told apart below
+        same(found[lead], complete(pairs, own))
 
-def test_horizontal_closes_each_segment_row(spark):
-    assert set(weights(spark, "bipolar_horizontal")) == {"2a-2b", "2b-2c", "2c-2a", "3a-3b", "3b-3c", "3c-3a"}
-    notes = C.montage_notes(contacts(spark), "bipolar_horizontal").collect()
-    assert [(r["lead"], r["derivation"]) for r in notes] == [("r", None)]
 
+def test_what_is_left_out_is_noted_with_the_contacts_that_lack(contacts):
+    notes = {}
+    for r in C.montage_notes(contacts, "bipolar_vertical").where("derivation is not null").collect():
+        notes.setdefault(r["lead"], {})[r["derivation"]] = set(r["missing"])
+    for lead, own in LEADS.items():
+        gone = {name for name, _, _, ok in own if not ok}
+        want = {name: set(w) & gone for name, w in vertical(own).items() if set(w) & gone}
+        assert notes.get(lead, {}) == want
 
-def test_adjacent_joins_neighbouring_rows(spark):
-    got = weights(spark, "bipolar_adjacent")
-    third = round(-1 / 3, 9)
-    assert set(got) == {"1-rowmean", "3a-2a", "3b-2b", "3c-2c", "4-rowmean"}
-    assert got["1-rowmean"] == {"1": 1.0, "2a": third, "2b": third, "2c": third}
-    assert got["4-rowmean"] == {"4": 1.0, "3a": third, "3b": third, "3c": third}
-    assert set(weights(spark, "bipolar_adjacent", lead="r")) == {"1-0", "2-1", "3-2"}
 
+@pytest.mark.parametrize("scheme", ["bipolar_vertical", "bipolar_horizontal", "bipolar_adjacent", "chain", "car"])
+def test_differences_cancel_what_all_contacts_share(contacts, scheme):
+    there = {(lead, name) for lead, own in LEADS.items() for name, _, _, ok in own if ok}
+    for lead, derived in got(contacts, scheme).items():
+        for weights in derived.values():
+            assert sum(weights.values()) == pytest.approx(0.0, abs=1e-9) and {(lead, c) for c in weights} <= there
 
-def test_missing_contacts(spark):
-    gone = ("2b", "4")
-    car = weights(spark, "car", gone)
-    assert set(car) == {f"{c}-car" for c in ("1", "2a", "2c", "3a", "3b", "3c")}
-    assert car["1-car"] == {c: round((c == "1") - 1 / 6, 9) for c in ("1", "2a", "2c", "3a", "3b", "3c")}
-    assert set(weights(spark, "bipolar_vertical", gone)) == {"2a-1", "2c-1"}
-    notes = {r["derivation"]: r["missing"] for r in C.montage_notes(contacts(spark, gone), "bipolar_vertical").where("lead = 'd'").collect()}
-    assert notes == {"2b-1": ["2b"], "3a-4": ["4"], "3b-4": ["4"], "3c-4": ["4"], "4-1": ["4"]}
-    assert set(weights(spark, "monopolar", gone)) == {"1", "2a", "2c", "3a", "3b", "3c"}
+
+def test_the_common_average_is_of_what_is_there(contacts):
+    found = got(contacts, "car")
+    for lead, own in LEADS.items():
+        there = [name for name, _, _, ok in own if ok]
+        want = {f"{c}-car": {d: (d == c) - 1 / len(there) for d in there} for c in there} if len(there) > 1 else None
+        if want:
+            same(found[lead], want)
+
+
+def test_single_contacts_stand_for_themselves(contacts):
+    found = got(contacts, "monopolar")
+    for lead, own in LEADS.items():
+        assert found[lead] == {name: {name: 1.0} for name, _, _, ok in own if ok}
     with pytest.raises(ValueError, match="unknown scheme"):
-        C.montage_weights(contacts(spark), "laplace")
+        C.montage_weights(contacts, "laplace")
+
+
+def test_rows_of_one_size_pair_up_and_others_meet_by_their_mean(spark):
+    rows = [("l", "t", 0, 0, True), ("l", "u0", 1, 0, True), ("l", "u1", 1, 1, True), ("l", "v0", 2, 0, True), ("l", "v1", 2, 1, True), ("l", "w", 3, 0, True)]
+    frame = spark.createDataFrame(rows, "lead string, contact string, row int, pos int, available boolean")
+    found = {}
+    for r in C.montage_weights(frame, "bipolar_adjacent").collect():
+        found.setdefault(r["derivation"], {})[r["contact"]] = r["w"]
+    assert found == {
+        "t-rowmean": {"t": 1.0, "u0": -0.5, "u1": -0.5}, "v0-u0": {"v0": 1.0, "u0": -1.0}, "v1-u1": {"v1": 1.0, "u1": -1.0}, "w-rowmean": {"w": 1.0, "v0": -0.5, "v1": -0.5},
+    }

@@ -1,100 +1,156 @@
-"""What a configuration must hold before anything is run by it. Each check names the first fault it finds."""
+"""What a configuration must hold before anything is run by it, as tables of constraints.
+
+A constraint speaks of the places a path leads to ("*" stands for every key there) and of
+what may stand there. One checker reads all tables and reports every fault at once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 from tidewave.operators import guardrails, normalize
 
+_ABSENT = object()
 
-class ConfigError(ValueError):
-    """A configuration that would be misread, or read as something nobody chose."""
 
+class ConfigError(ValueError):
+    """Faults of a configuration: ``faults`` lists (path, what is wrong)."""
 
-def _need(holds: bool, fault: str) -> None:
-    if not holds:
-        raise ConfigError(fault)
+    def __init__(self, faults: list[tuple[str, str]]):
+        self.faults = faults
+        super().__init__("; ".join(f"{path or 'the configuration'} {what}" for path, what in faults))
 
 
-def _mapping(config: Mapping, name: str) -> Mapping:
-    found = config.get(name)
-    _need(isinstance(found, Mapping) and bool(found), f"a mapping {name} is needed")
-    return found
+@dataclass(frozen=True)
+class Constraint:
+    """kind: mapping, text, number, whole, edges (two rising numbers) or any.
 
+    keys: names that a mapping must have. among: allowed values, or the path of a mapping
+    whose keys are allowed. least (a value above, if ``beyond``). rises_to: the path of a
+    number that must be larger. absent: a place may be empty. when: holds only if that
+    path's value is true.
+    """
 
-def _told(where: str, about: object, fields: tuple[str, ...]) -> None:
-    for field in fields:
-        told = about.get(field) if isinstance(about, Mapping) else None
-        _need(bool(str(told or "").strip()), f"{where} needs a {field}: people read it when they choose")
+    path: str
+    kind: str = "any"
+    keys: tuple[str, ...] = ()
+    among: tuple | str | None = None
+    least: float | None = None
+    beyond: bool = False
+    rises_to: str | None = None
+    absent: bool = False
+    when: str | None = None
 
 
-def _number(value: object) -> bool:
+def _is_number(value: object) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool)
 
 
-def check_bands(config: Mapping) -> None:
-    for band, edges in _mapping(config, "bands").items():
-        _need(isinstance(edges, (list, tuple)) and len(edges) == 2 and all(map(_number, edges)), f"band {band} must be two numbers")
-        _need(0 < edges[0] < edges[1], f"band {band} must rise from above zero")
-
-
-def check_guardrails(config: Mapping) -> None:
-    rules = _mapping(config, "guardrails")
-    for name, spec in rules.items():
-        _need(isinstance(spec, Mapping), f"rule {name} must be a mapping")
-        _need(spec.get("severity", "warn") in guardrails.SEVERITIES, f"rule {name} has the unknown severity {spec.get('severity')}")
-    missing = sorted(set(guardrails.CHECKS) - set(rules))
-    _need(not missing, f"rules would stop running: {', '.join(missing)}; switch one off by severity 'off'")
-
-
-def check_thresholds(config: Mapping) -> None:
-    detectors, actions = _mapping(config, "detectors"), _mapping(config, "actions")
-    for name, spec in actions.items():
-        _told(f"action {name}", spec, ("label", "description"))
-    _need("none" in actions, "actions must include none: a flag may be true and nothing be done about it")
-    for name, spec in detectors.items():
-        _need(isinstance(spec, Mapping) and spec.get("proposed_action") in actions, f"detector {name} must propose one of {', '.join(sorted(actions))}")
-        _need(spec.get("severity") in ("low", "med", "high"), f"detector {name} needs severity low, med or high")
-        _told(f"detector {name}", spec, ("label", "means"))
-
-
-def check_statistics(config: Mapping) -> None:
-    for group, offered in (("centers", normalize.CENTERS), ("scales", normalize.SCALES)):
-        options = _mapping(config, group)
-        missing = sorted(set(offered) - set(options))
-        _need(not missing, f"{group} lacks {', '.join(missing)}")
-        for key, about in options.items():
-            _told(f"{group}.{key}", about, ("label", "description", "when_to_use", "caveat"))
-
-
-#: What the analysis of evoked ringing reads.
-RINGING = (
-    "band.low_hz", "band.high_hz", "window.analysis_ms", "window.blanking_ms", "peaks.min_peaks", "peaks.prominence", "stim.source",
-)
+KINDS = {
+    "mapping": (lambda v: isinstance(v, Mapping) and len(v) > 0, "a mapping with entries"),
+    "text": (lambda v: isinstance(v, str) and v.strip() != "", "text that people can read"),
+    "number": (_is_number, "a number"),
+    "whole": (lambda v: _is_number(v) and v == int(v), "a whole number"),
+    "edges": (lambda v: isinstance(v, (list, tuple)) and len(v) == 2 and all(map(_is_number, v)) and v[0] < v[1], "two rising numbers"),
+    "any": (lambda v: True, "anything"),
+}
 
 
-def check_ringing(config: Mapping) -> None:
-    for path in RINGING:
-        section, key = path.split(".")
-        _need(isinstance(config.get(section), Mapping) and key in config[section], f"{path} is missing, and nothing stands in for it")
-    _need(float(config["band"]["low_hz"]) < float(config["band"]["high_hz"]), "the band must rise")
-    _need(float(config["window"]["analysis_ms"]) > 0, "window.analysis_ms must be positive")
-    _need(float(config["window"]["blanking_ms"]) >= 0, "window.blanking_ms can't be negative")
-    _need(int(config["peaks"]["min_peaks"]) >= 2, "peaks.min_peaks below 2 gives a frequency without an interval")
-    _need(config["stim"]["source"] in ("amplitude_threshold", "windows", "epochs"), f"unknown stim.source {config['stim']['source']}")
-    _need(not config.get("defaults_reviewed") or bool(str(config.get("reviewed_by") or "").strip()), "reviewed defaults need the name of who reviewed them")
+def _texts(prefix: str, *names: str) -> tuple[Constraint, ...]:
+    return tuple(Constraint(f"{prefix}.{n}", "text") for n in names)
+
+
+#: Key names are fixed values: configurations are written with them.
+TABLES: dict[str, tuple[Constraint, ...]] = {
+    "bands": (Constraint("bands", "mapping"), Constraint("bands.*", "edges", least=0, beyond=True)),
+    "guardrails": (
+        Constraint("guardrails", "mapping", keys=tuple(sorted(guardrails.CHECKS))),
+        Constraint("guardrails.*", "mapping"),
+        Constraint("guardrails.*.severity", among=guardrails.SEVERITIES, absent=True),
+    ),
+    "qc_thresholds": (
+        Constraint("actions", "mapping", keys=("none",)),
+        *_texts("actions.*", "label", "description"),
+        Constraint("detectors", "mapping"),
+        *_texts("detectors.*", "label", "means"),
+        Constraint("detectors.*.proposed_action", among="actions"),
+        Constraint("detectors.*.severity", among=("low", "med", "high")),
+    ),
+    "statistics": (
+        Constraint("centers", "mapping", keys=tuple(normalize.CENTERS)),
+        Constraint("scales", "mapping", keys=tuple(normalize.SCALES)),
+        *(c for group in ("centers", "scales") for c in _texts(f"{group}.*", "label", "description", "when_to_use", "caveat")),
+    ),
+    "erna": (
+        Constraint("band.low_hz", "number", rises_to="band.high_hz"),
+        Constraint("band.high_hz", "number"),
+        Constraint("window.analysis_ms", "number", least=0, beyond=True),
+        Constraint("window.blanking_ms", "number", least=0),
+        Constraint("peaks.min_peaks", "whole", least=2),
+        Constraint("peaks.prominence", "number"),
+        Constraint("stim.source", among=("amplitude_threshold", "windows", "epochs")),
+        Constraint("reviewed_by", "text", when="defaults_reviewed"),
+    ),
+}
 
 
-CHECKS: dict[str, Callable[[Mapping], None]] = {
-    "bands": check_bands, "guardrails": check_guardrails, "qc_thresholds": check_thresholds, "statistics": check_statistics, "erna": check_ringing,
-}
+def _places(node: object, steps: list[str], done: tuple[str, ...] = ()) -> Iterator[tuple[str, object]]:
+    """Where a path leads, with what is there; a dead end leads to nothing, once."""
+    if not steps:
+        yield ".".join(done), node
+    elif steps[0] == "*":
+        for key, value in node.items() if isinstance(node, Mapping) else ():
+            yield from _places(value, steps[1:], (*done, str(key)))
+    elif isinstance(node, Mapping) and steps[0] in node:
+        yield from _places(node[steps[0]], steps[1:], (*done, steps[0]))
+    else:
+        yield ".".join((*done, *steps)), _ABSENT
+
+
+def _at(config: Mapping, path: str) -> object:
+    return next((value for _, value in _places(config, path.split("."))), _ABSENT)
+
+
+def _wrong(config: Mapping, c: Constraint, value: object) -> str | None:
+    """What is wrong with a value, in a word or two."""
+    fits, name = KINDS[c.kind]
+    if value is _ABSENT:
+        return None if c.absent else "is missing"
+    if not fits(value):
+        return f"must be {name}"
+    if lost := [k for k in c.keys if k not in value]:
+        return f"lacks {', '.join(lost)}"
+    if c.among is not None:
+        allowed = tuple(_at(config, c.among)) if isinstance(c.among, str) and isinstance(_at(config, c.among), Mapping) else () if isinstance(c.among, str) else c.among
+        if value not in allowed:
+            return f"must be one of {', '.join(map(str, allowed))}"
+    if c.least is not None:
+        lowest = value[0] if c.kind == "edges" else value
+        if lowest < c.least or c.beyond and lowest == c.least:
+            return f"must be {'above' if c.beyond else 'at least'} {c.least:g}"
+    if c.rises_to is not None:
+        top = _at(config, c.rises_to)
+        if _is_number(top) and value >= top:
+            return f"must be below {c.rises_to}"
+    return None
+
+
+def faults(config: object, table: tuple[Constraint, ...]) -> list[tuple[str, str]]:
+    """Every (path, what is wrong) of a configuration under a table of constraints."""
+    if not isinstance(config, Mapping):
+        return [("", "must be a mapping")]
+    found = []
+    for c in table:
+        if c.when is None or _at(config, c.when) not in (_ABSENT, None, False, ""):
+            found += [(path, what) for path, value in _places(config, c.path.split(".")) if (what := _wrong(config, c, value))]
+    return found
 
 
 def validate(name: str, config: object) -> Mapping:
-    """The configuration, if its check (where there is one) finds no fault."""
-    _need(isinstance(config, Mapping), "a configuration is a mapping")
-    if name in CHECKS:
-        CHECKS[name](config)
+    """The configuration, if nothing is wrong with it; one without a table need only be a mapping."""
+    if wrong := faults(config, TABLES.get(name, ())):
+        raise ConfigError(wrong)
     return config
 
 

@@ -71,7 +71,7 @@ def derivations(contacts: DataFrame, scheme: str) -> DataFrame:
       highest ring less the lowest;
     * bipolar_horizontal: each segment less the next of its row, the last less the first;
     * bipolar_adjacent: neighbouring rows of one size pairwise, upper less lower; else the ring
-      less the mean of the row;
+      less the mean of the row, if one of them is a ring;
     * car: each available contact less the mean of the available ones.
     """
     if scheme not in SCHEMES:
@@ -105,13 +105,16 @@ def derivations(contacts: DataFrame, scheme: str) -> DataFrame:
     rows = contacts.groupBy("lead", "row").agg(own.alias("lower"))
     both = rows.withColumn("upper", F.lead("lower").over(W.partitionBy("lead").orderBy("row"))).where("upper is not null")
     same = both.where(F.size("lower") == F.size("upper")).select("lead", F.explode(F.arrays_zip("lower", "upper")).alias("p"))
-    uneven = both.where(F.size("lower") != F.size("upper"))
+    # Rows of unlike sizes have a difference only where one of them is a ring.
+    uneven = both.where((F.size("lower") != F.size("upper")) & (F.least(F.size("lower"), F.size("upper")) == 1))
     low = F.size("lower") == 1
     ring, others = F.when(low, F.col("lower")[0]).otherwise(F.col("upper")[0]), F.when(low, F.col("upper")).otherwise(F.col("lower"))
     mean = F.transform(others, lambda c: _weight(c, -1.0 / F.size(others)))
-    return same.select("lead", *_pair(F.col("p.upper"), F.col("p.lower"))).union(
-        uneven.select("lead", F.concat(ring, F.lit("-rowmean")).alias("derivation"), F.concat(F.array(_weight(ring, 1.0)), mean).alias("members"))
-    )
+    means = uneven.select("lead", ring.alias("ring"), F.when(low, "+").otherwise("").alias("above"), F.concat(F.array(_weight(ring, 1.0)), mean).alias("members"))
+    # A ring between two rows of segments has a derivation with each: the upper row's is marked.
+    twice = F.count(F.lit(1)).over(W.partitionBy("lead", "ring")) > 1
+    name = F.concat("ring", F.lit("-rowmean"), F.when(twice, F.col("above")).otherwise(F.lit("")))
+    return same.select("lead", *_pair(F.col("p.upper"), F.col("p.lower"))).union(means.select("lead", name.alias("derivation"), "members"))
 
 
 def _complete(contacts: DataFrame, scheme: str) -> DataFrame:
