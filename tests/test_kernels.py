@@ -121,9 +121,9 @@ def test_queries_of_pairs_and_bins_reach_every_position(spark):
     from tidewave.plans import registry
 
     count = lambda name, *by: registry.QUERIES[name](spark, SF).select(*by).distinct().count()
-    assert count("channel_covariance_all", "a", "b") == 64 * 65 // 2
-    assert count("pearson_by_condition_all", "k") == 63
-    assert count("phase_locking_all", "k") == 33 and count("weighted_phase_lag_all", "k") == 32
+    assert count("channel_covariance", "a", "b") == 64 * 65 // 2
+    assert count("pearson_by_condition", "k") == 63
+    assert count("phase_locking", "k") == 33 and count("weighted_phase_lag", "k") == 32
     assert count("tfr_morlet", "freq", "t") == 40 * 16
 
 
@@ -153,7 +153,7 @@ def test_variance_outliers_judge_every_session_of_four_channels(spark):
     from tidewave.plans.tables import samples
 
     few = {r["session"] for r in samples(spark, SF).groupBy("session").agg(F.countDistinct("channel").alias("n")).where("n < 4").collect()}
-    found = registry.QUERIES["qc_variance_outlier_all"](spark, SF).where("flag = 'insufficient_channels'").collect()
+    found = registry.QUERIES["qc_variance_outlier"](spark, SF).where("flag = 'insufficient_channels'").collect()
     assert {r["session"] for r in found} == few
     rows = [(1, c, v) for c, v in zip("abcde", (1.0, 1.1, 0.9, 1.05, 9.0))] + [(2, c, 1.0) for c in "abc"]
     got = Q.group_outliers(spark.createDataFrame(rows, "session long, channel string, value double"), "value", ["session"], 3.0, 4).collect()

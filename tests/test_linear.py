@@ -142,3 +142,26 @@ def test_decoding_queries_cover_all_epochs(spark):
         assert query(spark, SF).agg(F.sum("n")).first()[0] == n
     assert P.decoder_patterns(spark, SF).count() == 5 * 63 and P.bootstrap_weights(spark, SF).count() == 63
     assert P.mixing_misfit(spark, SF).where("misfit < 1.5").count() == epochs(spark, SF).select("condition").distinct().count()
+
+
+def test_networks_never_see_the_fold_they_are_scored_on(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(120, 3))
+    y = np.tanh(x @ [1.0, -2.0, 0.5])
+    fold = np.arange(120) % 4
+    rows = spark.createDataFrame([(i, int(f), [*map(float, r), float(t)]) for i, (f, r, t) in enumerate(zip(fold, x, y, strict=True))], "trial long, fold int, x array<double>")
+    found, nets = L.cross_val_network(rows, 4, 5, 8, 0.1, seed=2)
+    got = {r["trial"]: r["predicted"] for r in found.collect()}
+    for k in range(4):
+        p = L.start_network(3, 5, seed=2)
+        for _ in range(8):
+            own = fold != k
+            p = L.shaped(L.flat(p) - 0.1 * L.flat(L.gradient_sums(p, x[own], y[own])[1]) / own.sum(), p)
+        assert np.allclose(L.flat(p), L.flat(nets[k]))
+        assert np.allclose([got[i] for i in np.flatnonzero(fold == k)], L.network_output(p, x[fold == k])[1])
+
+
+def test_gradients_by_backpropagation_equal_differences():
+    draw = np.random.default_rng(6)
+    p, x, y = L.start_network(4, 3, seed=3), draw.normal(size=(20, 4)), draw.normal(size=20)
+    assert np.allclose(L.flat(L.gradient_sums(p, x, y)[1]), L.flat(L.numerical_gradient(p, x, y)), atol=1e-5)

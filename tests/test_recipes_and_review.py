@@ -56,8 +56,8 @@ def test_signatures_cover_what_was_signed(spark):
     ran = studies.where("study <> 's4'")
     rows, _ = R.decide(fresh(spark, "1").union(fresh(spark, "1", study="s2")), answers(spark, ("s1", "1", True, None, "me", "t", "")))
     rows = rows.cache()
-    signed, refused = R.sign(ran, rows, "me")
-    assert {r["study"] for r in signed.collect()} == {"s1", "s3"} and [tuple(r) for r in refused.collect()] == [("s2", 1)]
+    signed, refused = R.sign(studies, ran, rows, "me")
+    assert {r["study"] for r in signed.collect()} == {"s1", "s3"} and sorted(map(tuple, refused.collect())) == [("s2", 1, "in_review"), ("s4", 0, "unreviewed")]
     history = spark.createDataFrame([("s1", "sign", "1"), ("s3", "sign", "1")], "study string, event string, at string")
     states = lambda d, h: {r["study"]: r["state"] for r in R.status(studies, ran, d, signed, h).collect()}
     assert states(rows, history) == {"s1": "approved", "s2": "in_review", "s3": "approved", "s4": "unreviewed"}
@@ -68,7 +68,7 @@ def test_signatures_cover_what_was_signed(spark):
     with pytest.raises(ValueError):
         R.reopen(studies, "me", " ", F.lit("2"))
     with pytest.raises(ValueError):
-        R.sign(ran, rows, " ")
+        R.sign(studies, ran, rows, " ")
     table = R.status(studies, ran, rows, signed, history)
     R.require_approved(table, "s1")
     for study in ("s2", "s4", "s9"):
@@ -88,7 +88,7 @@ def test_a_run_obeys_its_parameters_and_is_recorded(spark, tmp_path):
     record, out = recipes.run(spark, SF, "psd_by_condition", "alpha differs", {"samples": 32, "fmin": 8.0, "fmax": 12.0}, store=store)
     assert {r["freq"] for r in out.select("freq").distinct().collect()} == {8.0, 12.0} and record.status == "ok"
     other, wide = recipes.run(spark, SF, "psd_by_condition", "alpha differs", store=store)
-    assert wide.select("freq").distinct().count() == 32 and other.run_id != record.run_id and other.config_sha256 != record.config_sha256
+    assert wide.select("freq").distinct().count() == 25 and other.run_id != record.run_id and other.config_sha256 != record.config_sha256
     kept = recipes.get_run(spark, store, record.run_id)
     assert kept["params"]["fmax"] == 12.0 and kept["outputs"] == [f"results/{record.run_id}"] and kept["inputs"][0]["rows"] == 500 and kept["finished_at"]
     assert [r["run_id"] for r in recipes.list_runs(spark, store).collect()] == [other.run_id, record.run_id]

@@ -11,6 +11,8 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewave.functions.filters import MOST_DENOMINATOR
+
 #: Anti-alias cutoff as a share of Nyquist, unless a configuration says otherwise.
 CUTOFF_SHARE = 0.8
 #: Largest factor of a single decimation stage.
@@ -74,12 +76,13 @@ def greatest_common_divisor(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["a"])
 
 
-def resample_ratio(rate: Column, target: Column) -> tuple[Column, Column]:
-    """up, down with rate * up / down = target exactly; null where a rate is no such fraction."""
+def resample_ratio(rate: Column, target: Column, most: int = MOST_DENOMINATOR) -> tuple[Column, Column]:
+    """up, down with rate * up / down = target exactly; null (refused) where a rate is no such fraction or down would exceed ``most``."""
     (n1, d1), (n2, d2) = exact_fraction(rate), exact_fraction(target)
     up, down = n2 * d1, d2 * n1
     common = greatest_common_divisor(up, down)
-    return (up / common).cast("long"), (down / common).cast("long")
+    small = (down / common).cast("long")
+    return F.when(small <= most, (up / common).cast("long")), F.when(small <= most, small)
 
 
 def harmonics(f: Column, rate: Column, count: int) -> Column:

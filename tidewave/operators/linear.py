@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewave.storage import settled
+
 
 def moments(rows: DataFrame, by: list[str], x: str = "x") -> DataFrame:
     """by, n and s: for each group the count and, flat, the sums of products of (1, x) with itself.
@@ -303,6 +305,62 @@ def gradient_sums(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tup
     return float(off @ off), {"W1": x.T @ inner, "b1": inner.sum(axis=0), "W2": hidden.T @ back, "b2": back.sum(axis=0)}
 
 
+def numerical_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, step: float = 1e-6) -> dict[str, np.ndarray]:
+    """The gradient of the summed squared error by central differences: what ``gradient_sums`` must give."""
+    at, out = flat(p), np.empty(flat(p).size)
+    for i in range(len(at)):
+        up, down = at.copy(), at.copy()
+        up[i], down[i] = up[i] + step, down[i] - step
+        out[i] = (gradient_sums(shaped(up, p), x, y)[0] - gradient_sums(shaped(down, p), x, y)[0]) / (2 * step)
+    return shaped(out, p)
+
+
+def cross_val_network(rows: DataFrame, folds: int, hidden: int, steps: int, rate: float, seed: int = 0) -> tuple[DataFrame, list[dict[str, np.ndarray]]]:
+    """trial, fold, y, predicted of rows (trial, fold, x with the target last), each by the network that never saw its fold.
+
+    All networks take a step in one job: a task adds up the gradients of each over the rows of
+    the other folds. The rows are written once and read again for every step.
+    """
+    held = settled(rows.select("trial", "fold", "x"))
+    width = held.select(F.size("x")).first()
+    if width is None:
+        raise ValueError("there is nothing to learn from")
+    nets = [start_network(width[0] - 1, hidden, seed) for _ in range(folds)]
+    size = flat(nets[0]).size
+    for _ in range(steps):
+        now = list(nets)
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((folds, size + 1))
+            for batch in batches:
+                x = np.array(batch["x"].to_pylist(), float).reshape(len(batch), -1)
+                fold = batch["fold"].to_numpy(zero_copy_only=False)
+                for k in range(folds):
+                    own = x[fold != k]
+                    if len(own):
+                        sums[k] += np.concatenate([[len(own)], flat(gradient_sums(now[k], own[:, :-1], own[:, -1])[1])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["i", "v"])
+
+        added = np.zeros(folds * (size + 1))
+        for r in held.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            added[r["i"]] = r["v"]
+        added = added.reshape(folds, -1)
+        nets = [shaped(flat(p) - rate * a[1:] / max(a[0], 1), p) for p, a in zip(nets, added, strict=True)]
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch["x"].to_pylist(), float).reshape(len(batch), -1)
+            fold = batch["fold"].to_numpy(zero_copy_only=False)
+            out = np.full(len(batch), np.nan)
+            for k in range(folds):
+                if (fold == k).any():
+                    out[fold == k] = network_output(nets[k], x[fold == k, :-1])[1]
+            y = x[:, -1] if x.size else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch["trial"], pa.array(fold.astype(np.int64)), pa.array(y), pa.array(out)], names=["trial", "fold", "y", "predicted"])
+
+    return held.mapInArrow(predict, "trial long, fold long, y double, predicted double"), nets
+
+
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in ("W1", "b1", "W2", "b2")])
 

@@ -110,16 +110,19 @@ def counts(decisions: DataFrame) -> DataFrame:
 _NONE = "0" * 64
 
 
-def sign(studies: DataFrame, decisions: DataFrame, reviewer: str) -> tuple[DataFrame, DataFrame]:
-    """Signatures (study, reviewer, digest, n_flags, n_approved) of the studies, and the studies refused (study, undecided).
+def sign(studies: DataFrame, reviewed: DataFrame, decisions: DataFrame, reviewer: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures (study, reviewer, digest, n_flags, n_approved) of the studies, and the studies refused (study, undecided, why).
 
-    studies: study, of those that detection has run on. One without any flag can be signed.
+    reviewed: study, of those that detection has run on; without detection there is nothing to
+    sign. A study that detection found nothing in can be signed.
     """
     if not reviewer.strip():
         raise ValueError("a signature needs a reviewer")
-    known = studies.join(counts(decisions), "study", "left").join(digests(decisions), "study", "left").fillna({"undecided": 0, "flags": 0, "approved": 0, "digest": _NONE})
-    signed = known.where("undecided = 0").select("study", F.lit(reviewer).alias("reviewer"), "digest", F.col("flags").alias("n_flags"), F.col("approved").alias("n_approved"))
-    return signed, known.where("undecided > 0").select("study", "undecided")
+    ran = reviewed.select("study").distinct().withColumn("_ran", F.lit(True))
+    known = studies.select("study").join(ran, "study", "left").join(counts(decisions), "study", "left").join(digests(decisions), "study", "left")
+    known = known.fillna({"undecided": 0, "flags": 0, "approved": 0, "digest": _NONE}).withColumn("why", F.when(F.col("_ran").isNull(), UNREVIEWED).when(F.col("undecided") > 0, IN_REVIEW))
+    signed = known.where("why is null").select("study", F.lit(reviewer).alias("reviewer"), "digest", F.col("flags").alias("n_flags"), F.col("approved").alias("n_approved"))
+    return signed, known.where("why is not null").select("study", "undecided", "why")
 
 
 def reopen(studies: DataFrame, reviewer: str, reason: str, at: Column) -> DataFrame:

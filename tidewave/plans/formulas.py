@@ -61,7 +61,7 @@ def spatial_formulas(spark, sf_dir):
         M.field_around(size * 7, size / 10 + 1, weights).alias("field"), M.spatial_alias(size / 10, F.lit(4.0)).alias("spatial"), share.alias("share"), volume.alias("volume"),
         M.sites_within(price, F.lit(20.0), 2).alias("sites"), M.data_rate(F.col("p_size"), price).alias("mb_s"), M.loop_latency(size, F.lit(5.0), size + 4, F.lit(50.0), F.lit(10.0)).alias("latency"),
     )
-    return out.select("p_partkey", *r6("dipole", "reach", "area", "field", "spatial", "share", "volume"), "sites", *r6("mb_s", "latency"))
+    return out.select("p_partkey", *r6("dipole", "reach", "area", "field", "spatial", "share", "volume"), "sites", (F.round("mb_s", 10) + 0.0).alias("mb_s"), *r6("latency"))
 
 
 def disc_potentials(spark, sf_dir):
@@ -125,13 +125,13 @@ ORACLES = {
     "decimation_plan": _RATES + """, f as (select *, (case when target > 0 and target < rate then greatest(floor(rate / target), 1) else 1 end)::bigint as factor from r)
       select p_partkey, factor, round(rate / factor, 6) + 0.0 as new_rate, round(rate / factor / 2 * 0.8, 6) + 0.0 as usable, top > rate / factor / 2 * 0.8 as refused from f""",
     "exact_ratio": _RATES + """, n as (select p_partkey, rate, (rate * 8)::bigint as e from r), g as (select *, gcd(e, 8) as g8, gcd(e, 8000) as g from n)
-      select p_partkey, (8000 // g)::bigint as up, (e // g)::bigint as down, (e // g8)::varchar || '/' || (8 // g8)::varchar as rate from g""",
+      select p_partkey, case when e // g <= 3125 then (8000 // g)::bigint end as up, case when e // g <= 3125 then (e // g)::bigint end as down, (e // g8)::varchar || '/' || (8 // g8)::varchar as rate from g""",
     "harmonic_folds": _RATES + "select p_partkey, k::bigint as harmonic, round(abs(k * 130.0::double - round_even(k * 130.0::double / rate, 0) * rate), 6) + 0.0 as folded from r, range(1, 7) q(k)",
     "wavelet_resolutions": """with t as (select p_partkey, (p_partkey % 7 + 1) / (2 * pi() * p_size) as t from part) select p_partkey, round(t, 6) + 0.0 as t, round(1 / (2 * pi() * t), 6) + 0.0 as f from t""",
     "spatial_formulas": f"""with v as (select p_partkey, p_size::double as s, p_retailprice as p from part), u as (select *, 3.0::double * 3.0 * pi() * s * (7 * 3.5 + 6.0) / 1000 as volume from v)
       select p_partkey, round(p * cos(s) / (4 * pi() * {M.SIGMA} * s * s), 6) + 0.0 as dipole, round(s * sqrt(p / 5.0), 6) + 0.0 as reach, round(pi() * 1.27 * 1.5 / (s::int % 3 + 1), 6) + 0.0 as area,
         round({_FIELD}, 6) + 0.0 as field, round(least((s / 10) % 0.25::double, 0.25 - (s / 10) % 0.25::double), 6) + 0.0 as spatial, round(volume / {M.BRAIN_CM3}, 6) + 0.0 as share, round(volume, 6) + 0.0 as volume,
-        ((2 * floor(p / 20) + 1) * 2)::bigint as sites, round(s * p * 10 / 8e6, 6) + 0.0 as mb_s, round(s + 5000 / (2 * pi() * (s + 4)) + 60, 6) + 0.0 as latency from u""",
+        ((2 * floor(p / 20) + 1) * 2)::bigint as sites, round(s * p * 10 / 8e6, 10) + 0.0 as mb_s, round(s + 5000 / (2 * pi() * (s + 4)) + 60, 6) + 0.0 as latency from u""",
     "averaged_db_bias": f"""with k as (select l_orderkey, count(*) as k from lineitem group by 1)
       select l_orderkey, round(10 / ln(10) * (coalesce(list_sum(list_transform(range(1, k), lambda i: 1.0::double / i)), 0) - {M.EULER} - ln(k)), 6) + 0.0 as bias_db from k""",
     "sessions_for_power": f"""with {EPOCHS_SQL}, d as (select condition, trial, sum(case when t < 32 then value else -value end) as d from long_epochs group by 1, 2)

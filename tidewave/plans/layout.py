@@ -96,12 +96,6 @@ def hjorth(spark, sf_dir):
 
 
 def pearson_by_condition(spark, sf_dir):
-    """Correlation of neighbouring samples over the trials of a condition, and root mean square difference."""
-    e = epochs(spark, sf_dir).select("condition", F.element_at("x", 10).alias("u"), F.element_at("x", 11).alias("v"))
-    return e.groupBy("condition").agg(F.corr("u", "v").alias("r"), F.sqrt(F.avg((F.col("u") - F.col("v")) * (F.col("u") - F.col("v")))).alias("rmse")).select("condition", *r6("r", "rmse"))
-
-
-def pearson_by_condition_all(spark, sf_dir):
     """The same for every pair of neighbouring samples; k is the place of the first, from 0."""
     e = epochs(spark, sf_dir).where(F.size("x") > 1)
     pairs = F.transform(F.sequence(F.lit(0), F.size("x") - 2), lambda k: F.struct(k.cast("long").alias("k"), F.get("x", k).alias("u"), F.get("x", k + 1).alias("v")))
@@ -144,7 +138,7 @@ QUERIES = {
     for f in (
         role_classification, impedance_kinds, impedance_geometry, differential_pairs, propose_conditions, found_phrases, confidence_bands,
         epoch_bounds, epoch_matrix, decay_fit, nonstationarity, blocked_folds, vector_formulas, hjorth, pearson_by_condition,
-        pearson_by_condition_all,
+        pearson_by_condition,
         effective_samples, marginal_means, random_walk_variance, histogram_cutoff,
     )
 }
@@ -174,8 +168,7 @@ ORACLES = {
     "blocked_folds": f"with {SAMPLES_SQL}, f as (select session, onset, ntile(5) over (partition by session order by onset) - 1 as fold from samples) select session, fold, count(*) as n, round(min(onset), 6) + 0.0 as m from f group by 1, 2",
     "vector_formulas": f"with {EPOCHS_SQL}, d as (select *, abs(value - lag(value) over (partition by trial order by t)) as d from long_epochs) select trial, round(sqrt(sum(value * value)), 6) + 0.0 as norm, round(sum(value * value) / count(*), 6) + 0.0 as power, round(sum(d), 6) + 0.0 as line, round(max(abs(value)) / sqrt(sum(value * value)), 6) + 0.0 as crest from d group by 1",
     "hjorth": f"with {EPOCHS_SQL}, d as (select trial, t, value, value - lag(value) over (partition by trial order by t) as d from long_epochs), e as (select *, d - lag(d) over (partition by trial order by t) as dd from d), v as (select trial, var_pop(value) as v0, var_pop(d) as v1, var_pop(dd) as v2 from e group by 1) select trial, round(v0, 6) + 0.0 as activity, round(sqrt(v1 / v0), 6) + 0.0 as mobility, round(sqrt(v2 / v1) / sqrt(v1 / v0), 6) + 0.0 as complexity from v",
-    "pearson_by_condition": f"with {EPOCHS_SQL} select condition, round(corr(x[10], x[11]), 6) + 0.0 as r, round(sqrt(avg((x[10] - x[11]) * (x[10] - x[11]))), 6) + 0.0 as rmse from epochs group by 1",
-    "pearson_by_condition_all": f"with {EPOCHS_SQL} select x.condition, x.t as k, round(corr(x.value, y.value), 6) + 0.0 as r, round(sqrt(avg((x.value - y.value) * (x.value - y.value))), 6) + 0.0 as rmse from long_epochs x join long_epochs y on x.trial = y.trial and y.t = x.t + 1 group by 1, 2",
+    "pearson_by_condition": f"with {EPOCHS_SQL} select x.condition, x.t as k, round(corr(x.value, y.value), 6) + 0.0 as r, round(sqrt(avg((x.value - y.value) * (x.value - y.value))), 6) + 0.0 as rmse from long_epochs x join long_epochs y on x.trial = y.trial and y.t = x.t + 1 group by 1, 2",
     "effective_samples": f"with {SAMPLES_SQL}, l as (select channel, value, lag(value) over (partition by session, channel order by i) as last from samples), c as (select channel, count(value) as n, corr(value, last) as r from l group by 1) select channel, n, round(r, 6) + 0.0 as r, round(n * (1 - r) / (1 + r), 6) + 0.0 as n_eff from c",
     "marginal_means": f"with {EPOCHS_SQL}, q as (select condition, (t // 16)::bigint as quarter, value from long_epochs) select coalesce(condition, -1) as condition, coalesce(quarter, -1) as quarter, round(avg(value), 6) + 0.0 as m from q group by cube (condition, quarter)",
     "random_walk_variance": f"with {SAMPLES_SQL}, w as (select i, sum(value - 20) over (partition by session, channel order by i) as w from samples) select i, count(w) as n, round(var_samp(w), 6) + 0.0 as v from w group by 1 having count(w) > 1",

@@ -130,10 +130,8 @@ def bootstrap_weights(spark, sf_dir):
 
 
 def network_decoding(spark, sf_dir):
-    """A tanh layer of eight units on what the ridge decoder sees; trained on all folds but 0, scored on each."""
-    rows = _random(spark, sf_dir)
-    p, _ = L.train_network(rows.where("fold <> 0"), 8, 15, 0.05)
-    found = L.network_predictions(rows, p).join(rows.select("trial", "fold"), "trial")
+    """A tanh layer of eight units on what the ridge decoder sees: each fold is scored by the network that never saw it."""
+    found, _ = L.cross_val_network(_random(spark, sf_dir), FOLDS, 8, 15, 0.05)
     return _score(found, ["fold"]).select("fold", "n", *r6("r2"))
 
 

@@ -22,14 +22,7 @@ def qc_flat(spark, sf_dir):
 
 
 def qc_variance_outlier(spark, sf_dir):
-    sd = samples(spark, sf_dir).groupBy("session", "channel").agg(F.stddev_pop("value").alias("sd"))
-    logs = sd.withColumn("value", F.log10(F.col("sd") + 1e-12))
-    kept = logs.where("session % 7 <> 0 or channel < 'd'")
-    return Q.group_outliers(kept, "value", ["session"], 3.0, 4).select("session", "channel", *r6("z"), "flag")
-
-
-def qc_variance_outlier_all(spark, sf_dir):
-    """The same over all channels; ``qc_variance_outlier`` leaves out four channels of every seventh session."""
+    """Channels whose spread is far from that of the session's channels."""
     sd = samples(spark, sf_dir).groupBy("session", "channel").agg(F.stddev_pop("value").alias("sd"))
     logs = sd.withColumn("value", F.log10(F.col("sd") + 1e-12))
     return Q.group_outliers(logs, "value", ["session"], 3.0, 4).select("session", "channel", *r6("z"), "flag")
@@ -103,11 +96,6 @@ def stream_summary(spark, sf_dir):
 
 
 def channel_covariance(spark, sf_dir):
-    out = U.covariances(epochs(spark, sf_dir), 12)
-    return out.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.round("cov", 8) + 0.0).alias("cov"), *r6("r"))
-
-
-def channel_covariance_all(spark, sf_dir):
     """Every pair of the vectors' positions; ``channel_covariance`` has the first twelve."""
     out = U.covariances(epochs(spark, sf_dir))
     return out.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.round("cov", 8) + 0.0).alias("cov"), *r6("r"))
@@ -160,8 +148,8 @@ def leadfield(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        qc_robust_z, qc_flat, qc_variance_outlier, qc_variance_outlier_all, qc_block_kurtosis, qc_kurtosis_outlier, qc_comparison_groups, channels_by_role, qc_clipping, qc_amplitude_episodes, qc_trial_outlier, qc_spikes,
-        qc_hf_noise, qc_flag_ids, stream_summary, channel_covariance, channel_covariance_all, autocorrelation, participation_ratio, cosine_to_condition, fir_smooth, leadfield,
+        qc_robust_z, qc_flat, qc_variance_outlier, qc_block_kurtosis, qc_kurtosis_outlier, qc_comparison_groups, channels_by_role, qc_clipping, qc_amplitude_episodes, qc_trial_outlier, qc_spikes,
+        qc_hf_noise, qc_flag_ids, stream_summary, channel_covariance, autocorrelation, participation_ratio, cosine_to_condition, fir_smooth, leadfield,
     )
 }
 
@@ -172,9 +160,7 @@ _Z = """z as (select *, {v} - quantile_cont({v}, 0.5) over (partition by {by}) a
 ORACLES = {
     "qc_robust_z": "with " + _Z.format(v="l_extendedprice", by="l_returnflag, l_linestatus", src="lineitem") + " select l_orderkey, l_linenumber::bigint as l_linenumber, round(z, 6) + 0.0 as z from zz where abs(z) > 1.25",
     "qc_flat": f"with {SAMPLES_SQL}, s as (select session, channel, stddev_pop(value) as sd from samples group by 1, 2), m as (select *, quantile_cont(sd, 0.5) over (partition by session) as med from s) select session, channel, round(sd, 6) + 0.0 as sd, round(med, 6) + 0.0 as median_sd from m where sd < 0.5 * med",
-    "qc_variance_outlier": f"with {SAMPLES_SQL}, s as (select session, channel, log10(stddev_pop(value) + 1e-12) as v from samples where session % 7 <> 0 or channel < 'd' group by 1, 2), m as (select *, count(*) over (partition by session) as members from s), big as (select * from m where members >= 4), "
-    + _Z.format(v="v", by="session", src="big") + " select session, channel, round(z, 6) + 0.0 as z, 'outlier' as flag from zz where abs(z) > 3 union all select distinct session, null, null::double, 'insufficient_channels' from m where members < 4",
-    "qc_variance_outlier_all": f"with {SAMPLES_SQL}, s as (select session, channel, log10(stddev_pop(value) + 1e-12) as v from samples group by 1, 2), m as (select *, count(*) over (partition by session) as members from s), big as (select * from m where members >= 4), "
+    "qc_variance_outlier": f"with {SAMPLES_SQL}, s as (select session, channel, log10(stddev_pop(value) + 1e-12) as v from samples group by 1, 2), m as (select *, count(*) over (partition by session) as members from s), big as (select * from m where members >= 4), "
     + _Z.format(v="v", by="session", src="big") + " select session, channel, round(z, 6) + 0.0 as z, 'outlier' as flag from zz where abs(z) > 3 union all select distinct session, null, null::double, 'insufficient_channels' from m where members < 4",
     "qc_block_kurtosis": f"with {SAMPLES_SQL}, b as (select session, channel, i // 6 as block, case when count(value) > 3 then kurtosis(value) end as k from samples group by 1, 2, 3) select session, channel, round(quantile_cont(k, 0.5), 6) + 0.0 as kurtosis, count(k) as blocks from b group by 1, 2",
     "qc_kurtosis_outlier": f"with {SAMPLES_SQL}, b as (select session, channel, i // 6 as block, case when count(value) > 3 then kurtosis(value) end as k from samples group by 1, 2, 3) select session, channel, substr(sha256('channel|' || session::varchar || '/' || channel || '|kurtosis_outlier|kurtosis_outlier'), 1, 16) as flag_id, round(quantile_cont(k, 0.5), 6) + 0.0 as kurtosis, count(k) as blocks from b group by 1, 2 having quantile_cont(k, 0.5) > 1.0",
@@ -188,8 +174,7 @@ ORACLES = {
     "qc_hf_noise": _SPECTRA + ", p as (select trial, condition, log10(avg(power) filter (where freq >= 40) / avg(power) filter (where freq >= 1 and freq < 20)) as ratio from spectra group by 1, 2), " + _Z.format(v="ratio", by="condition", src="p") + " select trial, condition, round(ratio, 6) + 0.0 as ratio, round(z, 6) + 0.0 as z from zz where abs(z) > 1.5",
     "qc_flag_ids": f"with {SAMPLES_SQL}, s as (select session, channel, stddev_pop(value) as sd from samples group by 1, 2), m as (select *, quantile_cont(sd, 0.5) over (partition by session) as med from s) select substr(sha256('channel|' || session::varchar || '/' || channel || '|flat|flat_channels'), 1, 16) as flag_id, session::varchar || '/' || channel as target, 'channel=' || channel || ', session=' || session::varchar as summary from m where sd < 0.6 * med",
     "stream_summary": f"with {SAMPLES_SQL}, e as (select *, min(value) over (partition by session, channel) as lo, max(value) over (partition by session, channel) as hi from samples) select session, channel, count(*) as n, round(sqrt(avg(value * value)), 6) + 0.0 as rms, lo, hi, count(*) filter (where value = lo) as n_lo, count(*) filter (where value = hi) as n_hi from e group by session, channel, lo, hi",
-    "channel_covariance": f"with {EPOCHS_SQL}, p as (select a, b, x[a + 1] as u, x[b + 1] as v from epochs, range(0, 12) r(a), range(0, 12) q(b) where a <= b) select a, b, round(covar_samp(u, v), 8) + 0.0 as cov, round(corr(u, v), 6) + 0.0 as r from p group by 1, 2",
-    "channel_covariance_all": f"with {EPOCHS_SQL}, p as (select a, b, x[a + 1] as u, x[b + 1] as v from (select x, unnest(range(0, len(x))) as a from epochs), lateral (select unnest(range(a, len(x))) as b) q) select a, b, round(covar_samp(u, v), 8) + 0.0 as cov, round(corr(u, v), 6) + 0.0 as r from p group by 1, 2",
+    "channel_covariance": f"with {EPOCHS_SQL}, p as (select a, b, x[a + 1] as u, x[b + 1] as v from (select x, unnest(range(0, len(x))) as a from epochs), lateral (select unnest(range(a, len(x))) as b) q) select a, b, round(covar_samp(u, v), 8) + 0.0 as cov, round(corr(u, v), 6) + 0.0 as r from p group by 1, 2",
     "autocorrelation": f"with {EPOCHS_SQL}, d as (select trial, t, value - avg(value) over (partition by trial) as v from long_epochs), s as (select trial, sum(v * v) as ss from d group by 1) select x.trial, k as lag, round(sum(x.v * y.v) / nullif(max(ss), 0), 6) + 0.0 as acf from d x, range(0, 6) r(k), d y, s where y.trial = x.trial and y.t = x.t + k and s.trial = x.trial group by 1, 2",
     "participation_ratio": f"with {EPOCHS_SQL}, v as (select condition, t, var_samp(value) as v from long_epochs group by 1, 2) select condition, round(sum(v) * sum(v) / sum(v * v), 6) + 0.0 as ratio from v group by 1",
     "cosine_to_condition": f"with {EPOCHS_SQL}, m as (select condition, t, avg(value) as m from long_epochs group by 1, 2) select trial, round(sum(value * m) / nullif(sqrt(sum(value * value)) * sqrt(sum(m * m)), 0), 6) + 0.0 as cosine from long_epochs join m using (condition, t) group by 1",

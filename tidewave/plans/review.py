@@ -73,17 +73,19 @@ def qc_decide(spark, sf_dir):
 
 
 def qc_sign(spark, sf_dir):
-    """Who signs what: studies without an open flag, those without any flag among them."""
-    signed, refused = R.sign(_studies(spark, sf_dir).select("study"), _decisions(spark, sf_dir), "me")
-    return signed.select("study", "n_flags", "n_approved", F.lit(0).cast("long").alias("undecided")).union(
-        refused.select("study", F.lit(-1).cast("long"), F.lit(-1).cast("long"), "undecided")
+    """Who signs what: studies that detection ran on without an open flag, those without any flag among them."""
+    studies = _studies(spark, sf_dir)
+    signed, refused = R.sign(studies, studies.where("o_orderpriority <> '5-LOW'"), _decisions(spark, sf_dir), "me")
+    return signed.select("study", "n_flags", "n_approved", F.lit(0).cast("long").alias("undecided"), F.lit("").alias("why")).union(
+        refused.select("study", F.lit(-1).cast("long"), F.lit(-1).cast("long"), "undecided", "why")
     )
 
 
 def qc_gate_status(spark, sf_dir):
     """States of all studies: signed ones of finished orders, some of them edited or reopened since."""
     studies, decisions = _studies(spark, sf_dir), _decisions(spark, sf_dir)
-    signed, _ = R.sign(studies.where("o_orderstatus <> 'O'").select("study"), decisions, "me")
+    finished = studies.where("o_orderstatus <> 'O'")
+    signed, _ = R.sign(finished, finished, decisions, "me")
     edited = decisions.withColumn("reason", F.when((F.col("severity") == "medium") & (F.col("flag_type") == "flat"), "edited").otherwise(F.col("reason")))
     history = signed.select("study", F.lit("sign").alias("event"), F.lit("1").alias("at")).union(
         studies.where("o_orderpriority = '1-URGENT'").select("study", F.lit("reopen"), F.lit("2"))
@@ -114,8 +116,9 @@ ORACLES = {
     "qc_merge": _D + "select study, flag_id, case when severity <> 'low' then 'new ' else '' end || evidence as evidence_summary, case when severity <> 'low' then 'active' else 'stale' end as status, approved, reason from d",
     "qc_decide": _D + """select study, count(*) filter (where approved = '' and severity = 'high') as still_open, count(*) filter (where approved = '' and severity <> 'high') as answered,
       count(*) filter (where approved = '' and severity = 'high') as refused from d group by 1""",
-    "qc_sign": _D + """select o.study, case when coalesce(undecided, 0) = 0 then coalesce(flags, 0) else -1 end as n_flags, case when coalesce(undecided, 0) = 0 then coalesce(ok, 0) else -1 end as n_approved,
-      coalesce(undecided, 0) as undecided from o left join c using (study)""",
+    "qc_sign": _D + """, w as (select o.study, coalesce(flags, 0) as flags, coalesce(ok, 0) as ok, coalesce(undecided, 0) as undecided,
+        case when o_orderpriority = '5-LOW' then 'unreviewed' when coalesce(undecided, 0) > 0 then 'in_review' else '' end as why from o left join c using (study))
+      select study, case when why = '' then flags else -1 end as n_flags, case when why = '' then ok else -1 end as n_approved, undecided, why from w""",
     "qc_gate_status": _D + """select o.study, case when o_orderpriority = '5-LOW' then 'unreviewed' when o_orderstatus = 'O' or undecided > 0 then 'in_review'
       when touched > 0 or o_orderpriority = '1-URGENT' then 'reopened' else 'approved' end as state from o left join c using (study)""",
     "qc_applied": _D + "select study, flag_id, case when action_taken <> '' then action_taken else proposed end as action from d where approved = 'true'",

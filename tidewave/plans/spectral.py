@@ -65,24 +65,12 @@ def energy_fraction_below(spark, sf_dir):
 
 
 def phase_locking(spark, sf_dir):
-    return S.phase_locking(S.phases(_spectra(spark, sf_dir), 5), ["condition"]).select("condition", "n", *r6("plv", "ppc", "mean_phase"))
-
-
-def weighted_phase_lag(spark, sf_dir):
-    """Cross spectrum of neighbouring bins, over trials of a condition."""
-    x = _spectra(spark, sf_dir).where("k in (5, 6)")
-    wide = x.groupBy("trial", "condition").agg(*[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (5, 6) for c in ("re", "im")])
-    cross = wide.select("condition", (F.col("im5") * F.col("re6") - F.col("re5") * F.col("im6")).alias("im"))
-    return S.weighted_phase_lag(cross, ["condition"]).select("condition", *r6("wpli"))
-
-
-def phase_locking_all(spark, sf_dir):
     """Locking of every bin; those at 0 and Nyquist are real, so their phase is 0 or pi."""
     x = _spectra(spark, sf_dir).withColumn("im", F.when(F.col("k").isin(0, N // 2), 0.0).otherwise(F.col("im")))
     return S.phase_locking(S.phases(x), ["condition", "k"]).select("condition", "k", "n", *r6("plv", "ppc", "mean_phase"))
 
 
-def weighted_phase_lag_all(spark, sf_dir):
+def weighted_phase_lag(spark, sf_dir):
     """Cross spectra of all neighbouring bins; k is the lower one's."""
     bins = W.partitionBy("trial", "condition").orderBy("k")
     x = _spectra(spark, sf_dir).select("condition", "k", "re", "im", *[F.lead(c).over(bins).alias(f"{c}_up") for c in ("re", "im")])
@@ -130,7 +118,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         psd_by_condition, psd_welch, band_power, bandpower_contrast, unresolvable_bands, spectral_peak, line_noise,
-        energy_fraction_below, phase_locking, weighted_phase_lag, phase_locking_all, weighted_phase_lag_all, aperiodic_fit, averaging_bias, alias_frequency,
+        energy_fraction_below, phase_locking, weighted_phase_lag, aperiodic_fit, averaging_bias, alias_frequency,
     )
 }
 ORACLES = {
@@ -165,16 +153,11 @@ ORACLES = {
         avg(power) filter (where abs(freq - 20 * h) <= 8 and abs(freq - 20 * h) > 1) as near
       from spectra, range(1, 4) r(h) group by 1, 2) where peak is not null and near > 0""",
     "energy_fraction_below": _SPECTRA + "select trial, round(coalesce(sum(power) filter (where freq < 20), 0) / sum(power), 6) + 0.0 as fraction from spectra group by 1",
-    "phase_locking": _SPECTRA + """, p as (select condition, count(*) as n, sum(cos(atan2(im, re))) as c, sum(sin(atan2(im, re))) as s from spectra where k = 5 group by 1)
-      select condition, n, round(sqrt(c * c + s * s) / n, 6) + 0.0 as plv, round((c * c + s * s - n) / nullif(n * (n - 1), 0), 6) + 0.0 as ppc,
-        round(atan2(s, c), 6) + 0.0 as mean_phase from p""",
-    "weighted_phase_lag": _SPECTRA + """select condition, round(abs(avg(im)) / nullif(avg(abs(im)), 0), 6) + 0.0 as wpli from (
-      select x.condition, x.im * y.re - x.re * y.im as im from spectra x join spectra y on x.trial = y.trial and x.k = 5 and y.k = 6) group by 1""",
-    "phase_locking_all": _SPECTRA + """, q as (select condition, k, atan2(case when k in (0, 32) then 0 else im end, re) as a from spectra),
+    "phase_locking": _SPECTRA + """, q as (select condition, k, atan2(case when k in (0, 32) then 0 else im end, re) as a from spectra),
       p as (select condition, k, count(*) as n, sum(cos(a)) as c, sum(sin(a)) as s from q group by 1, 2)
       select condition, k, n, round(sqrt(c * c + s * s) / n, 6) + 0.0 as plv, round((c * c + s * s - n) / nullif(n * (n - 1), 0), 6) + 0.0 as ppc,
         round(atan2(s, c), 6) + 0.0 as mean_phase from p""",
-    "weighted_phase_lag_all": _SPECTRA + """select condition, k, round(abs(avg(im)) / nullif(avg(abs(im)), 0), 6) + 0.0 as wpli from (
+    "weighted_phase_lag": _SPECTRA + """select condition, k, round(abs(avg(im)) / nullif(avg(abs(im)), 0), 6) + 0.0 as wpli from (
       select x.condition, x.k, x.im * y.re - x.re * y.im as im from spectra x join spectra y on x.trial = y.trial and y.k = x.k + 1) group by 1, 2""",
     "aperiodic_fit": _SPECTRA + """select condition, round(regr_intercept(mean_db / 10, log10(freq)), 6) + 0.0 as offset,
       round(-regr_slope(mean_db / 10, log10(freq)), 6) + 0.0 as exponent from by_condition where k between 1 and 31 group by 1""",

@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.operators import guardrails, kernels, review, spectral, stats
+from tidewave.operators import formulas, guardrails, kernels, review, spectral, stats
 from tidewave.plans import registry
 from tidewave.plans.spectral import FS
 from tidewave.plans.tables import epochs
@@ -106,9 +106,11 @@ def describe_all() -> list[dict]:
     ]
 
 
+#: What the epochs' rate supports after an anti-alias filter.
+USABLE = formulas.CUTOFF_SHARE * FS / 2
 _WINDOW = {
     "samples": Param(64, "Samples per segment", 8, essential=True), "overlap": Param(0.5, "Overlap of segments", 0.0, 0.95),
-    "fmin": Param(1.0, "Lowest frequency (Hz)", 0.0), "fmax": Param(FS / 2, "Highest frequency (Hz)", 0.0, essential=True),
+    "fmin": Param(1.0, "Lowest frequency (Hz)", 0.0), "fmax": Param(USABLE, "Highest frequency (Hz)", 0.0, essential=True),
 }
 
 
@@ -118,7 +120,7 @@ def _spectra(spark, sf_dir, p):
 
 def _spectral_facts(p: Mapping) -> dict:
     bands = [("requested", float(p["fmin"]), float(p["fmax"]))]
-    return {"bands": bands, "bandwidth_hz": FS / 2, "window_s": p["samples"] / FS, "reports_db": True, "reports_z": True, "ratio_per_channel": True}
+    return {"bands": bands, "bandwidth_hz": USABLE, "window_s": p["samples"] / FS, "reports_db": True, "reports_z": True, "baseline_smoothed": False}
 
 
 @recipe("psd_by_condition", "Which frequencies are stronger in one condition than another?", "mean, spread and z of decibels by condition and bin", facts=_spectral_facts, **_WINDOW)
@@ -143,8 +145,8 @@ def _contrast(spark, sf_dir, p):
 
 @recipe(
     "tfr_morlet", "When and at which frequency does power change?", "power over its baseline by condition, frequency and time",
-    facts=lambda p: {"bands": [("requested", p["fmin"], p["fmax"])], "bandwidth_hz": FS / 2},
-    fmin=Param(2.0, "Lowest frequency (Hz)", 0.5), fmax=Param(0.95 * FS / 2, "Highest frequency (Hz)", 1.0), count=Param(40, "Frequencies", 2), cycles=Param(4.0, "Cycles per wavelet", 1.0), step=Param(4, "Keep every n-th sample", 1),
+    facts=lambda p: {"bands": [("requested", p["fmin"], p["fmax"])], "bandwidth_hz": USABLE, "baseline_smoothed": False},
+    fmin=Param(2.0, "Lowest frequency (Hz)", 0.5), fmax=Param(USABLE, "Highest frequency (Hz)", 1.0), count=Param(40, "Frequencies", 2), cycles=Param(4.0, "Cycles per wavelet", 1.0), step=Param(4, "Keep every n-th sample", 1),
     base_from=Param(0.0, "Baseline from (s)"), base_to=Param(0.1, "Baseline to (s)", essential=True),
 )
 def _tfr(spark, sf_dir, p):
@@ -280,7 +282,7 @@ def run(
 ) -> tuple[Run, DataFrame]:
     """The record and the result of a recipe. Raises if the gate is shut or a rule blocks.
 
-    facts: more that is known of the plan. config: settings of the guardrails. store: the
+    facts: more that is known of the plan, as ``Session.facts`` states it. config: settings of the guardrails. store: the
     folder that takes the record and the result; without one both are only returned. study
     and states (as of review.status): the gate.
     """
