@@ -216,6 +216,17 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
+def with_status(spark: SparkSession, path: str, status: str) -> DataFrame:
+    """Blocks of one status, in order."""
+    return outcomes(spark, path).where(F.col("status") == status).orderBy("block_id")
+
+
+def outcome_of(spark: SparkSession, path: str, block_id: object) -> dict | None:
+    """One block's latest outcome, or None."""
+    row = outcomes(spark, path).where(F.col("block_id") == block_id).first()
+    return None if row is None else row.asDict()
+
+
 def needs_build(spark: SparkSession, blocks: DataFrame, policy: BuildPolicy, path: str) -> DataFrame:
     """Blocks without a done outcome under this policy."""
     try:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.operators import quality_control as Q
+from tidewave.operators.events import cut_at
 from tidewave.operators.grid import grid_windows, mapped_windows
 from tidewave.storage import settled
 
@@ -266,3 +267,17 @@ def detect_all(chunks: DataFrame, by: Sequence[str], channels: DataFrame, rate:
     for more in found[1:]:
         out = out.unionByName(more)
     return out.withColumn("flag_id", Q.flag_id("target_type", "target", "flag_type", "detector"))
+
+
+def window_snippets(chunks: DataFrame, by: Sequence[str], flags: DataFrame, rate: float, pad_s: float = 1.5, points: int = 4000) -> DataFrame:
+    """by, flag_id, channel, first, step, x: the signal around every flagged window, thinned to about ``points`` for a page."""
+    keys = [*by, "channel"]
+    length = chunks.groupBy(*keys).agg(F.max(F.col("t0_idx") + F.size("x")).alias("_n"))
+    told = lambda k: F.element_at("evidence", k).cast("double")
+    asked = flags.where("target_type = 'window'").select(*by, "flag_id", F.element_at("evidence", "channel").alias("channel"), told("t_start_s").alias("a"), told("t_end_s").alias("b"))
+    lo, hi = F.greatest(F.floor((F.col("a") - pad_s) * rate), F.lit(0)), F.least(F.floor((F.col("b") + pad_s) * rate), F.col("_n"))
+    starts = asked.join(length, keys).select(*keys, F.concat_ws("/", *keys, "flag_id").alias("id"), "flag_id", lo.cast("long").alias("first"), hi.cast("long").alias("last"))
+    step = F.greatest(F.floor((F.col("last") - F.col("first")) / points), F.lit(1)).cast("int")
+    found = cut_at(chunks, keys, starts).where("x is not null").withColumn("step", step)
+    thin = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / F.col("step"))), lambda i: F.get("x", (i * F.col("step")).cast("int")))
+    return found.select(*by, "flag_id", "channel", "first", "step", thin.alias("x"))

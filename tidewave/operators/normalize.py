@@ -58,3 +58,13 @@ def normalize(rows: DataFrame, center: str, scale: str, key: list[str], conditio
 def sentence(center: str, scale: str) -> str:
     """What the z means, in words."""
     return f"z of the value less its {center.replace('_', ' ')} centre, over its {scale.replace('_', ' ')} scale"
+
+
+def options_for_schema(options: dict | None = None) -> dict[str, list[dict]]:
+    """What a form shows beside every choice: value, label and the configured texts, blank where nothing is told."""
+    told = lambda group, key: (options or {}).get(group, {}).get(key) or {}
+    texts = ("description", "when_to_use", "caveat")
+    return {
+        group: [{"value": key, "label": told(group, key).get("label", key), **{t: str(told(group, key).get(t, "")).strip() for t in texts}} for key in keys]
+        for group, keys in (("centers", CENTERS), ("scales", SCALES))
+    }

@@ -88,15 +88,42 @@ def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFram
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def moving_excursion(rows: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
-    """Peak to peak of the moving average of full frames; null for groups with fewer than 5 rows."""
+def moving_excursion(rows: DataFrame, by: list[str], order: str, value: str, width: int | None = None) -> DataFrame:
+    """Peak to peak of the moving average of full frames; null for groups with fewer than 5 rows.
+
+    width: rows of a frame; without one a fifth of the group's, at least three. A frame's sum is
+    the difference of two running sums, which meet by equality.
+    """
     over = W.partitionBy(*by).orderBy(order)
-    frame = over.rowsBetween(-(width - 1), 0)
-    smooth = rows.withColumns(
-        {"avg": F.avg(value).over(frame), "held": F.count(value).over(frame), "all": F.count(value).over(W.partitionBy(*by))}
-    )
-    full = F.when((F.col("held") == width) & (F.col("all") >= 5), F.col("avg"))
-    return smooth.groupBy(*by).agg((F.max(full) - F.min(full)).alias("excursion"))
+    known = rows.where(F.col(value).isNotNull())
+    placed = known.select(*by, F.row_number().over(over).alias("_i"), F.sum(value).over(over.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_s"), F.count(F.lit(1)).over(W.partitionBy(*by)).alias("_n"))
+    sized = placed.withColumn("_w", F.lit(width).cast("long") if width is not None else F.greatest(F.floor(F.col("_n") / 5), F.lit(3)))
+    before = placed.select(*by, (F.col("_i")).alias("_j"), F.col("_s").alias("_t"))
+    frames = sized.where(F.col("_i") >= F.col("_w")).withColumn("_j", F.col("_i") - F.col("_w")).join(before, [*by, "_j"], "left")
+    smooth = F.when(F.col("_n") >= 5, (F.col("_s") - F.coalesce("_t", F.lit(0.0))) / F.col("_w"))
+    found = frames.groupBy(*by).agg((F.max(smooth) - F.min(smooth)).alias("excursion"))
+    return rows.select(*by).distinct().join(found, by, "left")
+
+
+def contrast_drift(values: DataFrame, by: str, baseline: object) -> DataFrame:
+    """by, effect, excursion, ratio: the largest difference of conditions' means, and how far the baseline condition drifts there.
+
+    values: by (a band or row), condition, ord, value. One row, for the value of ``by`` with the
+    largest effect, so that drift and effect are of the same; none without two conditions.
+    """
+    means = values.groupBy(by, "condition").agg(F.avg("value").alias("m"))
+    effects = means.groupBy(by).agg((F.max("m") - F.min("m")).alias("effect"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    largest = effects.agg(F.max_by(F.struct(F.col(by).alias("b"), "effect"), F.struct("effect", by)).alias("x")).where("x is not null").select(F.col("x.b").alias(by), "x.effect")
+    own = values.where(F.col("condition") == baseline).join(largest.select(by), by)
+    drift = moving_excursion(own, [by], "ord", "value")
+    return largest.join(drift, by, "left").withColumn("ratio", F.try_divide("excursion", "effect"))
+
+
+def window_span(windows: DataFrame, by: list[str]) -> DataFrame:
+    """by, span_s: from the first start to the last end; null if a time is missing or nothing is spanned."""
+    bad = F.count_if(F.col("t_start_s").isNull() | F.col("t_end_s").isNull())
+    span = F.max("t_end_s") - F.min("t_start_s")
+    return windows.groupBy(*by).agg(F.when((bad == 0) & (span > 0), span).alias("span_s"))
 
 
 def refractory(events: DataFrame, by: list[str], gap: float) -> DataFrame:

@@ -97,7 +97,20 @@ def subjects_rollup(spark, sf_dir):
 
 
 def moving_excursion(spark, sf_dir):
-    return R.moving_excursion(samples(spark, sf_dir), ["session", "channel"], "i", "value", 3).select("session", "channel", *r6("excursion"))
+    return R.moving_excursion(samples(spark, sf_dir), ["session", "channel"], "i", "value").select("session", "channel", *r6("excursion"))
+
+
+def contrast_drift(spark, sf_dir):
+    """Drift against effect for a session's channel: the channels are bands, days of the week conditions."""
+    s = samples(spark, sf_dir)
+    rows = s.select("channel", F.pmod(F.floor(F.col("onset") / 86400), F.lit(7)).alias("condition"), F.struct("onset", "session", "i").alias("ord"), "value")
+    return R.contrast_drift(rows, "channel", 0).select("channel", *r6("effect", "excursion", "ratio"))
+
+
+def window_spans(spark, sf_dir):
+    """From a session's first sample to its last."""
+    s = samples(spark, sf_dir).select("session", F.col("onset").alias("t_start_s"), (F.col("onset") + F.when(F.col("value") > 0, 1.0)).alias("t_end_s"))
+    return R.window_span(s, ["session"]).select("session", *r6("span_s"))
 
 
 def refractory_events(spark, sf_dir):
@@ -206,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         range_label_conditions, event_semi_window, within_recording, asof_next_onset, full_outer_decisions, compare_params,
-        time_to_sample, page_offset_limit, montage_spread, subjects_rollup, moving_excursion, refractory_events,
+        time_to_sample, page_offset_limit, montage_spread, subjects_rollup, moving_excursion, contrast_drift, window_spans, refractory_events,
         blank_and_interpolate, psth, isi_statistics, pooled_sd, erp_average, erp_peak, baseline_correct, t_clusters, bh_fdr,
         permutation_contrast,
     )
@@ -238,9 +251,16 @@ ORACLES = {
     "subjects_rollup": _WINDOWS + """, c as (select session, count(*) as n, string_agg(distinct channel, ',' order by channel) as channels from samples group by 1),
       d as (select session, string_agg(distinct condition, ',' order by condition) as conditions, count(*) as n_windows from windows group by 1)
       select session, n, channels, coalesce(conditions, '') as conditions, coalesce(n_windows, 0) as n_windows from c left join d using (session)""",
-    "moving_excursion": f"""with {SAMPLES_SQL}, m as (select session, channel, avg(value) over w as a, count(value) over w as held, count(value) over (partition by session, channel) as n
-      from samples window w as (partition by session, channel order by i rows between 2 preceding and current row))
-      select session, channel, round(max(a) filter (where held = 3 and n >= 5) - min(a) filter (where held = 3 and n >= 5), 6) + 0.0 as excursion from m group by 1, 2""",
+    "moving_excursion": f"""with {SAMPLES_SQL}, l as (select session, channel, list(value order by i) as v, count(value) as n, greatest(count(value) // 5, 3) as w from samples group by 1, 2),
+      m as (select session, channel, case when n >= 5 then list_transform(range(w, n + 1), lambda k: list_sum(v[k - w + 1:k]) / w) end as a from l)
+      select session, channel, round(list_max(a) - list_min(a), 6) + 0.0 as excursion from m""",
+    "contrast_drift": f"""with {SAMPLES_SQL}, r as (select channel, (floor(onset / 86400)::bigint % 7 + 7) % 7 as condition, onset, session, i, value from samples),
+      e as (select channel, max(m) - min(m) as effect from (select channel, condition, avg(value) as m from r group by 1, 2) group by 1 having count(*) > 1 order by effect desc, channel desc limit 1),
+      l as (select channel, list(value order by onset, session, i) as v, greatest(count(*) // 5, 3) as w from r join e using (channel) where condition = 0 group by 1),
+      m as (select channel, list_transform(range(w, len(v) + 1), lambda k: list_sum(v[k - w + 1:k]) / w) as a from l)
+      select channel, round(effect, 6) + 0.0 as effect, round(list_max(a) - list_min(a), 6) + 0.0 as excursion, round((list_max(a) - list_min(a)) / effect, 6) + 0.0 as ratio from e join m using (channel)""",
+    "window_spans": f"""with {SAMPLES_SQL}, w as (select session, onset as a, onset + case when value > 0 then 1.0 end as b from samples)
+      select session, round(case when count(*) = count(b) and max(b) > min(a) then max(b) - min(a) end, 6) + 0.0 as span_s from w group by 1""",
     "refractory_events": f"""with recursive {SAMPLES_SQL}, e as (select session, onset, row_number() over (partition by session order by onset) as r from samples),
       f as (select session, r, onset, onset as last, true as kept from e where r = 1
         union all select e.session, e.r, e.onset, case when e.onset - f.last >= 43200 then e.onset else f.last end, e.onset - f.last >= 43200

@@ -241,14 +241,44 @@ def _write_record(spark: SparkSession, store: str, run: Run) -> None:
     spark.createDataFrame([row], _INDEX).coalesce(1).write.mode("append").json(f"{store}/records")
 
 
-def list_runs(spark: SparkSession, store: str) -> DataFrame:
-    """The last record of every run, newest first; none if the store is empty."""
+def list_runs(spark: SparkSession, store: str, name: str | None = None, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """The last record of every run, newest first; none if the store is empty. name, status: only such runs; limit: the newest so many."""
     try:
         rows = spark.read.schema(_INDEX).json(f"{store}/records")
     except AnalysisException:
         return spark.createDataFrame([], _INDEX)
-    last = rows.groupBy("run_id").agg(F.max_by(F.struct(*rows.columns), F.struct("finished_at", "status")).alias("r"))
-    return last.select("r.*").orderBy(F.col("started_at").desc(), F.col("run_id").desc())
+    last = rows.groupBy("run_id").agg(F.max_by(F.struct(*rows.columns), F.struct("finished_at", "status")).alias("r")).select("r.*")
+    for column, wanted in (("recipe", name), ("status", status)):
+        last = last if wanted is None else last.where(F.col(column) == wanted)
+    ordered = last.orderBy(F.col("started_at").desc(), F.col("run_id").desc())
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def reindex(spark: SparkSession, store: str, into: str) -> int:
+    """The index columns of every record derived anew from the record itself, written to another store; records that can't be read are left out."""
+    rows = spark.read.schema(_INDEX).json(f"{store}/records").select("record")
+    names = [f.split()[0] for f in _INDEX.split(", ")][:-1]
+    parsed = rows.select(F.from_json("record", ", ".join(f"{n} string" for n in names)).alias("r"), "record").where("r.run_id is not null")
+    parsed.select(*[F.col(f"r.{n}").alias(n) for n in names], "record").write.mode("overwrite").json(f"{into}/records")
+    return list_runs(spark, into).count()
+
+
+def redact_exception(error: BaseException) -> tuple[str, str]:
+    """The class of an error, and its message with that of its causes and members, without paths. No traceback."""
+    seen: set[int] = set()
+
+    def told(e: BaseException) -> str:
+        if id(e) in seen:
+            return "again"
+        seen.add(id(e))
+        parts = [str(e)]
+        if isinstance(e, BaseExceptionGroup):
+            parts += [f"{type(x).__name__}: {told(x)}" for x in e.exceptions]
+        if e.__cause__ is not None:
+            parts.append(f"caused by {type(e.__cause__).__name__}: {told(e.__cause__)}")
+        return "; ".join(parts)
+
+    return type(error).__name__, redact_paths(told(error)) or ""
 
 
 def get_run(spark: SparkSession, store: str, run_id: str) -> dict:

@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewave.operators import review
+
 #: The columns of a decision row, in order.
 DECISION_COLUMNS = (
     "flag_id", "type", "target", "flag", "detector", "severity", "evidence", "state",
@@ -73,3 +75,42 @@ def load_decisions(spark: SparkSession, path: str) -> DataFrame:
 def append_history(events: DataFrame, path: str) -> None:
     """One JSON object per event, added to what is there."""
     events.write.mode("append").json(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: str = "study string, event string, reviewer string, at string, reason string") -> DataFrame:
+    """The events appended there, in the order of their stamps; none if nothing was appended."""
+    try:
+        rows = spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return rows.orderBy("at")
+
+
+def write_flags(flags: DataFrame, path: str) -> None:
+    """A detection's whole output, evidence included, with when it was detected and how many flags its study has."""
+    sizes = flags.groupBy("study").agg(F.count(F.lit(1)).alias("n_flags"))
+    flags.join(sizes, "study").withColumn("detected_at", F.current_timestamp().cast("string")).write.mode("overwrite").json(path)
+
+
+def saved_proposals(spark: SparkSession, folder: str) -> DataFrame:
+    """The decisions of a folder's last detection; none if there was none."""
+    columns = ("study", *review.DETECTED, *review.REVIEWER)
+    try:
+        versions = spark.read.schema(", ".join(f"{c} string" for c in (*columns, "version"))).json(f"{folder}/decisions")
+    except AnalysisException:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    last = versions.agg(F.max("version").alias("version"))
+    return versions.join(last, "version").select(*columns)
+
+
+def propose(flags: DataFrame, folder: str, version: str) -> DataFrame:
+    """A detection folded into the decisions of a folder: answers stay, what fires again is refreshed. Twice is as once.
+
+    flags: study, flag_id, target_type, target, flag_type, evidence_summary, proposed_action,
+    severity. Each detection adds a version, a text that sorts after the earlier ones; readers
+    take the last, so a write that breaks changes nothing.
+    """
+    write_flags(flags, f"{folder}/flags")
+    merged = review.merge_decisions(saved_proposals(flags.sparkSession, folder), flags)
+    merged.select("study", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*review.DETECTED, *review.REVIEWER)], F.lit(version).alias("version")).write.mode("append").json(f"{folder}/decisions")
+    return saved_proposals(flags.sparkSession, folder)

@@ -442,6 +442,55 @@ def event_table(spark: SparkSession, path: str, format: str | None = None) -> Da
     return spark.createDataFrame(rows, "path string, label string, i int, onset double, offset double, value double")
 
 
+def available_events(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
+    """path, label, n: the event labels that recordings carry."""
+    return event_table(spark, path, format).groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def find_blocks(root: str) -> list[tuple[str, str]]:
+    """(study, block folder) of every folder below a study's that holds a recording, at any depth; hidden and underscored studies are passed over."""
+    store, at = open_store(root)
+    suffixes = {s for s, _, _ in FORMATS.values()}
+    found = set()
+    for f in store.get_file_info(pafs.FileSelector(at, recursive=True)):
+        parts = PurePosixPath(f.path).relative_to(at).parts
+        if f.type == pafs.FileType.File and len(parts) > 1 and not parts[0].startswith(("_", ".")) and PurePosixPath(f.path).suffix.lower() in suffixes:
+            found.add((parts[0], str(PurePosixPath(f.path).parent)))
+    return sorted(found)
+
+
+def find_sweeps(folder: str) -> list[str]:
+    """Impedance tables beside a recording: CSV files of the folder itself whose first line names a contact."""
+    store, at = open_store(folder)
+    if store.get_file_info(at).type != pafs.FileType.Directory:
+        return []
+    found = []
+    for f in store.get_file_info(pafs.FileSelector(at)):
+        if f.type == pafs.FileType.File and f.path.endswith(".csv"):
+            with store.open_input_file(f.path) as handle:
+                first = handle.read(65_536).split(b"\n")[0].decode("utf-8", "replace")
+            if any(re.match(r"\s*R\d+ \(kOhm\)", c) for c in first.split(",")):
+                found.append(f.path)
+    return sorted(found)
+
+
+def inspect(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """What a tree of recordings states about itself: its streams (study, block, stream, ..., duration_s, usable_hz, events), and what can't be read (block, error)."""
+    streams, unreadable = [], []
+    for study, block in find_blocks(root):
+        try:
+            recording = open_recording(block)
+        except Exception as error:  # one unreadable block is a row
+            unreadable.append((block, f"{type(error).__name__}: {error}"))
+            continue
+        labels: dict[str, int] = {}
+        for event in recording.events:
+            labels[event[0]] = labels.get(event[0], 0) + 1
+        streams += [(study, PurePosixPath(block).name, recording.format, s.name, len(s.channels), s.rate, s.n, s.n / s.rate, s.rate / 2, list(s.channels), labels) for s in recording.streams.values()]
+    told = "study string, block string, format string, stream string, n_channels int, sfreq double, n_samples long, duration_s double, usable_hz double, channels array<string>, events map<string,int>"
+    return spark.createDataFrame(streams, told), spark.createDataFrame(unreadable, "block string, error string")
+
+
 def _window(s: Stream, channels: Sequence[str | int] | None, tmin: float | None, tmax: float | None) -> tuple[list[int], int, int]:
     """Places of the channels in the order asked for, and the half-open sample window."""
     picked = []
