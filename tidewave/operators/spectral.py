@@ -80,6 +80,53 @@ def spectrum(epochs: DataFrame, fs: float, n: int | None = None, overlap: float
     return epochs.select("trial", "condition", "x").mapInArrow(run, _SPECTRUM)
 
 
+def mean_spectrum(epochs: DataFrame, fs: float, n: int | None = None, overlap: float = 0.5, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
+    """condition, k, freq, mean_db, sd_db (0 for one epoch), n: as spectrum_by_condition(spectrum(...)), from sums made in the tasks.
+
+    A batch leaves one row per condition and bin; the spread comes from deviations about the
+    batch's own means, which merge without cancelling.
+    """
+    names = ["condition", "k", "freq", "n", "mean", "m2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["x"]
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            condition = batch["condition"].to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths[lengths >= (n or 2)]):
+                at = np.flatnonzero(lengths == length)
+                x = pc.list_flatten(lists.take(pa.array(at))).to_numpy(zero_copy_only=False).reshape(len(at), length)
+                fine = np.isfinite(x).all(axis=1)
+                at, x, width = at[fine], x[fine], int(n or length)
+                if not len(at):
+                    continue
+                window = np.array(A.hann(width))
+                step = max(1, width - int(width * overlap)) if n else width
+                parts = np.lib.stride_tricks.sliding_window_view(x, width, axis=1)[:, ::step]
+                z = np.fft.rfft((parts - parts.mean(axis=-1, keepdims=True)) * window, axis=-1)
+                k = np.arange(z.shape[-1])
+                freq = k * (fs / width)
+                power = np.abs(z) ** 2 * np.where((k == 0) | (2 * k == width), 1.0, 2.0) / (fs * (window**2).sum())
+                keep = (freq >= fmin) & (freq <= (fmax if fmax is not None else np.inf))
+                db, k, freq = 10 * np.log10(np.maximum(power[..., keep], A.TINY)), k[keep], freq[keep]
+                for c in np.unique(condition[at]):
+                    own = db[condition[at] == c].reshape(-1, len(k))
+                    mean = own.mean(axis=0)
+                    columns = [np.full(len(k), c), k, freq, np.full(len(k), len(own)), mean, ((own - mean) ** 2).sum(axis=0)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=names)
+
+    known = epochs.where("condition is not null").select("condition", "x")
+    parts = known.mapInArrow(run, "condition long, k long, freq double, n long, mean double, m2 double")
+    centre = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    # Decibels are small numbers: the difference of squares of batches' means keeps its digits.
+    sums = parts.groupBy("condition", "k", "freq").agg(
+        centre.alias("mean_db"), F.sum("n").alias("n"), F.sum("m2").alias("_m2"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_q")
+    )
+    between = F.greatest(F.col("_q") - F.col("n") * F.col("mean_db") * F.col("mean_db"), F.lit(0.0))
+    sd = F.when(F.col("n") > 1, F.sqrt((F.col("_m2") + between) / (F.col("n") - 1))).otherwise(0.0)
+    return sums.select("condition", "k", "freq", "mean_db", sd.alias("sd_db"), "n")
+
+
 def spectrum_by_condition(spectra: DataFrame) -> DataFrame:
     """condition, k, freq, mean_db, sd_db (0 for one epoch), n."""
     db = spectra.withColumn("db", A.decibel(F.col("power")))
@@ -114,16 +161,14 @@ def spectral_peak(by_condition: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def line_noise(spectra: DataFrame, mains: float, width: float) -> DataFrame:
     """trial, harmonic, ratio: the peak within 1 Hz of mains harmonics over the mean of their neighbourhood."""
-    out = None
+    sums = []
     for h in (1, 2, 3):
         off = F.abs(F.col("freq") - mains * h)
-        peak = F.max(F.when(off <= 1, F.col("power")))
-        near = F.avg(F.when((off <= width) & (off > 1), F.col("power")))
-        part = spectra.groupBy("trial").agg(peak.alias("peak"), near.alias("near")).select(
-            "trial", F.lit(h).cast("long").alias("harmonic"), F.try_divide("peak", "near").alias("ratio")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out.where("ratio is not null")
+        sums.append(F.max(F.when(off <= 1, F.col("power"))).alias(f"peak{h}"))
+        sums.append(F.avg(F.when((off <= width) & (off > 1), F.col("power"))).alias(f"near{h}"))
+    each = spectra.groupBy("trial").agg(*sums)
+    ratios = [F.struct(F.lit(h).cast("long").alias("harmonic"), F.try_divide(F.col(f"peak{h}"), F.col(f"near{h}")).alias("ratio")) for h in (1, 2, 3)]
+    return each.select("trial", F.inline(F.array(*ratios))).where("ratio is not null")
 
 
 def energy_fraction_below(spectra: DataFrame, freq: float) -> DataFrame:

@@ -20,13 +20,13 @@ def _spectra(spark, sf_dir):
 
 
 def psd_by_condition(spark, sf_dir):
-    out = S.add_z(S.spectrum_by_condition(_spectra(spark, sf_dir)))
+    out = S.add_z(S.mean_spectrum(epochs(spark, sf_dir), FS))
     return out.where("k > 0").select("condition", "k", "freq", *r6("mean_db", "sd_db", "z"), "n")
 
 
 def psd_welch(spark, sf_dir):
     """Half-overlapped segments of 32 samples between 4 and 40 Hz: the spread is that over segments."""
-    out = S.add_z(S.spectrum_by_condition(S.spectrum(epochs(spark, sf_dir), FS, 32, 0.5, 4.0, 40.0)))
+    out = S.add_z(S.mean_spectrum(epochs(spark, sf_dir), FS, 32, 0.5, 4.0, 40.0))
     return out.select("condition", "k", "freq", *r6("mean_db", "sd_db", "z"), "n")
 
 
