@@ -108,3 +108,22 @@ def test_alignment_holds_every_page():
         wrapper = ["", "1", H.align(wrapper[2], s[2]), None]
     signs = lambda node: {node[0]} | {x for c in node[2] for x in signs(c)}
     assert signs(wrapper) == set().union(*map(signs, skeletons))
+
+
+@pytest.mark.parametrize(
+    ("sign", "hard"),
+    [
+        ("div.cookiebar", True), ("ul.topmenu", True), ("div.commentlist", True), ("div.commentary", False), ("div.adventure", False), ("div.content", False), ("p.lead", False), ("div.mainmenu.wide", True),
+        ("section@search", True), ("!p", True), ("div.footnotes", False), ("div.pagefooter", True), ("aside", True), ("article", False), ("div.canvas", False),
+    ],
+)
+def test_names_of_furniture(sign, hard):
+    assert H.hard(sign) is hard
+
+
+def test_compound_names_around_and_inside_an_article():
+    page = (
+        "<div class='pageheader'>Site</div><div class='contentWithSidebar'><div class='mainmenu'><a href=a>Home</a></div><div class='storyBody'><h1>T</h1><p>One longer paragraph of the story.</p>"
+        "<div class='shareThis'>Tell</div><p>Another longer paragraph of the story.</p></div><div class='commentlist'><p>Nice story, says a reader at some length here.</p></div></div><div id='sitefooter'>c</div>"
+    )
+    assert E.page_text(page, None) == "T\nOne longer paragraph of the story.\nAnother longer paragraph of the story."

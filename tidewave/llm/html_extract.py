@@ -147,8 +147,8 @@ def mark_main(tree: list) -> list:
             return True
         if any(_holds(x, _is_main) for x in node[2]):
             return False
-        names = {w for w in H.words_of(sign) if w in H.HARD_WORDS or w == "header"}
-        if not names <= H.LAYOUT_WORDS or "@" in sign:
+        names = {w for w in H.words_of(sign) if H.hard_word(w) or w == "header"}
+        if any(w not in H.LAYOUT_WORDS and not w.endswith(tuple(H.LAYOUT_WORDS)) for w in names) or "@" in sign:
             return True
         frames = any(_holds(x, lambda s: _tag(s) == "h1" or any(w in H.MAIN_WORDS for w in H.words_of(s))) for x in node[2])
         return not (frames and not head or 10 * plain(node) >= 7 * whole_plain)

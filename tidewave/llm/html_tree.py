@@ -42,6 +42,10 @@ HARD_WORDS = frozenset(
     "popular trending share sharing social follow newsletter subscribe subscription signup signin login paywall cookie cookies consent gdpr "
     "notice notices alert disclaimer popup modal overlay toolbar search comment comments respond disqus replies reply skip banner".split()
 )
+#: Compounds begin or end with them too; the last are not meant.
+HARD_STARTS = ("cookie", "advert", "sponsor", "comment", "newsletter", "breadcrumb", "subscri", "recommend", "sidebar", "navbar", "footer")
+HARD_ENDS = ("menu", "nav", "navbar", "sidebar", "footer", "banner", "comments", "navigation", "breadcrumbs")
+NOT_HARD = frozenset("commentary commentator recommendable".split())
 #: Those of them that frames of a whole page bear too, and those that tell a main part.
 LAYOUT_WORDS = frozenset("sidebar nav navbar menu footer header widget widgets banner toolbar masthead topbar search".split())
 MAIN_WORDS = frozenset("article post entry story content".split())
@@ -176,7 +180,11 @@ def hard(sign: str) -> bool:
         return True
     body, _, role = sign.partition("@")
     tag, *words = body.split(".")
-    return tag in HARD_TAGS or role in HARD_ROLES or any(w in HARD_WORDS for w in words)
+    return tag in HARD_TAGS or role in HARD_ROLES or any(map(hard_word, words))
+
+
+def hard_word(word: str) -> bool:
+    return word in HARD_WORDS or word not in NOT_HARD and (word.startswith(HARD_STARTS) or word.endswith(HARD_ENDS))
 
 
 def words_of(sign: str) -> list[str]:
