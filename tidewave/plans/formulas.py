@@ -124,6 +124,15 @@ _FIELD = " + ".join(
 ORACLES = {
     "decimation_plan": _RATES + """, f as (select *, (case when target > 0 and target < rate then greatest(floor(rate / target), 1) else 1 end)::bigint as factor from r)
       select p_partkey, factor, round(rate / factor, 6) + 0.0 as new_rate, round(rate / factor / 2 * 0.8, 6) + 0.0 as usable, top > rate / factor / 2 * 0.8 as refused from f""",
+    "decimation_stages": """with recursive s as (
+        select p_partkey, 13 as d, p_partkey::bigint as rest, 0 as n, 0::bigint as largest, 1::bigint as product from part
+        union all
+        select p_partkey, case when rest % d = 0 then d else d - 1 end, case when rest % d = 0 then rest // d else rest end, case when rest % d = 0 then n + 1 else n end,
+          case when rest % d = 0 then greatest(largest, d) else largest end, case when rest % d = 0 then product * d else product end from s where rest > 13 and d > 1
+      ), last_ as (select * from s where rest <= 13 or d = 1)
+      select p_partkey, (n + case when rest > 1 or n = 0 then 1 else 0 end)::bigint as n_stages, product * rest as product, case when rest > 1 or n = 0 then greatest(largest, rest) else largest end as largest from last_""",
+    "correlation_rejection": f"""with {EPOCHS_SQL}, r as (select a.trial, a.condition, corr(a.value, b.value) as r from long_epochs a join long_epochs b on a.trial = b.trial and b.t = a.t + 32 where a.t < 32 group by 1, 2)
+      select condition, round(avg(abs(r)), 6) + 0.0 as mean_r, round(avg((abs(r) > 0.5)::int), 6) + 0.0 as large, round(avg((abs(r) * sqrt(30 / greatest(1 - r * r, 1e-12)) > 2.0422724563012382)::int), 6) + 0.0 as rejected from r group by 1""",
     "exact_ratio": _RATES + """, n as (select p_partkey, rate, (rate * 8)::bigint as e from r), g as (select *, gcd(e, 8) as g8, gcd(e, 8000) as g from n)
       select p_partkey, case when e // g <= 3125 then (8000 // g)::bigint end as up, case when e // g <= 3125 then (e // g)::bigint end as down, (e // g8)::varchar || '/' || (8 // g8)::varchar as rate from g""",
     "harmonic_folds": _RATES + "select p_partkey, k::bigint as harmonic, round(abs(k * 130.0::double - round_even(k * 130.0::double / rate, 0) * rate), 6) + 0.0 as folded from r, range(1, 7) q(k)",

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewave.functions import kernels as N
 from tidewave.operators import kernels as K
 from tidewave.operators import stats as T
 from tidewave.operators.spectral import spectrum
@@ -135,7 +136,48 @@ QUERIES = {
         pac_surrogate, granger_conditional, iir_filters, band_split, leakage_floor, gaussian_smooth, fit_spectrum, cluster_test, shuffle_units, pair_flip,
     )
 }
+def _kalman_weights(n: int, q: float, r: float) -> list[float]:
+    """What each sample weighs in the last mean: the gains don't depend on the data."""
+    weights, p = np.eye(1, n)[0], r
+    for i in range(n):
+        p += q
+        gain = p / (p + r)
+        weights *= 1 - gain
+        weights[i] += gain
+        p *= 1 - gain
+    return weights.tolist()
+
+
+_TAPERS = N.slepian(64, 3.0, 5).tolist()
+_HALF = N.kaiser_lowpass(0.45 / 2, 60.0, 0.1 / 2).tolist()
+_TFR = f"""with {EPOCHS_SQL}, f as (select unnest({TFR_FREQS!r}) as freq), g as (select freq, 4.0 / (2 * pi() * freq) as sigma from f),
+  part as (select trial, condition, freq, o.t, sum(value * exp(-tau * tau / (2 * sigma * sigma)) * cos(2 * pi() * freq * tau)) as re, sum(value * exp(-tau * tau / (2 * sigma * sigma)) * sin(2 * pi() * freq * tau)) as im
+    from (select trial, condition, value, freq, sigma, o.t, (o.t - x.t) / {FS} as tau from long_epochs x, g, range(0, 64, {TFR_STEP}) o(t) where abs(o.t - x.t) <= ceil(5 * sigma * {FS})) o group by 1, 2, 3, 4),
+  mean as (select condition, freq, t / {FS} as t, avg(re * re + im * im) as power from part group by 1, 2, 3),
+  base as (select condition, freq, avg(power) as base from mean where t between 0 and 0.1 group by 1, 2),
+  maps as (select condition, freq, t, log10(power / base) as value from mean join base using (condition, freq))
+"""
+_DFT = """d as (select trial, k, sum(value * cos(2 * pi() * k * t / 64)) as re, sum(value * sin(2 * pi() * k * t / 64)) as im,
+    sum(value * (0.5 - 0.5 * cos(2 * pi() * t / 64)) * cos(2 * pi() * k * t / 64)) as hr, sum(value * (0.5 - 0.5 * cos(2 * pi() * t / 64)) * sin(2 * pi() * k * t / 64)) as hi from long_epochs, range(0, 33) r(k) group by 1, 2),
+  m as (select trial, k, sqrt(re * re + im * im) as a, sqrt(hr * hr + hi * hi) as h from d), top as (select trial, arg_max(k, a) as ka, max(a) as ma, arg_max(k, h) as kh, max(h) as mh from m group by 1)"""
 ORACLES = {
     "gaussian_smooth": f"""with {EPOCHS_SQL}, w as (select d, exp(-0.5 * (d / 2.0) * (d / 2.0)) as w from range(-8, 9) r(d)), z as (select sum(w) as z from w)
       select trial, t::bigint as t, round(sum(value * w / z), 6) + 0.0 as v from (select x.trial, x.t - w.d as t, value, w, z from long_epochs x, w, z) where t between 0 and 63 group by 1, 2""",
+    "tfr_morlet": f"{_TFR} select condition, freq, t, round(value, 6) + 0.0 as value from maps",
+    "tfr_peak": f"{_TFR}, r as (select *, row_number() over (partition by condition order by value desc, freq, t) as r from maps) select condition, freq, t, round(value, 6) + 0.0 as value from r where r = 1",
+    "kalman_track": f"with {EPOCHS_SQL} select trial, round(list_inner_product(x, {_kalman_weights(64, 0.01, 0.1)!r}::double[]), 6) as last from epochs",
+    "leakage_floor": f"""with {EPOCHS_SQL}, {_DFT} select trial, round(20 * log10(max(case when abs(k - ka) > 5 then a else 0 end) / any_value(ma)), 6) + 0.0 as plain,
+      round(20 * log10(max(case when abs(k - kh) > 5 then h else 0 end) / any_value(mh)), 6) + 0.0 as hann from m join top using (trial) group by trial""",
+    "iir_filters": f"""with {EPOCHS_SQL}, o as (select x.trial, t.t, sum(0.2 * pow(0.8, t.t - x.t) * value) as y from long_epochs x, range(0, 64) t(t) where x.t <= t.t group by 1, 2),
+      c as (select trial, t, value - avg(value) over (partition by trial) as x, y - avg(y) over (partition by trial) as y from long_epochs join o using (trial, t)),
+      l as (select a.trial, b.t - a.t as lag, sum(a.x * b.y) as c from c a join c b on a.trial = b.trial group by 1, 2), best as (select trial, arg_max(lag, c) as delay from l group by 1)
+      select trial, round(y, 6) + 0.0 as once, round(0.2 * y, 6) + 0.0 as both, delay::bigint as delay from o join best using (trial) where t = 63""",
+    "multitaper_psd": f"""with {EPOCHS_SQL}, tapers as (select unnest({_TAPERS!r}::double[][]) as w, generate_subscripts({_TAPERS!r}::double[][], 1) as j), w as (select j, unnest(w) as w, generate_subscripts(w, 1) - 1 as t from tapers),
+      c as (select trial, condition, t, value - avg(value) over (partition by trial) as v from long_epochs),
+      f as (select trial, condition, j, k, sum(v * w * cos(2 * pi() * k * t / 64)) as re, sum(v * w * sin(2 * pi() * k * t / 64)) as im from c join w using (t), range(0, 33) r(k) group by 1, 2, 3, 4),
+      p as (select condition, trial, k, avg(re * re + im * im) / {FS} * case when k between 1 and 31 then 2 else 1 end as p from f group by 1, 2, 3)
+      select condition, k::bigint as k, round(log10(greatest(avg(p), 1e-300)), 6) as log_power from p group by 1, 2""",
+    "resample_polyphase": f"""with {EPOCHS_SQL}, ends as (select trial, x[1] as a, x[64] as b from epochs), h as (select unnest({_HALF!r}) as h, generate_subscripts({_HALF!r}, 1) - 1 as m)
+      select e.trial, j as t, round(any_value(a + (b - a) * 2 * j / 63) + sum(h * (value - (a + (b - a) * x.t / 63))), 6) + 0.0 as v
+      from ends e join long_epochs x using (trial), range(0, 32) r(j), h where m = 2 * j + {len(_HALF) // 2} - x.t group by 1, 2""",
 }
