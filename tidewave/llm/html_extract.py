@@ -277,7 +277,8 @@ def infer_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
     trees = cut(each.mapInArrow(first, "host string, sid string, tree string"))
     while True:
         most = trees.groupBy("host").count().agg(F.max("count")).first()[0] or 0
-        n = 1 if most <= group else -(-2 * most // group)
+        # Fewer groups than half the trees, so that every round joins some.
+        n = 1 if most <= group else max(1, min(-(-2 * most // group), most // 2))
         trees = cut(trees.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(n))).groupBy("host", "part").applyInArrow(aligned, "host string, sid string, tree string"))
         if n == 1:
             break
