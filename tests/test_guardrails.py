@@ -97,3 +97,17 @@ def test_plans_may_lack_facts_and_rules_may_be_added(spark):
     assert [r["rule"] for r in G.run_checks(only).collect()] == ["g01"]
     with pytest.raises(ValueError, match="already"):
         G.register("g01")(lambda fact, settings: None)
+
+
+def test_summaries_count_what_the_rows_say(spark):
+    facts = [f for f, _ in CASES]
+    overrides = {"g01": "compared", "g06": "closed all the same"}
+    rows = {}
+    for r in G.run_checks(plans_of(spark, facts), overrides).collect():
+        rows.setdefault(r["plan"], []).append(r)
+    for r in G.summarize(plans_of(spark, facts), overrides).collect():
+        own = rows.get(r["plan"], [])
+        assert sorted(r["rules"]) == sorted(x["rule"] for x in own)
+        assert (r["n_blocking"], r["n_warnings"], r["n_notes"]) == (sum(x["blocks"] for x in own), *(sum(x["severity"] == s for x in own) for s in ("warn", "note")))
+    with pytest.raises(ValueError):
+        G.summarize(plans_of(spark, facts), {"g01": " "})

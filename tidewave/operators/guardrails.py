@@ -196,12 +196,8 @@ def configured(config: Mapping[str, Mapping] | None = None) -> dict[str, tuple[s
     return out
 
 
-def run_checks(plans: DataFrame, overrides: Mapping[str, str] | None = None, config: Mapping[str, Mapping] | None = None) -> DataFrame:
-    """plan, rule, severity, resolved, blocks, reason: the rules that fire.
-
-    overrides: rule to the reason given for going on, which must not be blank. It
-    resolves a rule unless the rule is closed or the configuration forbids it.
-    """
+def _evaluated(plans: DataFrame, overrides: Mapping[str, str] | None, config: Mapping[str, Mapping] | None) -> tuple[dict, dict[str, str], Column]:
+    """The rules that are on, the reasons given, and an array of the rules that fire on a row."""
     reasons = dict(overrides or {})
     if any(not (reason or "").strip() for reason in reasons.values()):
         raise ValueError("an override needs a reason")
@@ -211,7 +207,27 @@ def run_checks(plans: DataFrame, overrides: Mapping[str, str] | None = None, con
         return F.col(name) if name in columns else F.lit(None).cast(_KINDS[name])
 
     fired = F.array(*[F.when(CHECKS[name](fact, settings), F.lit(name)) for name, (_, _, settings) in rules.items()])
-    each = plans.select("plan", F.explode(F.array_compact(fired)).alias("rule"))
+    return rules, reasons, F.array_compact(fired)
+
+
+def summarize(plans: DataFrame, overrides: Mapping[str, str] | None = None, config: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """plan, rules (an array), n_blocking, n_warnings, n_notes of every row, without a row per rule: what blocks, warns and is noted of each plan."""
+    rules, reasons, fired = _evaluated(plans, overrides, config)
+    blocking = [n for n, (severity, allowed, _) in rules.items() if severity == "block" and not (allowed and n in reasons)]
+    of = lambda level: [n for n, (severity, _, _) in rules.items() if severity == level]
+    count = lambda names: F.size(F.array_intersect("rules", _words(names))).cast("long")
+    judged = plans.select("plan", fired.alias("rules"))
+    return judged.select("plan", "rules", count(blocking).alias("n_blocking"), count(of("warn")).alias("n_warnings"), count(of("note")).alias("n_notes"))
+
+
+def run_checks(plans: DataFrame, overrides: Mapping[str, str] | None = None, config: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """plan, rule, severity, resolved, blocks, reason: the rules that fire.
+
+    overrides: rule to the reason given for going on, which must not be blank. It
+    resolves a rule unless the rule is closed or the configuration forbids it.
+    """
+    rules, reasons, fired = _evaluated(plans, overrides, config)
+    each = plans.select("plan", F.explode(fired).alias("rule"))
     told = F.create_map(
         *[
             x
