@@ -16,6 +16,7 @@ import html
 import re
 import zlib
 from bisect import bisect_left
+from functools import lru_cache
 
 #: How HTML's elements behave.
 BLOCKS = frozenset(
@@ -174,6 +175,7 @@ class Page:
         return ["", "1", collapse([reduced(x) for x in self.root[2]]), None]
 
 
+@lru_cache(maxsize=1 << 16)
 def hard(sign: str) -> bool:
     """Whether an element of this signature is no part of an article, wherever it stands."""
     if sign.startswith("!"):
