@@ -215,9 +215,10 @@ def summarize(plans: DataFrame, overrides: Mapping[str, str] | None = None, conf
     rules, reasons, fired = _evaluated(plans, overrides, config)
     blocking = [n for n, (severity, allowed, _) in rules.items() if severity == "block" and not (allowed and n in reasons)]
     of = lambda level: [n for n, (severity, _, _) in rules.items() if severity == level]
-    count = lambda names: F.size(F.array_intersect("rules", _words(names))).cast("long")
-    judged = plans.select("plan", fired.alias("rules"))
-    return judged.select("plan", "rules", count(blocking).alias("n_blocking"), count(of("warn")).alias("n_warnings"), count(of("note")).alias("n_notes"))
+    count = lambda r, names: F.size(F.array_intersect(r, _words(names))).cast("long")
+    # Generated from one array, so that the conditions are evaluated once however often they are counted.
+    told = lambda r: F.struct(r.alias("rules"), count(r, blocking).alias("n_blocking"), count(r, of("warn")).alias("n_warnings"), count(r, of("note")).alias("n_notes"))
+    return plans.select("plan", F.inline(F.transform(F.array(fired), told)))
 
 
 def run_checks(plans: DataFrame, overrides: Mapping[str, str] | None = None, config: Mapping[str, Mapping] | None = None) -> DataFrame:
