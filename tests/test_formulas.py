@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.test_oracle import SF
 from tidewave.operators import formulas as M
 from tidewave.plans import formulas as P
+from tidewave.plans.tables import table
 
 
 def one(spark, column):
@@ -50,6 +51,21 @@ def test_exact_ratios(spark):
     assert ratio(1000.1, 250.0) == (None, None)
 
 
+def test_every_part_has_its_exact_ratio(spark):
+    parts = {r["p_partkey"]: Fraction(math.floor(r["p_retailprice"] * 8), 8) + r["p_size"] * 100 for r in table(spark, SF, "part").collect()}
+    rows = P.exact_ratio(spark, SF).collect()
+    assert {r["p_partkey"]: Fraction(r["rate"]) for r in rows} == parts
+    want = {k: 1000 / rate for k, rate in parts.items()}
+    assert {r["p_partkey"]: (r["up"], r["down"]) for r in rows} == {k: (w.numerator, w.denominator) for k, w in want.items()}
+    assert any(w.denominator > M.MOST_DENOMINATOR for w in want.values())
+
+
+def test_ratios_are_refused_only_beyond_a_limit(spark):
+    both = lambda *a: tuple(one(spark, c) for c in M.resample_ratio(F.lit(1007.125), F.lit(1000.0), *a))
+    assert both() == both(8056) == (None, None)
+    assert both(8057) == both(None) == (8000, 8057)
+
+
 def test_plans_and_shares():
     assert M.cutoff_share(None) == 0.8 and M.cutoff_share({"antialias_cutoff_fraction_of_nyquist": "0.5"}) == 0.5
     assert M.cutoff_share({"antialias_cutoff_fraction_of_nyquist": "x"}) == 0.8

@@ -76,13 +76,15 @@ def greatest_common_divisor(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["a"])
 
 
-def resample_ratio(rate: Column, target: Column, most: int = MOST_DENOMINATOR) -> tuple[Column, Column]:
-    """up, down with rate * up / down = target exactly; null (refused) where a rate is no such fraction or down would exceed ``most``."""
+def resample_ratio(rate: Column, target: Column, most: int | None = MOST_DENOMINATOR) -> tuple[Column, Column]:
+    """up, down with rate * up / down = target exactly; null where a rate is no such fraction, or (refused) down would exceed ``most``; None refuses none."""
     (n1, d1), (n2, d2) = exact_fraction(rate), exact_fraction(target)
     up, down = n2 * d1, d2 * n1
     common = greatest_common_divisor(up, down)
-    small = (down / common).cast("long")
-    return F.when(small <= most, (up / common).cast("long")), F.when(small <= most, small)
+    up, down = (up / common).cast("long"), (down / common).cast("long")
+    if most is None:
+        return up, down
+    return F.when(down <= most, up), F.when(down <= most, down)
 
 
 def harmonics(f: Column, rate: Column, count: int) -> Column:

@@ -36,7 +36,8 @@ def decimation_stages(spark, sf_dir):
 
 
 def exact_ratio(spark, sf_dir):
-    up, down = M.resample_ratio(F.col("rate"), F.lit(1000.0))
+    """Up and down from each part's rate to 1 kHz, however large, and the rate as a fraction."""
+    up, down = M.resample_ratio(F.col("rate"), F.lit(1000.0), most=None)
     n, d = M.exact_fraction(F.col("rate"))
     return _rates(spark, sf_dir).select("p_partkey", up.alias("up"), down.alias("down"), F.concat(n.cast("string"), F.lit("/"), d.cast("string")).alias("rate"))
 
@@ -134,7 +135,7 @@ ORACLES = {
     "correlation_rejection": f"""with {EPOCHS_SQL}, r as (select a.trial, a.condition, corr(a.value, b.value) as r from long_epochs a join long_epochs b on a.trial = b.trial and b.t = a.t + 32 where a.t < 32 group by 1, 2)
       select condition, round(avg(abs(r)), 6) + 0.0 as mean_r, round(avg((abs(r) > 0.5)::int), 6) + 0.0 as large, round(avg((abs(r) * sqrt(30 / greatest(1 - r * r, 1e-12)) > 2.0422724563012382)::int), 6) + 0.0 as rejected from r group by 1""",
     "exact_ratio": _RATES + """, n as (select p_partkey, rate, (rate * 8)::bigint as e from r), g as (select *, gcd(e, 8) as g8, gcd(e, 8000) as g from n)
-      select p_partkey, case when e // g <= 3125 then (8000 // g)::bigint end as up, case when e // g <= 3125 then (e // g)::bigint end as down, (e // g8)::varchar || '/' || (8 // g8)::varchar as rate from g""",
+      select p_partkey, (8000 // g)::bigint as up, (e // g)::bigint as down, (e // g8)::varchar || '/' || (8 // g8)::varchar as rate from g""",
     "harmonic_folds": _RATES + "select p_partkey, k::bigint as harmonic, round(abs(k * 130.0::double - round_even(k * 130.0::double / rate, 0) * rate), 6) + 0.0 as folded from r, range(1, 7) q(k)",
     "wavelet_resolutions": """with t as (select p_partkey, (p_partkey % 7 + 1) / (2 * pi() * p_size) as t from part) select p_partkey, round(t, 6) + 0.0 as t, round(1 / (2 * pi() * t), 6) + 0.0 as f from t""",
     "spatial_formulas": f"""with v as (select p_partkey, p_size::double as s, p_retailprice as p from part), u as (select *, 3.0::double * 3.0 * pi() * s * (7 * 3.5 + 6.0) / 1000 as volume from v)
