@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidewave.operators import catalog as C
+from tidewave.plans import registry
 
 
 def draw_lead(rng):
@@ -133,3 +134,11 @@ def test_rows_of_one_size_pair_up_and_others_meet_by_their_mean(spark):
     assert found == {
         "t-rowmean": {"t": 1.0, "u0": -0.5, "u1": -0.5}, "v0-u0": {"v0": 1.0, "u0": -1.0}, "v1-u1": {"v1": 1.0, "u1": -1.0}, "w-rowmean": {"w": 1.0, "v0": -0.5, "v1": -0.5},
     }
+
+
+def test_overlaps_among_ties_and_windows_without_an_end(spark, tmp_path):
+    # Windows of one start and end in falling order of their keys; a window without an end beside one of its start.
+    orders = [(1, 81), (1, 41), (1, 1), (2, None), (2, 5)]
+    spark.createDataFrame([(c, k, "1995-01-01") for c, k in orders], "o_custkey long, o_orderkey long, o_orderdate string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = registry.QUERIES["overlapping_windows"](spark, str(tmp_path)).collect()
+    assert sorted((r["o_custkey"], r["o_orderkey"] or 0, r["latest_end"] - r["t0"]) for r in got) == [(1, 41, 2), (1, 81, 2), (2, 0, 6)]

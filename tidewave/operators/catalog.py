@@ -25,9 +25,14 @@ def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def overlapping_windows(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Windows that begin before an earlier one of their group ends; adjacent ones are fine."""
-    order = W.partitionBy(*by).orderBy("t0", "t1").rowsBetween(W.unboundedPreceding, -1)
+def overlapping_windows(windows: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
+    """Windows that begin before an earlier one of their group ends; adjacent ones are fine.
+
+    A window without an end comes after those of its start that have one. ``ties`` orders the windows
+    of one start and end, so that reruns agree which of them is the earlier one.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in ("t0", "t1", *ties)]
+    order = W.partitionBy(*by).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     return windows.withColumn("latest_end", F.max("t1").over(order)).where(F.col("t0") < F.col("latest_end"))
 
 

@@ -27,7 +27,7 @@ def overlapping_windows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
     w = o.select("o_custkey", "o_orderkey", days.alias("t0")).withColumn("t1", F.col("t0") + F.col("o_orderkey") % 40 + 1)
-    return C.overlapping_windows(w, ["o_custkey"]).select("o_custkey", "o_orderkey", "t0", "latest_end")
+    return C.overlapping_windows(w, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "t0", "latest_end")
 
 
 def vocabulary_violations(spark, sf_dir):
