@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,21 @@ def test_search_of_nothing(spark):
     assert lexical.search(lexical.build_index(docs_frame(spark, [(1, None), (2, " . ")])), items).count() == 0
 
 
+def test_an_index_is_read_in_groups_of_some_blocks(spark, tmp_path, monkeypatch):
+    # Twelve texts that are a block each, in one partition: a reader takes them one by one, not all at once.
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 1_000, raising=False)
+    written, cut = [], lexical.cut
+    monkeypatch.setattr(lexical, "cut", lambda *a: written.append(cut(*a)) or written[-1])
+    docs_frame(spark, [(i, f"w{i} " * 1_100_000) for i in range(12)]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "w3 w4"), (2, "w11")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = lexical.op11_lexical_search(spark, str(tmp_path)).collect()
+    assert sorted((r["item_id"], r["rank"], r["doc_id"]) for r in got) == [(1, 1, 3), (1, 2, 4), (2, 1, 11)]
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written[0].inputFiles()]
+    groups = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert sum(groups) == 12 and max(groups) <= 2
+    assert not any(f.dataType.typeName() == "array" for f in written[0].schema)  # lists are unfolded in the tasks
+
+
 # --- conversation tries -------------------------------------------------------------------
 
 

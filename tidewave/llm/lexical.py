@@ -2,7 +2,10 @@
 
 1. ``build_index`` cuts the documents, where they lie, into blocks of about
    ``BLOCK_BYTES`` of text. A block is one row: its documents with their lengths and an
-   inverted list per term (documents ascending, occurrences). Nothing is shuffled.
+   inverted list per term (documents ascending, occurrences), packed into one binary value.
+   Nothing is shuffled. Tasks take one block after the other out of its packing, and the table
+   is written in row groups of about ``GROUP_BYTES``, so what a task holds depends neither on
+   the collection's size nor on how much of it the task reads.
 2. The collection's statistics (documents, their terms, documents per term) are sums
    over the blocks; of the terms only those that the queries hold are added up.
 3. ``search`` sends the queries, in lots of about ``LOT_TERMS`` terms, over all blocks. A
@@ -49,8 +52,11 @@ TOP = 10
 COMMON_ONE_IN = 16
 #: The longest lists whose pairs get one. It bounds the work per block; results don't depend on it.
 PAIRED_LISTS = 96
+#: Spark reads a row group of such rows at once, whatever the size of a partition.
+GROUP_BYTES = 8 << 20
 
-_INDEX_SQL = "n_docs long, n_terms long, doc_ids array<long>, lengths array<int>, terms array<binary>, df array<int>, docs array<int>, tf array<int>"
+_INDEX_SQL = "n_docs long, n_terms long, block binary"
+_PACKED = ("terms", "df", "doc_ids", "lengths", "docs", "tf")
 
 
 def _letters() -> np.ndarray:
@@ -99,10 +105,31 @@ def index_block(doc_ids: pa.Array, texts: pa.Array) -> dict | None:
     return {
         "n_docs": n, "n_terms": len(terms), "doc_ids": doc_ids.filter(pa.array(some)).cast(pa.int64()), "lengths": lengths[some].astype(np.int32),
         "terms": coded.dictionary, "df": np.bincount(keys // n, minlength=len(coded.dictionary)).astype(np.int32),
-        "docs": (keys % n).astype(np.int32), "tf": tf.astype(np.int32),
+        "docs": _narrow(keys % n), "tf": _narrow(tf),
     }
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(values.max(initial=0)))
+
+
+def pack(block: dict) -> bytes:
+    """The block's lists as one compressed Arrow stream of one row."""
+    row = pa.RecordBatch.from_pydict({k: _listed(block[k]) for k in _PACKED})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(block: pa.Scalar, *names: str) -> dict[str, pa.Array]:
+    """The named lists of a packed block."""
+    options = pa.ipc.IpcReadOptions(included_fields=[_PACKED.index(k) for k in names])
+    with pa.ipc.open_stream(block.as_buffer(), options=options) as stream:
+        row = stream.read_next_batch()
+    return {k: row[k][0].values for k in names}
+
+
 def build_index(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of inverted lists over every document."""
     require(documents, ["doc_id", "text"])
@@ -117,8 +144,7 @@ def build_index(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
                 block = index_block(batch["doc_id"].slice(low, high - low), batch["text"].slice(low, high - low))
                 low = high
                 if block:
-                    row = {k: pa.array([v]) if k in ("n_docs", "n_terms") else _listed(v) for k, v in block.items()}
-                    yield pa.RecordBatch.from_pydict(row)
+                    yield pa.RecordBatch.from_pydict({"n_docs": pa.array([block["n_docs"]]), "n_terms": pa.array([block["n_terms"]]), "block": pa.array([pack(block)], pa.binary())})
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _INDEX_SQL)
 
@@ -128,29 +154,37 @@ def _listed(values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _numbers(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False)
+def terms_held(index: DataFrame) -> DataFrame:
+    """term (binary) and df: a row for each term of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch["block"]:
+                yield pa.RecordBatch.from_pydict(unpack(block, "terms", "df")).rename_columns(["term", "df"])
+
+    return index.select("block").mapInArrow(run, "term binary, df int")
 
 
 class Block:
     """One block under the weights of a lot: impacts, their maxima, and joint maxima of common pairs."""
 
     def __init__(self, batch: pa.RecordBatch, i: int, lot: Lot):
-        ids = batch["doc_ids"][i].values
+        own = unpack(batch["block"][i], *_PACKED)
+        ids = own["doc_ids"]
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.doc_ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
         self.n = len(self.doc_ids)
-        found = pc.index_in(lot.terms, value_set=batch["terms"][i].values)
+        found = pc.index_in(lot.terms, value_set=own["terms"])
         self.held = found.is_valid().to_numpy(zero_copy_only=False)
         at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(_numbers(batch["df"], i), dtype=np.int64)
-        docs, tf = _numbers(batch["docs"], i), _numbers(batch["tf"], i).astype(np.int64)
-        m = 10 + (90 * _numbers(batch["lengths"], i).astype(np.int64) * lot.n_docs) // lot.n_terms
+        ends, docs, tf, lengths = (own[k].to_numpy(zero_copy_only=False) for k in ("df", "docs", "tf", "lengths"))
+        ends = np.cumsum(ends, dtype=np.int64)
+        m = 10 + (90 * lengths.astype(np.int64) * lot.n_docs) // lot.n_terms
         self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.most = np.zeros(len(self.held), np.int64)
         for t in np.flatnonzero(self.held).tolist():
             low, high = (ends[at[t] - 1] if at[t] else 0), ends[at[t]]
-            who, often = docs[low:high], tf[low:high]
+            who, often = docs[low:high].astype(np.int64), tf[low:high].astype(np.int64)
             impact = lot.weights[t] * ((1_000_000_000 * often) // (1000 * often + 8 * m[who]))
             if not self.known.all():
                 impact = np.where(self.known[who], impact, 0)
@@ -270,8 +304,7 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP, lot_terms: int =
     spark = index.sparkSession
     totals = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     asked = cut(query_terms(items))
-    held = index.select(F.explode(F.arrays_zip("terms", "df")).alias("e")).select(F.col("e.terms").alias("term"), F.col("e.df").alias("df"))
-    held = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    held = terms_held(index).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     n_lots = max(1, -(-asked.count() // lot_terms))
     lotted = cut(asked.join(held, "term", "left").withColumn("lot", F.pmod(F.xxhash64("item_id"), F.lit(n_lots))))
     found = []
@@ -283,7 +316,7 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP, lot_terms: int =
             df[bytes(r["term"])] = r["df"] or 0
         if rows and totals[0]:
             lot = Lot(sorted(rows.items(), key=lambda x: (x[0] is not None, x[0])), df, totals[0], totals[1])
-            found.append(index.mapInArrow(_search(lot, top), "item_id long, doc_id long, score long"))
+            found.append(index.select("block").mapInArrow(_search(lot, top), "item_id long, doc_id long, score long"))
     if not found:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     out = found[0]
@@ -295,7 +328,7 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP, lot_terms: int =
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of the whole table for every benchmark item."""
-    index = cut(build_index(table(spark, sf_dir, "documents")))
+    index = cut(build_index(table(spark, sf_dir, "documents")), GROUP_BYTES)
     return search(index, table(spark, sf_dir, "benchmark"))
 
 
