@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewave.storage import settled
+
 #: Fixed value: a normal distribution's SD over its median absolute deviation.
 MAD_SCALE = 1.4826
+#: Ranks of the values between which a median is looked for, as a share of the group on either side; percentile_approx
+#: misses a rank by one in ACCURACY. Medians are exact with any value: what isn't found between them is looked for everywhere.
+BRACKET, ACCURACY = 0.0002, 10_000
 
 
 def robust_z(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """rows with z = (value - median) / (1.4826 MAD) within ``by``; 0 where the MAD is 0.
 
-    Medians are aggregated per group and joined back, so no group is held in one window.
+    Medians are aggregated per group and joined back, so no group is held in one window. An aggregation
+    holds a group's distinct values: for groups of millions there is ``robust_z_of_large_groups``.
     """
     mid = rows.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
     off = rows.join(mid, by)
@@ -22,6 +28,55 @@ def robust_z(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return off.join(mad, by).withColumn("z", z).drop("_med", "_mad")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str) -> DataFrame:
+    """rows joined with one row per group; null is a group like others."""
+    named = groups.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [rows[c].eqNullSafe(named[f"_by_{c}"]) for c in by]
+    return rows.join(named, same, how).drop(*(f"_by_{c}" for c in by))
+
+
+def medians(rows: DataFrame, value: str, by: list[str], bracket: float | None = BRACKET) -> DataFrame:
+    """by, median: the exact medians (as percentile's) of groups of any size; groups without a value have none.
+
+    Two values that have the median between them come from percentile_approx. Values below the lower one
+    are only counted, those between both are counted each, and cumulative counts give the median's rank.
+    Groups whose median is elsewhere after all are counted whole. The rows are read twice and never
+    shuffled; per group a task holds about 2 * (bracket + 1 / ACCURACY) of its distinct values.
+    """
+    own = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    if bracket is None:
+        low, high = F.lit(float("-inf")), F.lit(float("nan"))  # Spark orders NaN last
+    else:
+        ends = F.percentile_approx("_v", F.array(F.lit(0.5 - bracket), F.lit(0.5 + bracket)), ACCURACY)
+        low, high = ends[0], ends[1]
+    bounds = settled(own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), low.alias("_low"), high.alias("_high")))
+    near = with_groups(own, bounds, by, "inner").where("_v <= _high")
+    counts = near.groupBy(*by, "_n", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_count"))
+    order = W.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    upto = counts.withColumn("_upto", F.sum("_count").over(order))
+    first, last = F.expr("_upto >= (_n + 1) div 2"), F.expr("_upto >= _n div 2 + 1")
+    found = settled(
+        upto.groupBy(*by).agg(
+            F.min(F.when(first, F.col("_v"))).alias("_a"), F.min(F.when(last, F.col("_v"))).alias("_b"),
+            (F.bool_or(F.col("_v").isNull() & first) | ~F.bool_or(last)).alias("_missed"),
+        )
+    )
+    median = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(0.5 * F.col("_a") + 0.5 * F.col("_b"))
+    out, missed = found.where("not _missed").select(*by, median.alias("median")), found.where("_missed").select(*by)
+    if missed.isEmpty():
+        return out
+    return out.unionByName(medians(with_groups(own, missed, by, "left_semi"), "_v", by, None))
+
+
+def robust_z_of_large_groups(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """As robust_z, for groups of any size: rows should be cheap to read, as they are read five times."""
+    off = with_groups(rows, medians(rows, value, by).withColumnRenamed("median", "_med"), by, "left")
+    far = off.select(*by, F.abs(F.col(value) - F.col("_med")).alias("_far"))
+    mad = medians(far, "_far", by).withColumnRenamed("median", "_mad")
+    z = F.coalesce(F.try_divide(F.col(value) - F.col("_med"), MAD_SCALE * F.col("_mad")), F.lit(0.0))
+    return with_groups(off, mad, by, "left").withColumn("z", z).drop("_med", "_mad")
+
+
 def flat_channels(samples: DataFrame, by: list[str], fraction: float) -> DataFrame:
     """Channels whose SD (population) is below a fraction of the session's median SD."""
     sd = samples.groupBy(*by, "channel").agg(F.stddev_pop("value").alias("sd"))

@@ -13,7 +13,7 @@ from tidewave.plans.tables import EPOCHS_SQL, SAMPLES_SQL, epochs, samples, tabl
 
 def qc_robust_z(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice")
-    out = Q.robust_z(li, "l_extendedprice", ["l_returnflag", "l_linestatus"])
+    out = Q.robust_z_of_large_groups(li, "l_extendedprice", ["l_returnflag", "l_linestatus"])
     return out.where("abs(z) > 1.25").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), *r6("z"))
 
 
